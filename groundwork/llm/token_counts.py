@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
         count = _counters[key].count
         for batch in slices(batches, "text", 2000, 8 << 20):
             n = np.array([count(t) for t in batch.column("text").to_pylist()], np.int64)
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield arrow_table({"doc_id": batch.column("doc_id"), "n_bytes": size, "n_tokens": n, "over_limit": n > limit}, SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from groundwork.llm.common import CACHE_ENTRIES
 
@@ -25,6 +25,38 @@ def tokenizer(path: str) -> Tokenizer:
     return _open[path]
 
 
+#: Chunks of these characters alone, without an apostrophe, split in the same way under every
+#: version of Unicode: into runs of letters, digits, and runs of the rest.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ɏ]+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Digits one by one (word_bpe) or in runs (byte_bpe).
+ONE_DIGIT, DIGITS = (re.compile(rf"[{LETTERS}]+|[0-9]{run}|[^{LETTERS}0-9]+") for run in ("", "+"))
+
+
+class ByteMap(dict):
+    """For str.translate: a character's code to the library's stand-in characters for its UTF-8 bytes."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        return self[code]
+
+
+BYTES = ByteMap()
+
+
+class PieceIds(dict):
+    """Pre-token of a plain chunk -> its ids: the library's model alone, without its normalizer and splitter."""
+
+    def __init__(self, model) -> None:
+        self.model = model
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[piece] = ids = [t.id for t in self.model.tokenize(piece.translate(BYTES))]
+        return ids
+
+
 class ChunkIds(dict):
     """White-space-free chunk of UTF-8 bytes -> its token ids as packed little-endian integers.
 
@@ -35,11 +67,16 @@ class ChunkIds(dict):
 
     def __init__(self, path: str, kind: str = "<u4") -> None:
         self.tokenizer, self.kind = tokenizer(path), kind
+        self.pieces = PieceIds(self.tokenizer.model)
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+        text = chunk.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            ids = [i for piece in ONE_DIGIT.findall(text.lower()) for i in self.pieces[piece]]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         packed = np.array(ids, self.kind).tobytes()
         if len(chunk) <= 64:
             self[chunk] = packed
@@ -76,12 +113,17 @@ class ChunkLengths(dict):
     def __init__(self, path: str, prefix: str, frequent: dict[str, int]) -> None:
         super().__init__(frequent)
         self.tokenizer, self.prefix, self.frequent = tokenizer(path), prefix, frequent
+        self.pieces = PieceIds(self.tokenizer.model)
 
     def __missing__(self, chunk: str) -> int:
         if len(self) >= CACHE_ENTRIES + len(self.frequent):
             self.clear()
             self.update(self.frequent)
-        n = len(self.tokenizer.encode(self.prefix + chunk, add_special_tokens=False).ids)
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            head, *rest = DIGITS.findall(chunk)
+            n = len(self.pieces[self.prefix + head]) + sum(len(self.pieces[piece]) for piece in rest)
+        else:
+            n = len(self.tokenizer.encode(self.prefix + chunk, add_special_tokens=False).ids)
         if len(chunk) <= 64:
             self[chunk] = n
         return n

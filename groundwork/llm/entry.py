@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundwork.llm.near_dup import near_duplicates
 from groundwork.llm.packing import pack
 from groundwork.llm.token_counts import token_counts
 from groundwork.llm.token_records import token_records
@@ -24,6 +25,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -36,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
         "op5_exact_topk": op5_exact_topk,
+        "op6_near_dup": op6_near_dup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }

@@ -60,14 +60,13 @@ def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b), for every node that is not smallest itself.
 
-    Each round first unites the links that lie in one partition, then joins every node to the
+    First the links that lie in one partition are united; each round then joins every node to the
     smallest of its neighbours (large star, small star); nodes with many links are split by
-    Spark's skew join, since a star's centre is found by an aggregate. Ends when a round
-    changes nothing.
+    Spark's skew join, since a star's centre is found by an aggregate. Ends when only stars
+    are left, or once the links are at most LINKS_AT_ONCE, which one task unites.
     """
     links = settle(links.select("a", "b").where("a <> b").mapInArrow(united, "a long, b long"), "links")
-    before = None
-    while True:
+    while links.count() > LINKS_AT_ONCE:
         # Large star: every neighbour larger than the node moves to the smallest around it.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -76,8 +75,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select("low", "a", "b")
         moved = small.select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
-        links = settle(moved.distinct().mapInArrow(united, "a long, b long").distinct(), "links")
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("b")).first()
-        if state == before and state[0] == state[2]:
+        links = settle(moved.distinct(), "links")
+        # Stars only: no node is both a centre and a ray, and every ray has one centre.
+        if links.agg(F.count("*") == F.count_distinct("b")).first()[0] and links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        before = state
+    # So few links that one task unites them all at once.
+    return links.coalesce(1).mapInArrow(united, "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundwork.llm import substring_dedup, suffix_dedup
+from groundwork.llm.language_id import predict_languages
+from groundwork.llm.lm_score import scores
 from groundwork.llm.near_dup import near_duplicates
 from groundwork.llm.packing import pack
 from groundwork.llm.token_counts import token_counts
@@ -42,6 +44,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(documents(spark, sf_dir))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -54,6 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_topk": op5_exact_topk,
         "op6_near_dup": op6_near_dup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_language_id": op8_language_id,
+        "op9_lm_score": op9_lm_score,
         "op10_token_counts": op10_token_counts,
     }
 

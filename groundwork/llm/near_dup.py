@@ -9,9 +9,9 @@
 3.  Banding: sets that agree in all slots of a band meet in its bucket. In each bucket every
     class is compared with the smallest one, so a bucket of n classes gives n - 1 pairs.
 4.  Verification on the full sets, then union-find. Buckets whose classes ended in different
-    components are taken up again: there the classes outside the smallest component are
-    compared with one of its members after another, until no pair of a bucket that could
-    still unite two components is left unverified.
+    components are taken up again, first with a member of the least component that each bucket
+    draws, then pair by pair between components, so that no pair of a bucket that could still
+    unite two components is left unverified.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
     places = None
     for rank in range(slots):
-        drawn = mix(element + np.uint64(rank) * GOLD)
+        drawn = mix(element + np.array([rank], np.uint64) * GOLD)
         pick = rank + ((drawn & low) * np.uint64(slots - rank) >> half).astype(np.int64)
         if places is None:
             slot = pick
@@ -143,40 +143,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def mixed_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, node, component, least: the buckets whose classes lie in several components so far."""
+    labelled = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return labelled.join(mixed.select("bucket", "least"), "bucket")
+
+
 def links_of(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     """Verified links (a, b) that join exactly the classes which chains of similar sets join.
 
-    buckets: (bucket, node), a class in each of its bands' buckets. A round compares, in each
-    bucket that still holds several components, its least component's members one by one
-    (the member that is next, by rising id) with the classes of the bucket's other components.
+    buckets: (bucket, node), a class in each of its bands' buckets.
     """
-    spark = docs.sparkSession
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = settle(buckets.join(shared.select("bucket"), "bucket"), "buckets")
-    ids = buckets.select("node").distinct()
-    sets = settle(shingle_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.withColumnRenamed("node", "doc_id"), "doc_id")), "sets")
-    pairs = buckets.join(buckets.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    buckets = settle(buckets.join(shared.select("bucket", "leader"), "bucket"), "buckets")
+    ids = buckets.select(F.col("node").alias("doc_id")).distinct()
+    sets = settle(shingle_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id")), "sets")
+    # First every class of a bucket with the bucket's smallest class.
+    pairs = buckets.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     done = settle(verified(pairs, sets), "verified")
-    links = done.where("linked").select("a", "b")
-    while True:
-        found = components(links)
-        labelled = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-        # Classes of buckets that hold several components; of each pair of them that differ in
-        # component, the one in the bucket's least component speaks first.
-        rest = settle(labelled.join(mixed.select("bucket", "least"), "bucket"), "mixed")
-        own = rest.where("component = least").select("bucket", F.col("node").alias("x"))
-        other = rest.where("component <> least").select("bucket", F.col("node").alias("y"))
-        fresh = own.join(other, "bucket").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = settle(verified(fresh, sets), "verified")
-        if checked.isEmpty():
-            # The least component of every bucket is apart from the rest: take it out and go on.
-            buckets = settle(other.select("bucket", F.col("y").alias("node")), "buckets")
-            if buckets.isEmpty():
-                return links
-            continue
-        done = settle(done.union(checked), "verified")
-        links = done.where("linked").select("a", "b")
+    buckets = buckets.select("bucket", "node")
+    # Where that leaves several components in a bucket: the classes outside the least one with
+    # a class of it that each bucket draws anew, so that a class meets others in each of its buckets.
+    mixed = settle(mixed_buckets(buckets, components(done.where("linked"))), "mixed")
+    if mixed.isEmpty():
+        return done.where("linked").select("a", "b")
+    drawn = mixed.where("component = least").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("x"))
+    pairs = drawn.join(mixed.where("component <> least"), "bucket").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    more = settle(verified(pairs.join(done, ["a", "b"], "left_anti"), sets), "verified")
+    done = done.union(more)
+    # What a bucket still holds apart, class by class: pairs inside a component need no look.
+    mixed = settle(mixed_buckets(mixed.select("bucket", "node"), components(done.where("linked"))), "mixed")
+    one, two = (mixed.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in "ab")
+    pairs = one.join(two, "bucket").where("a < b and c_a <> c_b").select("a", "b").distinct()
+    return done.union(verified(pairs.join(done, ["a", "b"], "left_anti"), sets)).where("linked").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundwork.llm import substring_dedup, suffix_dedup
+from groundwork.llm.decontamination import contaminated
 from groundwork.llm.language_id import predict_languages
 from groundwork.llm.lm_score import scores
 from groundwork.llm.near_dup import near_duplicates
@@ -32,6 +33,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_records": op1_token_records,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_exact_topk": op5_exact_topk,
         "op6_near_dup": op6_near_dup,
         "op7_best_fit_packing": op7_best_fit_packing,

@@ -10,8 +10,8 @@
     class is compared with the smallest one, so a bucket of n classes gives n - 1 pairs.
 4.  Verification on the full sets, then union-find. Buckets whose classes ended in different
     components are taken up again, first with a member of the least component that each bucket
-    draws, then pair by pair between components, so that no pair of a bucket that could still
-    unite two components is left unverified.
+    draws, then pair by pair between components, inside groups of bounded size that send
+    only links, so that no pair of a bucket that could still unite two components is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import GOLD, arrow_table, mix, settle, slices, utf8, word_hashes
@@ -31,8 +31,10 @@ from groundwork.llm.components import components
 SLOTS, ROWS = 128, 4
 WORDS, PERCENT = 5, 75
 EMPTY = np.uint64(2**64 - 1)
-#: Elements of sets signed at a time.
-ELEMENTS = 250_000
+#: Slots in which a pair at the limit agrees at least, five standard deviations below its mean of 96.
+FEWEST = 71
+#: Elements of sets signed at a time, classes of a bucket that are compared in one group.
+ELEMENTS, BLOCK = 120_000, 1024
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -172,11 +174,71 @@ def links_of(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     pairs = drawn.join(mixed.where("component <> least"), "bucket").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     more = settle(verified(pairs.join(done, ["a", "b"], "left_anti"), sets), "verified")
     done = done.union(more)
-    # What a bucket still holds apart, class by class: pairs inside a component need no look.
-    mixed = settle(mixed_buckets(mixed.select("bucket", "node"), components(done.where("linked"))), "mixed")
-    one, two = (mixed.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in "ab")
-    pairs = one.join(two, "bucket").where("a < b and c_a <> c_b").select("a", "b").distinct()
-    return done.union(verified(pairs.join(done, ["a", "b"], "left_anti"), sets)).where("linked").select("a", "b")
+    # What a bucket still holds apart, class by class, without a row for a pair.
+    mixed = mixed_buckets(mixed.select("bucket", "node"), components(done.where("linked")))
+    return done.where("linked").select("a", "b").union(apart_links(mixed, sets))
+
+
+def apart_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and differ in component.
+
+    A bucket is cut into blocks of about BLOCK classes; each two blocks of a bucket meet in one
+    group, which looks at all its pairs and sends only links.
+    """
+    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    rows = mixed.select("bucket", "node", "component").join(sizes, "bucket").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    met = met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            for bucket, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, low, high) != last:
+                    if len(held) > 1:
+                        yield table(last, held)
+                    held, last = [], (bucket, low, high)
+                held.append(row)
+        if len(held) > 1:
+            yield table(last, held)
+
+    def table(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        links = list(block_links(*key, rows))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(run, "a long, b long")
+
+
+def block_links(bucket: int, low: int, high: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links between the classes (block, node, component, shingles) of two blocks of a bucket.
+
+    Pairs of one component, pairs whose first common band is another bucket, and pairs whose
+    signatures agree in fewer slots than FEWEST need no comparison of their sets.
+    """
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    signs = np.concatenate([signatures(sets[a : a + 256]) for a in range(0, len(sets), 256)])
+    bands = band_keys(signs)
+    shorts = (mix(signs) >> np.uint64(32)).astype(np.uint32)
+    block, component = (np.array([r[k] for r in rows], np.int64) for k in (0, 2))
+    band = int(np.flatnonzero((bands == bucket).any(axis=0))[0])
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    second = np.flatnonzero(block == high)
+    for x in np.flatnonzero(block == low).tolist():
+        ys = second[second > x] if low == high else second
+        ys = ys[component[ys] != component[x]]
+        ys = ys[~(bands[ys, :band] == bands[x, :band]).any(axis=1)]
+        for y in ys[(shorts[ys] == shorts[x]).sum(axis=1) >= FEWEST].tolist():
+            one, two = root(int(component[x])), root(int(component[y]))
+            if one != two and similar(sets[x], sets[y]):
+                up[max(one, two)] = min(one, two)
+                yield min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,3 +265,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each group: the smallest doc_id.
+
+    Of rows that repeat that doc_id the one with the smallest text stays. Rows without doc_id stay.
+    """
+    found = near_duplicates(docs)
+    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
+    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    first = own.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1")
+    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))

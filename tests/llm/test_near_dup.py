@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
+from groundwork.llm import near_dup
 from groundwork.llm.components import components, forest
 from groundwork.llm.near_dup import near_duplicates, shingles, signatures
 
@@ -63,6 +64,17 @@ def test_chains_and_stars(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(100)]
+    texts = [x for _ in range(90) for x in chain(rng, base, 1, rng.choice((1, 3, 4, 5)))]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert 1 < len({r[2] for r in want}) < 90
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "A"), (6, "a b c d"), (7, "A B\tc  D"), (8, "a b c d e"), (9, "x " * 9000), (10, "x x x x x"), (11, "é ö ü ß ñ"), (12, "É ö ü ß ñ"), (13, "a\x1cb c"), (14, "a\xa0b c")]
     df = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, component_id string, kept int")

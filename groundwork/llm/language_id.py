@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import arrow_table, crc32_remainder, slices, utf8
@@ -118,9 +118,7 @@ def fit(docs: DataFrame) -> ByteConvolution | None:
     Uses rows with a label and a text whose crc32 of doc_id modulo 4 is not 2. Which texts are
     taken depends on a hash of their ids: a count of each label gives the share to take.
     """
-    usable = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
-        (crc32_remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
+    usable = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where((crc32_remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & has_letters())
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
@@ -156,6 +154,34 @@ def fit(docs: DataFrame) -> ByteConvolution | None:
     return net
 
 
+def labelled(net: ByteConvolution | None, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+    """Predicted label and score of each text; `und` and 0 for a missing one."""
+    pred, score = ["und"] * len(texts), [0.0] * len(texts)
+    rows = [k for k, t in enumerate(texts) if t] if net else []
+    at = 0
+    while at < len(rows):
+        # Windows of several texts together.
+        stop, size = at, 0
+        while stop < len(rows) and (stop == at or size + len(texts[rows[stop]]) < 1 << 20):
+            size += len(texts[rows[stop]])
+            stop += 1
+        cut = [windows_of(texts[k]) for k in rows[at:stop]]
+        starts = np.cumsum([0, *(len(c) for c in cut)])[:-1]
+        p = net.probabilities(np.concatenate(cut))
+        lengths = np.full(len(p), WINDOW)
+        lengths[starts + [len(c) - 1 for c in cut]] = [len(texts[k]) - WINDOW * (len(c) - 1) for k, c in zip(rows[at:stop], cut)]
+        total = np.add.reduceat(p * lengths[:, None], starts) / np.add.reduceat(lengths, starts)[:, None]
+        for k, row, best in zip(rows[at:stop], total, total.argmax(axis=1).tolist()):
+            pred[k], score[k] = net.languages[best], min(1.0, float(row[best]))
+        at = stop
+    return pred, score
+
+
+def has_letters() -> Column:
+    """Whether the text has a letter at all (null: no)."""
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict_languages(docs: DataFrame, net: ByteConvolution | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text.
 
@@ -168,31 +194,23 @@ def predict_languages(docs: DataFrame, net: ByteConvolution | None = None) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in slices(batches, "text", 1000, 2 << 20):
-            known = batch.column("letters").to_pylist()
-            texts = [t if k else None for t, k in zip(utf8(batch, "text"), known)]
-            pred, score = ["und"] * len(texts), [0.0] * len(texts)
-            rows = [k for k, t in enumerate(texts) if t] if net else []
-            at = 0
-            while at < len(rows):
-                # Windows of several texts together, a very long text's in parts.
-                stop, size = at, 0
-                while stop < len(rows) and (stop == at or size + len(texts[rows[stop]]) < 1 << 20):
-                    size += len(texts[rows[stop]])
-                    stop += 1
-                cut = [windows_of(texts[k]) for k in rows[at:stop]]
-                starts = np.cumsum([0, *(len(c) for c in cut)])[:-1]
-                p = net.probabilities(np.concatenate(cut))
-                lengths = np.full(len(p), WINDOW)
-                lengths[starts + [len(c) - 1 for c in cut]] = [len(texts[k]) - WINDOW * (len(c) - 1) for k, c in zip(rows[at:stop], cut)]
-                total = np.add.reduceat(p * lengths[:, None], starts) / np.add.reduceat(lengths, starts)[:, None]
-                for k, row, best in zip(rows[at:stop], total, total.argmax(axis=1).tolist()):
-                    pred[k], score[k] = net.languages[best], min(1.0, float(row[best]))
-                at = stop
+            texts = [t if k else None for t, k in zip(utf8(batch, "text"), batch.column("letters").to_pylist())]
+            pred, score = labelled(shared.value, texts)
             yield arrow_table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pred, "score": score}, RESULT)
 
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(crc32_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(crc32_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), has_letters().alias("letters"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def known_language(docs: DataFrame, net: ByteConvolution | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is given a language; `und` goes."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(net or fit(docs)), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1000, 2 << 20):
+            texts = [t if k else None for t, k in zip(utf8(batch, "text"), batch.column("_letters").to_pylist())]
+            pred, _ = labelled(shared.value, texts)
+            yield batch.filter(pa.array([p != "und" for p in pred])).select(names)
+
+    return docs.withColumn("_letters", has_letters()).mapInArrow(run, docs.schema)

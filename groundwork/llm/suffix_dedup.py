@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm.common import arrow_table, mix, slices, utf8
 from groundwork.llm.suffix_array import equal_windows
-from groundwork.llm.windows import Bucket, Windows, duplicated, marked
+from groundwork.llm.windows import Bucket, Windows, duplicated, keyed, marked
 
 LENGTH, GRAM = 100, 32
 
@@ -84,12 +84,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     document at one place: what they share at equal starts stays in each. A null doc_id takes
     no part and keeps its text. An empty table gives an empty result. Other columns are not read.
     """
-    found, s = _spans(docs, length, gram)
+    found, s = _spans(keyed(docs), length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             rows = []
-            for doc_id, text, ats, fresh in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("ats").to_pylist(), batch.column("fresh").to_pylist(), strict=True):
+            for doc_id, text, ats, fresh in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("_ats").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
                 gone = gone_bytes(text, ats, fresh, s)
                 kept = np.frombuffer(text or b"", np.uint8)[~gone].tobytes()
                 n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
@@ -100,14 +100,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text): the texts without the removed bytes. A character of which a byte goes, goes whole."""
+    """docs, with all their columns, the texts without the removed bytes and n_chars, where there is
+    such a column, counted anew. A character of which a byte goes, goes whole."""
     found, s = _spans(docs, length, gram)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             texts = []
-            for text, ats, fresh in zip(utf8(batch, "text"), batch.column("ats").to_pylist(), batch.column("fresh").to_pylist(), strict=True):
+            for text, ats, fresh in zip(utf8(batch, "text"), batch.column("_ats").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
                 gone = gone_bytes(text, ats, fresh, s)
                 if gone.any():
                     data = np.frombuffer(text, np.uint8)
@@ -115,6 +116,7 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                     whole = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
                     text = data[~whole].tobytes()
                 texts.append(None if text is None else text.decode())
-            yield arrow_table({"doc_id": batch.column("doc_id"), "text": texts}, schema)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    return found.mapInArrow(run, "doc_id long, text string")
+    out = found.select(*names, "_ats", "_fresh").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -96,7 +96,7 @@ def stream(texts: list[bytes | None], spec: Windows) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.cumsum([len(p) for p in parts])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
@@ -121,7 +121,7 @@ def candidates(docs: DataFrame, spec: Windows) -> DataFrame:
                 "at": np.concatenate((at, np.full(len(marks), -1))), "hot": np.concatenate((count[where] >= HOT_IN_BATCH, np.zeros(len(marks), bool))),
             }, ANCHORS)
 
-    rows = _keyed(docs).where("doc_id is not null").mapInArrow(run, "h long, salt int, doc_id long, at int, hot boolean")
+    rows = keyed(docs).where("doc_id is not null").mapInArrow(run, "h long, salt int, doc_id long, at int, hot boolean")
     counted = rows.withColumn("n", F.expr("count(*) over (partition by h, salt)")).where("at >= 0 and (salt > 0 or n > 1)")
     hot = F.col("hot") | ((F.col("salt") == 0) & (F.col("n") >= HOT_BATCHES))
     return counted.groupBy("doc_id").agg(F.collect_list("at").alias("ats"), F.collect_list(F.when(hot, F.col("at"))).alias("hots"))
@@ -240,9 +240,9 @@ def duplicated(h: np.ndarray, ats: list[int] | None, fresh: list | None, spec: W
 
 
 def marked(docs: DataFrame, spec: Windows, decide: Callable, keep_all: bool) -> DataFrame:
-    """doc_id, text, ats, fresh of every row: what `duplicated` takes."""
-    keyed = _keyed(docs)
+    """The rows of docs with _ats and _fresh, what `duplicated` takes."""
     found = settle(candidates(docs, spec), "candidates")
-    runs = packed_runs(keyed.join(found, "doc_id"), spec, keep_all)
+    runs = packed_runs(keyed(docs).join(found, "doc_id"), spec, keep_all)
     fresh = fresh_windows(runs, decide, keep_all).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("fresh"))
-    return keyed.join(found.select("doc_id", "ats"), "doc_id", "left").join(fresh, "doc_id", "left")
+    ats, fresh = (x.select(F.col("doc_id").alias("_doc_id"), F.col(c).alias(f"_{c}")) for x, c in ((found, "ats"), (fresh, "fresh")))
+    return docs.join(ats, docs["doc_id"] == ats["_doc_id"], "left").drop("_doc_id").join(fresh, docs["doc_id"] == fresh["_doc_id"], "left").drop("_doc_id")

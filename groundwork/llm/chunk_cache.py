@@ -51,7 +51,7 @@ class PieceIds(dict):
         self.model = model
 
     def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES // 2:
             self.clear()
         self[piece] = ids = [t.id for t in self.model.tokenize(piece.translate(BYTES))]
         return ids
@@ -70,7 +70,7 @@ class ChunkIds(dict):
         self.pieces = PieceIds(self.tokenizer.model)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= 2 * CACHE_ENTRIES:
             self.clear()
         text = chunk.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:

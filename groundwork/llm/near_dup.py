@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b), with `linked`: whether their full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "one", 500, 4 << 20):
             one, two = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("one", "two"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([similar(x, y) for x, y in zip(one, two)], pa.bool_())], names=["a", "b", "linked"])
 
@@ -193,7 +193,7 @@ def apart_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         last = None
-        for batch in batches:
+        for batch in slices(batches, "shingles", 500, 4 << 20):
             for bucket, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (bucket, low, high) != last:
                     if len(held) > 1:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Groups of up to so many suffixes are handled one by one.
-SMALL = 24
+SMALL = 48
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:

@@ -30,6 +30,48 @@ def spec(length: int = LENGTH, gram: int = GRAM) -> Windows:
     return Windows(length, gram, lambda t: BYTES[np.frombuffer(t, np.uint8)], lambda t, spans: [t[a:b] for a, b in spans])
 
 
+def trimmed(strings: list[tuple[bytes, int, int]], length: int, rows: list[tuple[int, int, int]]) -> list[tuple[bytes, int, int]]:
+    """The strings cut down to where they have windows whose hash occurs again among them.
+
+    A window whose hash is alone is alone itself, hence fresh: it goes to rows. Equal windows
+    stay together, and which windows are equal is for the suffix array to say.
+    """
+    if not strings:
+        return []
+    ends = np.cumsum([len(p) for p, _, _ in strings])
+    h = window_hashes(BYTES[np.frombuffer(b"".join(p for p, _, _ in strings), np.uint8)], length)
+    _, where, count = np.unique(h, return_inverse=True, return_counts=True)
+    twin = count[where] > 1
+    kept = []
+    for (packed, doc, at), end in zip(strings, ends.tolist()):
+        start, n = end - len(packed), len(packed) - length + 1
+        again = np.flatnonzero(twin[start : start + n])
+        if not len(again):
+            rows.append((doc, at, n))
+            continue
+        a, b = int(again[0]), int(again[-1]) + 1
+        if a:
+            rows.append((doc, at, a))
+        if b < n:
+            rows.append((doc, at + b, n - b))
+        kept.append((packed[a : b + length - 1], doc, at + a))
+    return kept
+
+
+def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the `length` symbols from each place on, from the powers of two that make up the length."""
+    out, width, done = None, 1, 0
+    while width <= length:
+        if length & width:
+            part = h[done : len(h)]
+            out = part if out is None else mix(out[: len(part)] * np.uint64(0x9E6C63D0876A9A47) + part)
+            done += width
+        if 2 * width <= length:
+            h = mix(h[:-width] * np.uint64(0x9E6C63D0876A9A47) + h[width:])
+        width *= 2
+    return out
+
+
 def first_places(length: int):
     """Decides buckets by a suffix array: a window is fresh at its smallest (doc_id, start)."""
 
@@ -38,9 +80,10 @@ def first_places(length: int):
         for _, many in buckets:
             if len(many) == 1:
                 ((packed, owners),) = many.items()
-                rows.append((*owners[0][:2], len(packed) - length + 1))
+                rows.append((*owners[0], len(packed) - length + 1))
             else:
-                strings += [(packed, *owners[0][:2]) for packed, owners in many.items()]
+                strings += [(packed, *owners[0]) for packed, owners in many.items()]
+        strings = trimmed(strings, length, rows)
         if not strings:
             return rows
         sizes = np.array([len(p) for p, _, _ in strings])
@@ -71,8 +114,8 @@ def _spans(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, Windows]
     return marked(docs, s, first_places(length), keep_all=False), s
 
 
-def gone_bytes(text: bytes | None, ats: list[int] | None, fresh: list | None, s: Windows) -> np.ndarray:
-    return duplicated(s.hashes(text), ats, fresh, s) if text and ats else np.zeros(len(text or b""), bool)
+def gone_bytes(text: bytes | None, runs: list | None, fresh: list | None, s: Windows) -> np.ndarray:
+    return duplicated(len(text), runs, fresh, s) if text and runs else np.zeros(len(text or b""), bool)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -89,8 +132,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             rows = []
-            for doc_id, text, ats, fresh in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("_ats").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
-                gone = gone_bytes(text, ats, fresh, s)
+            for doc_id, text, runs, fresh in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("_runs").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
+                gone = gone_bytes(text, runs, fresh, s)
                 kept = np.frombuffer(text or b"", np.uint8)[~gone].tobytes()
                 n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 rows.append((doc_id, len(gone), len(gone) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
@@ -108,8 +151,8 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             texts = []
-            for text, ats, fresh in zip(utf8(batch, "text"), batch.column("_ats").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
-                gone = gone_bytes(text, ats, fresh, s)
+            for text, runs, fresh in zip(utf8(batch, "text"), batch.column("_runs").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
+                gone = gone_bytes(text, runs, fresh, s)
                 if gone.any():
                     data = np.frombuffer(text, np.uint8)
                     lead = np.flatnonzero(data & 0xC0 != 0x80)
@@ -118,5 +161,5 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 texts.append(None if text is None else text.decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    out = found.select(*names, "_ats", "_fresh").mapInArrow(run, docs.schema)
+    out = found.select(*names, "_runs", "_fresh").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -34,11 +34,13 @@ from groundwork.llm.common import arrow_table, mix, settle, slices, utf8
 
 #: Windows looked at in one go, bytes of text in a batch, bytes of distinct strings of a bucket chunk.
 STRETCH, TEXT_BYTES, CHUNK_BYTES = 1 << 20, 2 << 20, 1 << 20
+#: A run in one number: its start, its windows (in WINDOW_BITS bits), and whether its hash is hot.
+WINDOW_BITS = 12
 #: A hash is hot from so many rows: occurrences in one batch, or batches that hold it.
 HOT_IN_BATCH, HOT_BATCHES = 64, 2000
 
-ANCHORS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("hot", pa.bool_())])
-RUNS = pa.schema([("h", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lead", pa.int32())])
+ANCHORS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64())])
+RUNS = pa.schema([("h", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())])
 FRESH = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
 
@@ -63,7 +65,7 @@ def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
 
 
 def runs_of(h: np.ndarray, ends: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser hash, first window, windows) of each run, in a stream of texts that end at `ends`."""
+    """(minimiser hash, first window, number of windows) of each run, in a stream of texts that end at `ends`."""
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(h) - spec.length + 1, STRETCH):
         part = h[a : a + STRETCH + spec.length - 1]
@@ -84,9 +86,9 @@ def runs_of(h: np.ndarray, ends: np.ndarray, spec: Windows) -> tuple[np.ndarray,
         new = np.flatnonzero(np.diff(place, prepend=-2))
         count_of = np.diff(np.append(new, n))
         new, count_of = new[place[new] >= 0], count_of[place[new] >= 0]
-        out.append((grams[place[new]].view(np.int64), new + a, count_of, place[new] + a))
+        out.append((grams[place[new]].view(np.int64), new + a, count_of))
     if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -97,80 +99,75 @@ def stream(texts: list[bytes | None], spec: Windows) -> tuple[np.ndarray, np.nda
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id and text alone. Columns of the right type are taken as they are, for a cast's new name would
+    hide from Spark that two shuffles of the texts are one."""
+    kinds = dict(docs.dtypes)
+    return docs.select(*(c if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))))
 
 
 def candidates(docs: DataFrame, spec: Windows) -> DataFrame:
-    """(doc_id, ats, hots): the starts of the document's candidate runs, and of those with a hot hash."""
+    """(doc_id, runs): the document's candidate runs as structs of their mark and minimiser hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 5000, TEXT_BYTES):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             h, ends = stream(utf8(batch, "text"), spec)
-            key, first, _, _ = runs_of(h, ends, spec)
+            key, first, windows = runs_of(h, ends, spec)
             if not len(key):
                 continue
             row = np.searchsorted(ends, first, "right")
             at = first - (ends - np.diff(ends, prepend=0))[row]
             seen, where, count = np.unique(key, return_inverse=True, return_counts=True)
-            many = count[where] > 1
-            marks = seen[count > 1]
-            salt = np.where(many, 1 + (mix((ids[row] * 7919 + at).astype(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
-            yield arrow_table({
-                "h": np.concatenate((key, marks)), "salt": np.concatenate((salt, np.zeros(len(marks), np.int64))), "doc_id": np.concatenate((ids[row], np.zeros(len(marks), np.int64))),
-                "at": np.concatenate((at, np.full(len(marks), -1))), "hot": np.concatenate((count[where] >= HOT_IN_BATCH, np.zeros(len(marks), bool))),
-            }, ANCHORS)
+            count = count[where]
+            marks = np.unique(key[count > 1])
+            salt = np.where(count > 1, 1 + (mix((ids[row] * 7919 + at).astype(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
+            mark = (at << WINDOW_BITS | windows) << 1 | (count >= HOT_IN_BATCH)
+            none = np.zeros(len(marks), np.int64)
+            yield arrow_table({"h": np.concatenate((key, marks)), "salt": np.concatenate((salt, none)), "doc_id": np.concatenate((ids[row], none)), "mark": np.concatenate((mark, none - 1))}, ANCHORS)
 
-    rows = keyed(docs).where("doc_id is not null").mapInArrow(run, "h long, salt int, doc_id long, at int, hot boolean")
-    counted = rows.withColumn("n", F.expr("count(*) over (partition by h, salt)")).where("at >= 0 and (salt > 0 or n > 1)")
-    hot = F.col("hot") | ((F.col("salt") == 0) & (F.col("n") >= HOT_BATCHES))
-    return counted.groupBy("doc_id").agg(F.collect_list("at").alias("ats"), F.collect_list(F.when(hot, F.col("at"))).alias("hots"))
+    rows = docs.mapInArrow(run, "h long, salt int, doc_id long, mark long")
+    counted = rows.withColumn("n", F.expr("count(*) over (partition by h, salt)")).where("mark >= 0 and (salt > 0 or n > 1)")
+    hot = F.when((F.col("salt") == 0) & (F.col("n") >= HOT_BATCHES), F.col("mark").bitwiseOR(F.lit(1))).otherwise(F.col("mark"))
+    return counted.groupBy("doc_id").agg(F.collect_list(F.struct(hot.alias("mark"), "h")).alias("runs"))
 
 
 def packed_runs(base: DataFrame, spec: Windows, keep_all: bool) -> DataFrame:
-    """h, packed, doc_id, at, lead of the candidate runs: each batch sends a distinct string once, from its
-    first place; with keep_all from every place in its first document. lead: symbols before the minimiser."""
+    """h, packed, doc_id, at of the candidate runs: each batch sends a distinct string once, from its
+    first place; with keep_all from every place in its first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, TEXT_BYTES):
-            ids, texts = batch.column("doc_id").to_pylist(), utf8(batch, "text")
-            ats, hots = (batch.column(c).to_pylist() for c in ("ats", "hots"))
-            h, ends = stream(texts, spec)
-            key, first, count, place = runs_of(h, ends, spec)
-            row = np.searchsorted(ends, first, "right")
-            start = (ends - np.diff(ends, prepend=0))[row]
-            cuts = np.searchsorted(row, np.arange(len(ids) + 1))
-            best: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+            ids, texts, runs = batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("_runs")
+            begin, values = np.asarray(runs.offsets) - runs.offsets[0].as_py(), runs.flatten()
+            mark, key = (values.field(k).to_numpy() for k in (0, 1))
+            best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             for r in sorted(range(len(ids)), key=lambda r: ids[r]):
-                a, b = cuts[r], cuts[r + 1]
-                if a == b:
-                    continue
-                at = first[a:b] - start[a:b]
-                mine = np.flatnonzero(np.isin(at, ats[r]))
-                hot = np.isin(at[mine], hots[r]).tolist() if hots[r] else [False] * len(mine)
-                spans, keys, leads = [], [], []
-                for k, alone in zip(mine.tolist(), hot):
-                    x, n = int(at[k]), int(count[a + k])
-                    lead = int(place[a + k] - first[a + k])
+                mine = begin[r] + np.argsort(mark[begin[r] : begin[r + 1]])
+                at, windows, hot = (x.tolist() for x in _unpacked(mark[mine]))
+                spans, keys = [], []
+                for x, n, alone, k in zip(at, windows, hot, key[mine].tolist()):
                     if alone:
                         spans += [(x + j, x + j + spec.length) for j in range(n)]
-                        leads += [lead - j for j in range(n)]
                         keys += [None] * n
                     else:
                         spans.append((x, x + n + spec.length - 1))
-                        leads.append(lead)
-                        keys.append(int(key[a + k]))
-                for k, (x, _), lead, packed in zip(keys, spans, leads, spec.strings(texts[r], spans)):
+                        keys.append(k)
+                for k, (x, _), packed in zip(keys, spans, spec.strings(texts[r] or b"", spans)):
                     if k is None:
                         k = int(np.uint64(hash_of(packed)).view(np.int64))
                     owners = best.setdefault((k, packed), [])
                     if not owners or keep_all and owners[0][0] == ids[r]:
-                        owners.append((ids[r], x, lead))
+                        owners.append((ids[r], x))
             rows = [(k, packed, *owner) for (k, packed), owners in best.items() for owner in owners]
             if rows:
                 yield arrow_table(dict(zip(RUNS.names, map(list, zip(*rows)))), RUNS)
 
-    return base.mapInArrow(run, "h long, packed binary, doc_id long, at int, lead int")
+    return base.mapInArrow(run, "h long, packed binary, doc_id long, at int")
+
+
+def _unpacked(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of windows and whether hot, of each mark."""
+    return mark >> WINDOW_BITS + 1, mark >> 1 & (1 << WINDOW_BITS) - 1, mark & 1
 
 
 def hash_of(packed: bytes) -> int:
@@ -179,8 +176,8 @@ def hash_of(packed: bytes) -> int:
     return xxhash.xxh3_64_intdigest(packed)
 
 
-#: A bucket: its hash, and each distinct string with its first owners (doc_id, at, lead).
-Bucket = tuple[int, dict[bytes, list[tuple[int, int, int]]]]
+#: A bucket: its hash, and each distinct string with its first owners (doc_id, at).
+Bucket = tuple[int, dict[bytes, list[tuple[int, int]]]]
 
 
 def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[int, int, int]]], keep_all: bool) -> DataFrame:
@@ -190,8 +187,8 @@ def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[i
         buckets: list[Bucket] = []
         size = 0
         last: int | None = None
-        for batch in batches:
-            for h, packed, doc_id, at, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in slices(batches, "packed", 5000, 4 << 20):
+            for h, packed, doc_id, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != last:
                     if size >= CHUNK_BYTES:
                         yield table(buckets)
@@ -201,13 +198,13 @@ def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[i
                 strings = buckets[-1][1]
                 owners = strings.get(packed)
                 if owners is None:
-                    strings[packed] = [(doc_id, at, lead)]
+                    strings[packed] = [(doc_id, at)]
                     size += len(packed)
                 elif keep_all and doc_id == owners[0][0]:
-                    if (doc_id, at, lead) not in owners:
-                        owners.append((doc_id, at, lead))
-                elif (doc_id, at) < owners[0][:2] if not keep_all else doc_id < owners[0][0]:
-                    strings[packed] = [(doc_id, at, lead)]
+                    if (doc_id, at) not in owners:
+                        owners.append((doc_id, at))
+                elif (doc_id, at) < owners[0] if not keep_all else doc_id < owners[0][0]:
+                    strings[packed] = [(doc_id, at)]
         if buckets:
             yield table(buckets)
 
@@ -218,31 +215,34 @@ def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[i
     return runs.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, at int, n int")
 
 
-def duplicated(h: np.ndarray, ats: list[int] | None, fresh: list | None, spec: Windows) -> np.ndarray:
-    """Which symbols of one text the duplicate windows cover."""
-    covered = np.zeros(len(h) + 1, np.int64)
-    if ats:
-        _, first, count, _ = runs_of(h, np.array([len(h)]), spec)
-        window = np.zeros(len(h), bool)
-        for a, n in zip(first.tolist(), count.tolist()):
-            window[a : a + n] = True
-        known = np.zeros(len(h), bool)
-        mine = np.isin(first, ats)
-        for a, n in zip(first[mine].tolist(), count[mine].tolist()):
-            known[a : a + n] = True
-        window &= known
+def duplicated(n: int, runs: list | None, fresh: list | None, spec: Windows) -> np.ndarray:
+    """Which of a text's n symbols the duplicate windows cover."""
+    covered = np.zeros(n + 1, np.int64)
+    count = n - spec.length + 1
+    if runs and count > 0:
+        at, windows, _ = _unpacked(np.array([r["mark"] for r in runs], np.int64))
+        edge = np.zeros(count + 1, np.int64)
+        np.add.at(edge, np.minimum(at, count), 1)
+        np.add.at(edge, np.minimum(at + windows, count), -1)
+        window = np.cumsum(edge)[:-1] > 0
         for x in fresh or ():
             window[x["at"] : x["at"] + x["n"]] = False
         w = np.flatnonzero(window)
-        np.add.at(covered, w, 1)
-        np.add.at(covered, w + spec.length, -1)
+        covered[w] += 1
+        covered[w + spec.length] -= 1
     return np.cumsum(covered)[:-1] > 0
 
 
 def marked(docs: DataFrame, spec: Windows, decide: Callable, keep_all: bool) -> DataFrame:
-    """The rows of docs with _ats and _fresh, what `duplicated` takes."""
-    found = settle(candidates(docs, spec), "candidates")
-    runs = packed_runs(keyed(docs).join(found, "doc_id"), spec, keep_all)
-    fresh = fresh_windows(runs, decide, keep_all).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("fresh"))
-    ats, fresh = (x.select(F.col("doc_id").alias("_doc_id"), F.col(c).alias(f"_{c}")) for x, c in ((found, "ats"), (fresh, "fresh")))
-    return docs.join(ats, docs["doc_id"] == ats["_doc_id"], "left").drop("_doc_id").join(fresh, docs["doc_id"] == fresh["_doc_id"], "left").drop("_doc_id")
+    """The rows of docs with _runs and _fresh, what `duplicated` takes.
+
+    Both joins with the texts read the same shuffle of docs by doc_id, so texts are dealt out
+    once; that is why rows without doc_id go their own way.
+    """
+    own = docs.where("doc_id is not null")
+    found = settle(candidates(keyed(own), spec), "candidates").select(F.col("doc_id").alias("_doc_id"), F.col("runs").alias("_runs"))
+    strings = packed_runs(own.join(found, own["doc_id"] == found["_doc_id"]), spec, keep_all)
+    fresh = fresh_windows(strings, decide, keep_all).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("_fresh")).withColumnRenamed("doc_id", "_doc_id")
+    out = own.join(found, own["doc_id"] == found["_doc_id"], "left").drop("_doc_id").join(fresh, own["doc_id"] == fresh["_doc_id"], "left").drop("_doc_id")
+    rest = docs.where("doc_id is null")
+    return out.unionByName(rest.select("*", *(F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("_runs", "_fresh"))))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm.common import arrow_table, mix, slices, utf8
 from groundwork.llm.suffix_array import equal_windows
-from groundwork.llm.windows import Bucket, Windows, duplicated, keyed, marked
+from groundwork.llm.windows import Bucket, Found, Windows, duplicated, found_in, keyed, marked
 
 LENGTH, GRAM = 100, 32
 
@@ -34,7 +34,9 @@ def trimmed(strings: list[tuple[bytes, int, int]], length: int, rows: list[tuple
     """The strings cut down to where they have windows whose hash occurs again among them.
 
     A window whose hash is alone is alone itself, hence fresh: it goes to rows. Equal windows
-    stay together, and which windows are equal is for the suffix array to say.
+    stay together, and which windows are equal is for the suffix array to say. Strings that
+    are the same once cut (one passage in different surroundings) are kept once, at their
+    first place: no window of the others can be its content's first.
     """
     if not strings:
         return []
@@ -42,7 +44,7 @@ def trimmed(strings: list[tuple[bytes, int, int]], length: int, rows: list[tuple
     h = window_hashes(BYTES[np.frombuffer(b"".join(p for p, _, _ in strings), np.uint8)], length)
     _, where, count = np.unique(h, return_inverse=True, return_counts=True)
     twin = count[where] > 1
-    kept = []
+    kept: dict[bytes, tuple[int, int]] = {}
     for (packed, doc, at), end in zip(strings, ends.tolist()):
         start, n = end - len(packed), len(packed) - length + 1
         again = np.flatnonzero(twin[start : start + n])
@@ -54,8 +56,9 @@ def trimmed(strings: list[tuple[bytes, int, int]], length: int, rows: list[tuple
             rows.append((doc, at, a))
         if b < n:
             rows.append((doc, at + b, n - b))
-        kept.append((packed[a : b + length - 1], doc, at + a))
-    return kept
+        part, place = packed[a : b + length - 1], (doc, at + a)
+        kept[part] = min(kept.get(part, place), place)
+    return [(part, *place) for part, place in kept.items()]
 
 
 def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
@@ -114,8 +117,8 @@ def _spans(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, Windows]
     return marked(docs, s, first_places(length), keep_all=False), s
 
 
-def gone_bytes(text: bytes | None, runs: list | None, fresh: list | None, s: Windows) -> np.ndarray:
-    return duplicated(len(text), runs, fresh, s) if text and runs else np.zeros(len(text or b""), bool)
+def gone_bytes(text: bytes | None, found: Found, s: Windows) -> np.ndarray:
+    return duplicated(len(text), found, s) if text and len(found[0]) else np.zeros(len(text or b""), bool)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -132,8 +135,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             rows = []
-            for doc_id, text, runs, fresh in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("_runs").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
-                gone = gone_bytes(text, runs, fresh, s)
+            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), found_in(batch), strict=True):
+                gone = gone_bytes(text, own, s)
                 kept = np.frombuffer(text or b"", np.uint8)[~gone].tobytes()
                 n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 rows.append((doc_id, len(gone), len(gone) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
@@ -151,8 +154,8 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             texts = []
-            for text, runs, fresh in zip(utf8(batch, "text"), batch.column("_runs").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
-                gone = gone_bytes(text, runs, fresh, s)
+            for text, own in zip(utf8(batch, "text"), found_in(batch), strict=True):
+                gone = gone_bytes(text, own, s)
                 if gone.any():
                     data = np.frombuffer(text, np.uint8)
                     lead = np.flatnonzero(data & 0xC0 != 0x80)

@@ -215,18 +215,32 @@ def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[i
     return runs.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, at int, n int")
 
 
-def duplicated(n: int, runs: list | None, fresh: list | None, spec: Windows) -> np.ndarray:
+#: Of a document: marks of its candidate runs, first windows and numbers of windows of its fresh stretches.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def found_in(batch: pa.RecordBatch) -> Iterator[Found]:
+    """What each row's _runs and _fresh hold, as arrays; a null list is empty."""
+    runs, fresh = batch.column("_runs"), batch.column("_fresh")
+    mark, at, n = runs.values.field("mark").to_numpy(), fresh.values.field("at").to_numpy(), fresh.values.field("n").to_numpy()
+    r, f = runs.offsets.to_numpy(), fresh.offsets.to_numpy()
+    for k in range(batch.num_rows):
+        yield mark[r[k] : r[k + 1]], at[f[k] : f[k + 1]], n[f[k] : f[k + 1]]
+
+
+def duplicated(n: int, found: Found, spec: Windows) -> np.ndarray:
     """Which of a text's n symbols the duplicate windows cover."""
+    marks, fresh_at, fresh_n = found
     covered = np.zeros(n + 1, np.int64)
     count = n - spec.length + 1
-    if runs and count > 0:
-        at, windows, _ = _unpacked(np.array([r["mark"] for r in runs], np.int64))
+    if len(marks) and count > 0:
+        at, windows, _ = _unpacked(marks)
         edge = np.zeros(count + 1, np.int64)
         np.add.at(edge, np.minimum(at, count), 1)
         np.add.at(edge, np.minimum(at + windows, count), -1)
         window = np.cumsum(edge)[:-1] > 0
-        for x in fresh or ():
-            window[x["at"] : x["at"] + x["n"]] = False
+        for a, k in zip(fresh_at.tolist(), fresh_n.tolist()):
+            window[a : a + k] = False
         w = np.flatnonzero(window)
         covered[w] += 1
         covered[w + spec.length] -= 1
@@ -234,7 +248,7 @@ def duplicated(n: int, runs: list | None, fresh: list | None, spec: Windows) ->
 
 
 def marked(docs: DataFrame, spec: Windows, decide: Callable, keep_all: bool) -> DataFrame:
-    """The rows of docs with _runs and _fresh, what `duplicated` takes.
+    """The rows of docs with _runs and _fresh, what `found_in` reads.
 
     Both joins with the texts read the same shuffle of docs by doc_id, so texts are dealt out
     once; that is why rows without doc_id go their own way.

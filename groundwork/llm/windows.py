@@ -6,11 +6,12 @@ minimiser of a window is the gram (`gram` symbols) of smallest hash in it, leftm
 it depends on the window's content alone, so equal windows have equal minimisers.
 Consecutive windows that share a minimiser occurrence are a run.
 
-1.  anchors: every run's minimiser hash, one row for each hash and batch. A hash that occurs
-    once in the corpus proves all windows of its run unique, so only runs whose hash occurs
-    again are candidates. Within a batch that is known at once; between batches the rows of a
-    hash are counted. Since a batch sends one row for a hash however often it has it, a
-    passage that stands in a third of all documents costs as many rows as there are batches.
+1.  anchors: every run's minimiser hash. A hash that occurs once in the corpus proves all
+    windows of its run unique, so only runs whose hash occurs again are candidates. The rows of
+    a hash meet and are counted, and there it is decided whether the hash is hot: once, for all
+    batches. A batch that makes a hash hot by itself knows that of its own runs; it sends one
+    row that tells the others, so a passage that stands in a third of all documents brings as
+    many rows together as there are batches, and fewer than HOT_IN_BATCH times as many anyway.
 2.  runs: the candidates' packed strings travel to the bucket of their hash. A batch sends each
     distinct string once, from its first owner. Hashes of very many rows (a passage that many
     documents hold, each in another context) are spread: there each window travels alone, keyed
@@ -117,17 +118,22 @@ def candidates(docs: DataFrame, spec: Windows) -> DataFrame:
                 continue
             row = np.searchsorted(ends, first, "right")
             at = first - (ends - np.diff(ends, prepend=0))[row]
-            seen, where, count = np.unique(key, return_inverse=True, return_counts=True)
-            count = count[where]
-            marks = np.unique(key[count > 1])
-            salt = np.where(count > 1, 1 + (mix((ids[row] * 7919 + at).astype(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
-            mark = (at << WINDOW_BITS | windows) << 1 | (count >= HOT_IN_BATCH)
+            seen, first_of, where, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            hot = count >= HOT_IN_BATCH
+            marks = seen[hot]
+            hot = hot[where]
+            salt = np.where(hot, 1 + (mix((ids[row] * 7919 + at).astype(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
+            lead = np.zeros(len(key), bool)
+            lead[first_of] = True
+            mark = ((at << WINDOW_BITS | windows) << 1 | lead) << 1 | hot
             none = np.zeros(len(marks), np.int64)
             yield arrow_table({"h": np.concatenate((key, marks)), "salt": np.concatenate((salt, none)), "doc_id": np.concatenate((ids[row], none)), "mark": np.concatenate((mark, none - 1))}, ANCHORS)
 
     rows = docs.mapInArrow(run, "h long, salt int, doc_id long, mark long")
-    counted = rows.withColumn("n", F.expr("count(*) over (partition by h, salt)")).where("mark >= 0 and (salt > 0 or n > 1)")
-    hot = F.when((F.col("salt") == 0) & (F.col("n") >= HOT_BATCHES), F.col("mark").bitwiseOR(F.lit(1))).otherwise(F.col("mark"))
+    # Batches that hold the hash; a row of mark -1 is a batch that makes it hot alone.
+    held = f"sum(if(mark < 0, {HOT_BATCHES}, (mark >> 1) & 1)) over (partition by h, salt)"
+    counted = rows.withColumns({"n": F.expr("count(*) over (partition by h, salt)"), "held": F.expr(held)}).where("mark >= 0 and (salt > 0 or n > 1)")
+    hot = F.expr(f"(mark >> 2 << 1) | if(salt > 0 or held >= {HOT_BATCHES}, 1L, 0L)")
     return counted.groupBy("doc_id").agg(F.collect_list(F.struct(hot.alias("mark"), "h")).alias("runs"))
 
 

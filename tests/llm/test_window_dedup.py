@@ -92,3 +92,21 @@ def test_edges(spark):
     assert [r.n_removed for r in suffix_dedup.dedup(twice).collect()] == [0, 0, 0]
     texts = {r.doc_id: r.text for r in suffix_dedup.dedup_texts(df).collect()}
     assert texts[1] is None and texts[4] == long and texts[5] == "" and set(texts[8]) <= {"x", "é"}
+
+
+@pytest.mark.parametrize("batches, once", [(2000, 1), (2000, 99), (3, 1), (3, 99)])
+def test_hot_in_some_batches(spark, monkeypatch, batches, once):
+    """A passage that one batch holds often and others once or twice is one passage everywhere."""
+    monkeypatch.setattr(windows, "HOT_IN_BATCH", 3)
+    monkeypatch.setattr(windows, "HOT_BATCHES", batches)
+    passage = " ".join(f"p{k}" for k in range(120))
+
+    def part(ids, held=passage):
+        return [(i, " ".join([*(f"a{i}x{k}" for k in range(9)), held, *(f"z{i}x{k}" for k in range(9))])) for i in ids]
+
+    rare = passage.replace("p", "r")
+    parts = [part(range(10, 16)), part([once]), part([30, 31]), part([40, 41], rare), part([42], rare), part([43, 44], rare)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda rows: rows), "doc_id long, text string")
+    rows = sum(parts, [])
+    assert result(suffix_dedup.dedup(df)) == brute_bytes(rows, 100)
+    assert result(substring_dedup.dedup(df)) == brute_words(rows, 50)

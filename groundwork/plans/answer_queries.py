@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
@@ -126,15 +126,19 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN tru
 """
 
 
-def context(spark: SparkSession, sf: str) -> DataFrame:
+def _context(spark: SparkSession, sf: str, text: Column) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 4 == 0, "research").otherwise("government").alias("publisher_type"),
-        F.when(F.col("doc_id") % 7 == 0, None).otherwise("2026-08-01").alias("verified_at"), F.substring("text", 1, 200).alias("text"),
+        F.when(F.col("doc_id") % 7 == 0, None).otherwise("2026-08-01").alias("verified_at"), text.alias("text"),
     )
     found = R.context(_fused(spark, sf).join(docs, "doc_id"), "item_id", F.lit("2026-08-20").cast("date"))
     return found.withColumn("block", F.sha2("block", 256))
 
 
+def context(spark: SparkSession, sf: str) -> DataFrame:
+    return _context(spark, sf, F.substring("text", 1, 200))
+
+
 CONTEXT = f"""
 WITH {HYBRID_CTE},
 e AS (SELECT item_id, position, '[' || position || '] ' || source || chr(10) || substr(text, 1, 200) AS entry, doc_id % 7 = 0 AS stale, doc_id % 4 <> 0 AS gov FROM z JOIN documents USING (doc_id) WHERE position <= 5)
@@ -142,6 +146,18 @@ SELECT item_id, count(*) AS n_refs, sha256(string_agg(entry, chr(10) || chr(10)
 """
 
 
+def context_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence blocks with the documents' whole texts."""
+    return _context(spark, sf, F.col("text"))
+
+
+CONTEXT_WHOLE = f"""
+WITH {HYBRID_CTE},
+e AS (SELECT item_id, position, '[' || position || '] ' || source || chr(10) || CASE WHEN text[1] = '[' THEN regexp_replace(text, '\\A[^\\n]*\\n', '') ELSE text END AS entry, doc_id % 7 = 0 AS stale, doc_id % 4 <> 0 AS gov FROM z JOIN documents USING (doc_id) WHERE position <= 5)
+SELECT item_id, count(*) AS n_refs, sha256(string_agg(entry, chr(10) || chr(10) ORDER BY position)) AS block, bool_or(stale) AS has_stale, bool_and(gov) AS all_government FROM e GROUP BY item_id
+"""
+
+
 def finalize(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("conv_id") * 7 + F.col("turn")
     none = F.array().cast("array<string>")
@@ -367,7 +383,7 @@ STATS_UNPIVOT = "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatu
 
 QUERIES = {
     "q_postings": (postings, POSTINGS), "q_bm25_stats": (bm25_stats, BM25_STATS), "q_bm25_topk": (bm25_topk, BM25_TOPK), "q_dense_topk": (dense_topk, DENSE_TOPK),
-    "q_hybrid_rrf": (hybrid_rrf, HYBRID_RRF), "q_scope_relax": (scope_relax, SCOPE_RELAX), "q_gate": (gate, GATE), "q_stale": (stale, STALE), "q_context": (context, CONTEXT),
+    "q_hybrid_rrf": (hybrid_rrf, HYBRID_RRF), "q_scope_relax": (scope_relax, SCOPE_RELAX), "q_gate": (gate, GATE), "q_stale": (stale, STALE), "q_context": (context, CONTEXT), "q_context_whole": (context_whole, CONTEXT_WHOLE),
     "q_finalize": (finalize, FINALIZE), "q_product_compare": (product_compare, PRODUCT_COMPARE), "q_fit_score": (fit_score, FIT_SCORE), "q_label_lookup": (label_lookup, LABEL_LOOKUP),
     "q_evidence_merge": (evidence_merge, EVIDENCE_MERGE), "q_limit_check": (limit_check, LIMIT_CHECK), "q_metrics": (metrics, METRICS), "q_metrics_by_group": (metrics_by_group, METRICS_BY_GROUP),
     "q_percentiles": (percentiles, PERCENTILES), "q_threshold_sweep": (threshold_sweep, THRESHOLD_SWEEP), "q_recalibrate": (recalibrate, RECALIBRATE), "q_calibrate": (calibrate, CALIBRATE),

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -88,3 +89,18 @@ def test_stream_equals_batch(spark, tmp_path):
     # The last window stays open until the watermark passes it.
     last = max(r[0] for r in want)
     assert {r for r in want if r[0] < last} <= got <= want
+
+
+def test_context_whole_texts(spark):
+    """The blocks hold every text to its end."""
+    from groundwork.plans import answer_queries, catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want: dict = {}
+    for r in sorted(answer_queries.hybrid_rrf(spark, sf).collect(), key=lambda r: (r.item_id, r.position)):
+        d = texts[r.doc_id]
+        want.setdefault(r.item_id, []).append(f"[{r.position}] {d.source}\n{d.text}")
+    assert any(len(t) > 2000 for many in want.values() for t in many)
+    got = {r.item_id: r.block for r in catalogue.queries()["q_context_whole"](spark, sf).collect()}
+    assert got == {k: hashlib.sha256("\n\n".join(v).encode()).hexdigest() for k, v in want.items()}

@@ -10,6 +10,10 @@ neighbouring diagonals (text position minus item position). So:
     diagonals, and bands that meet the bound stay.
 3.  What stays is verified by alignment inside the band: the region must occur within its edit budget.
 
+A verbatim passage of an item is found from 72 bytes on, wherever it starts: some region begins less
+than STRIDE before it, and the at most 8 bytes of the region that it lacks are edits in its budget.
+Items below Q bytes have no gram and are looked up whole.
+
 Texts and items are compared as UTF-8 bytes with A-Z lower-cased and every blank or control as a
 space, so an item is found in any letter case and across line breaks; offsets are those of the
 text itself. The benchmark is broadcast in blocks of bounded size.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from groundwork.llm.common import arrow_table, slices, utf8
 
 #: Bytes of a gram (as many as one 64-bit integer holds), of a region, and between region starts; edits for so many bytes.
-Q, REGION, STRIDE, BYTES_PER_EDIT = 8, 80, 40, 10
+Q, REGION, STRIDE, BYTES_PER_EDIT = 8, 80, 8, 10
 #: Width of a band of diagonals before its overlap, and of a coarse cell of positions.
 BAND, CELL = 16, 128
 #: Bits of the table that tells grams of the benchmark from others at once, and of that of cells.
@@ -57,7 +61,7 @@ def budget(n: int) -> int:
 def regions(n: int) -> list[tuple[int, int]]:
     """(start, length) of an item's regions; an item that is shorter than a region is one."""
     if n <= REGION:
-        return [(0, n)] if n >= Q else []
+        return [(0, n)] if n else []
     return [(a, REGION) for a in sorted({*range(0, n - REGION, STRIDE), n - REGION})]
 
 
@@ -81,26 +85,29 @@ class Index:
     offsets: np.ndarray
     places: np.ndarray
     known: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def build(items: list[tuple[int | None, str]]) -> Index:
-        text, rows, first = bytearray(GAP), [], []
+        text, rows, first, short = bytearray(GAP), [], [], defaultdict(list)
         for k, (_, t) in enumerate(items):
             data = t.encode().translate(FOLD_TABLE)
             first.append(len(text))
+            if 0 < len(data) < Q:
+                short[len(data)].append((int.from_bytes(data, "little"), len(rows)))
             rows += [(k, len(text) + a, n) for a, n in regions(len(data))]
             text += data + GAP
         item, start, length = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         g = grams(bytes(text))
         inside = np.zeros(len(text) + 1, np.int64)
-        np.add.at(inside, start, 1)
-        np.add.at(inside, start + length - Q + 1, -1)
+        np.add.at(inside, start[length >= Q], 1)
+        np.add.at(inside, (start + length - Q + 1)[length >= Q], -1)
         at = np.flatnonzero(np.cumsum(inside)[: len(g)] > 0)
         order = np.argsort(g[at], kind="stable")
         keys, counts = np.unique(g[at], return_counts=True)
         known = np.zeros(1 << GRAM_BITS, bool)
         known[keys * SPREAD >> np.uint64(64 - GRAM_BITS)] = True
-        return Index(bytes(text), [i for i, _ in items], item, start, length, np.array(first, np.int64), np.bincount(item, minlength=len(items)), keys, np.append(0, np.cumsum(counts)), at[order], known)
+        return Index(bytes(text), [i for i, _ in items], item, start, length, np.array(first, np.int64), np.bincount(item, minlength=len(items)), keys, np.append(0, np.cumsum(counts)), at[order], known, {n: (np.array([g for g, _ in x], np.uint64), np.array([r for _, r in x], np.int64)) for n, x in ((n, sorted(x)) for n, x in short.items())})
 
     def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(text place, item place) of every gram that both hold."""
@@ -122,7 +129,8 @@ class Index:
         if not len(i):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         # A region's grams lie in at most 2 x 2 coarse cells: one of these has a quarter of them.
-        least = int(min((self.length + 1 - Q * (np.array([budget(n) for n in self.length.tolist()]) + 1)).clip(1), default=1))
+        length = self.length[self.length >= Q]
+        least = int(min((length + 1 - Q * (np.array([budget(n) for n in length.tolist()]) + 1)).clip(1), default=1))
         d = i - j + len(self.text)
 
         def cell(dd: np.ndarray, ii: np.ndarray) -> np.ndarray:
@@ -191,6 +199,21 @@ class Index:
             begin = np.take_along_axis(origin, source, 1)
         return end_cost, end_begin, end_at
 
+    def exact(self, data: bytes, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(region, start, stop, 0) of the items below Q bytes, at their first place in each of the texts that end at `ends`."""
+        for n, (keys, region) in self.short.items():
+            padded = grams(data + GAP * Q)[: len(data)]
+            unique, first, count = np.unique(keys, return_index=True, return_counts=True)
+            for a in range(0, len(padded), STRETCH):
+                g = padded[a : a + STRETCH] & np.uint64((1 << 8 * n) - 1)
+                k = np.minimum(np.searchsorted(unique, g), len(unique) - 1)
+                at = np.flatnonzero(unique[k] == g)
+                k, at = k[at], at + a
+                _, one = np.unique(np.searchsorted(ends, at, "right") * len(unique) + k, return_index=True)
+                for place, key in zip(at[one].tolist(), k[one].tolist()):
+                    for r in region[first[key] : first[key] + count[key]].tolist():
+                        yield r, place, place + n, 0
+
     def search(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(region, start, stop, edits) of the verified regions in one stretch of texts."""
         r, band = self.bands(*self.hits(data))
@@ -207,16 +230,21 @@ def matches_of(index: Index, texts: list[bytes | None]) -> list[tuple[int, int,
     data = GAP.join(t or b"" for t in texts).translate(FOLD_TABLE) + GAP
     found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = defaultdict(dict)
     reach = 4 * REGION
+
+    def add(r: int, start: int, stop: int, edits: int) -> None:
+        t = int(np.searchsorted(ends, max(start, 0), "right"))
+        if t >= len(texts):
+            return
+        begin = int(ends[t]) - len(texts[t] or b"") - 1
+        own = found[t, int(index.item[r])]
+        new = (edits, max(0, start - begin), min(stop - begin, len(texts[t] or b"")))
+        own[r] = min(own.get(r, new), new)
+
+    for match in index.exact(data, ends):
+        add(*match)
     for a in range(0, len(data), STRETCH):
         for r, start, stop, edits in index.search(data[max(0, a - reach) : a + STRETCH + reach]):
-            start, stop = start + max(0, a - reach), stop + max(0, a - reach)
-            t = int(np.searchsorted(ends, max(start, 0), "right"))
-            if t >= len(texts):
-                continue
-            begin = int(ends[t]) - len(texts[t] or b"") - 1
-            own = found[t, int(index.item[r])]
-            new = (edits, max(0, start - begin), min(stop - begin, len(texts[t] or b"")))
-            own[r] = min(own.get(r, new), new)
+            add(r, start + max(0, a - reach), stop + max(0, a - reach), edits)
     return [(t, k, min(x[1] for x in own.values()), max(x[2] for x in own.values()), min(x[0] for x in own.values()), len(own)) for (t, k), own in found.items()]
 
 
@@ -234,10 +262,10 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, stop, edits, regions, regions_of_item of every document that holds a benchmark item or a part of it.
 
-    A row says that `regions` of the item's regions (80 bytes, one every 40; a shorter item is
-    one region) occur in the text with at most one edit for 10 bytes: bytes start to stop,
-    `edits` the fewest of a region. Clean documents have no row. Null and empty texts and
-    items match nothing, nor do items below 8 bytes. Rows that repeat a doc_id or an item_id
+    A row says that `regions` of the item's regions (80 bytes, one every 8; a shorter item is
+    one region) occur in the text with at most one edit for 10 bytes (none for items below 10):
+    bytes start to stop, `edits` the fewest of a region. Clean documents have no row. Null and
+    empty texts and items match nothing. Rows that repeat a doc_id or an item_id
     give a row for each pair of rows. Either table may be empty. Other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

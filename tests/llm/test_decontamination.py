@@ -85,3 +85,15 @@ def test_edges(spark):
     assert len(D.contaminated(some, bench).collect()) == 3 and D.clean_documents(some, bench).collect() == []
     assert D.contaminated(some.limit(0), bench).collect() == [] == D.contaminated(some, bench.limit(0)).collect()
     assert D.clean_documents(some, bench.limit(0)).count() == 3
+
+
+def test_excerpts_and_short_items(spark):
+    rng = random.Random(11)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    bench = spark.createDataFrame([(1, item), (2, "qz-7"), (3, "qz-7"), (4, "é!"), (5, "never")], "item_id long, text string")
+    docs = [(a, "0123 " * 30 + item[a : a + 72] + " 4567" * 30) for a in range(129)] + [(500, "x" * 9), (501, "QZ-7"), (502, "is é! or QZ-7 or qz-7"), (503, "é"), (504, "qz-"), (505, "7qz")]
+    rows = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), bench).collect()
+    assert {r.doc_id for r in rows if r.item_id == 1} == set(range(129))
+    assert sorted((r.doc_id, r.item_id, r.start, r.stop, r.edits, r.regions, r.regions_of_item) for r in rows if r.item_id != 1) == [
+        (501, 2, 0, 4, 0, 1, 1), (501, 3, 0, 4, 0, 1, 1), (502, 2, 10, 14, 0, 1, 1), (502, 3, 10, 14, 0, 1, 1), (502, 4, 3, 6, 0, 1, 1),
+    ]

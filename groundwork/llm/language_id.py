@@ -204,8 +204,14 @@ def predict_languages(docs: DataFrame, net: ByteConvolution | None = None) -> Da
 
 
 def known_language(docs: DataFrame, net: ByteConvolution | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is given a language; `und` goes."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(net or fit(docs)), docs.columns
+    """The rows of docs, with all their columns, whose text is given a language; `und` goes.
+
+    Where no network could be fitted (no usable label), every text with a letter stays.
+    """
+    net = net or fit(docs)
+    if net is None:
+        return docs.where(has_letters())
+    shared, names = docs.sparkSession.sparkContext.broadcast(net), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 2 << 20):

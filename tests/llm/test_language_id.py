@@ -48,3 +48,10 @@ def test_edges(spark):
     assert L.predict_languages(df.limit(0)).collect() == []
     unlabelled = L.predict_languages(df.select("doc_id", "text").selectExpr("*", "cast(null as string) lang")).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
+
+
+def test_no_labels_keep_documents(spark):
+    rows = [(1, None), (2, ""), (3, "12 ?!"), (4, "the cat sat"), (5, "é"), (None, "the end")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
+    got = L.known_language(df)
+    assert got.columns == df.columns and sorted(r.text for r in got.collect()) == ["the cat sat", "the end", "é"]

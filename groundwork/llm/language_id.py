@@ -20,9 +20,9 @@ from groundwork.llm.common import arrow_table, crc32_remainder, slices, utf8
 
 #: Bytes in a window, size of a byte's vector, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: The fit's sample: texts of each language and windows of each text at most, languages at most.
-#: Held-out accuracy no longer rises well before this bound, so it does not grow with the corpus.
-TEXTS, WINDOWS, LANGUAGES = 500, 3, 64
+#: The fit's sample: texts of each language and windows of each text at most; all languages take part.
+#: Held-out accuracy no longer rises well before this bound, so it grows with the languages, not with the corpus.
+TEXTS, WINDOWS = 500, 3
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -113,19 +113,21 @@ class ByteConvolution:
 
 
 def fit(docs: DataFrame) -> ByteConvolution | None:
-    """A network fitted on at most TEXTS texts of each of the LANGUAGES most frequent labels; none without labels.
+    """A network fitted on at most TEXTS texts of each label; none without labels.
 
     Uses rows with a label and a text whose crc32 of doc_id modulo 4 is not 2. Which texts are
     taken depends on a hash of their ids: a count of each label gives the share to take.
     """
     usable = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where((crc32_remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & has_letters())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.25 * TEXTS / r["count"]))))
+    # Labels that all take part need no entry: those left have more than TEXTS texts.
+    large = [v for r in counts if r["count"] > 1.25 * TEXTS for v in (r["lang"], 1.25 * TEXTS / r["count"])]
+    share = F.coalesce(F.create_map(*map(F.lit, large))[F.col("lang")], F.lit(1.0)) if large else F.lit(1.0)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) / 1_000_003
-    sample = usable.withColumn("draw", drawn).where(F.col("lang").isin(languages) & (F.col("draw") < share[F.col("lang")]))
+    sample = usable.withColumn("draw", drawn).where(F.col("draw") < share)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,3 +55,10 @@ def test_no_labels_keep_documents(spark):
     df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
     got = L.known_language(df)
     assert got.columns == df.columns and sorted(r.text for r in got.collect()) == ["the cat sat", "the end", "é"]
+
+
+def test_all_labels_are_learned(spark):
+    words = [f"{a}{b}" * 3 for a in "bcdfghjklm" for b in ("a", "e", "i", "o", "u", "y", "au")]
+    docs = [(i, " ".join([w] * 8), f"l{k:02}") for k, w in enumerate(words) for i in range(k * 40, k * 40 + (24 if k else 8))]
+    net = L.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert len(words) == 70 and net.languages == [f"l{k:02}" for k in range(70)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries that a worker's cache of words may hold before it is emptied.
-CACHE_ENTRIES = 400_000
+#: Entries that a worker's cache of words may hold before it is emptied: some 20 MB.
+CACHE_ENTRIES = 100_000
+#: Bytes of an Arrow batch on its way to a worker. Spark's own bound of 64 MB is one that both sides, and the
+#: buffer's doubling, hold several times over; the operators cut batches to a few MB anyway.
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,37 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes; a task leaves nothing of its words in the worker.
+
+    The session's bound on an Arrow batch's bytes is lowered to ARROW_BYTES where it is above.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key, "64m"))
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Empty this worker's table of words and give memory back."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as make it differ from all columns in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def arrow_table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch with the schema's columns, in its order and types."""
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema], schema=schema)

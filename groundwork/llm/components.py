@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow_table, settle
+from groundwork.llm.common import arrow_table, in_arrow, settle
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Links that a task unites at a time.
@@ -65,7 +65,7 @@ def components(links: DataFrame) -> DataFrame:
     Spark's skew join, since a star's centre is found by an aggregate. Ends when only stars
     are left, or once the links are at most LINKS_AT_ONCE, which one task unites.
     """
-    links = settle(links.select("a", "b").where("a <> b").mapInArrow(united, "a long, b long"), "links")
+    links = settle(in_arrow(links.select("a", "b").where("a <> b"), united, "a long, b long"), "links")
     while links.count() > LINKS_AT_ONCE:
         # Large star: every neighbour larger than the node moves to the smallest around it.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -80,4 +80,4 @@ def components(links: DataFrame) -> DataFrame:
         if links.agg(F.count("*") == F.count_distinct("b")).first()[0] and links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
     # So few links that one task unites them all at once.
-    return links.coalesce(1).mapInArrow(united, "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("component"))
+    return in_arrow(links.coalesce(1), united, "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("component"))

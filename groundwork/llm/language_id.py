@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow_table, crc32_remainder, slices, utf8
+from groundwork.llm.common import arrow_table, crc32_remainder, in_arrow, slices, unused, utf8
 
 #: Bytes in a window, size of a byte's vector, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
@@ -140,7 +140,7 @@ def fit(docs: DataFrame) -> ByteConvolution | None:
                 yield arrow_table(dict(zip(("lang", "draw", "windows"), map(list, zip(*rows)))), pa.schema([("lang", pa.string()), ("draw", pa.float64()), ("windows", pa.binary())]))
 
     # 1.25 * TEXTS rows of each label on average, WINDOWS * WINDOW bytes each.
-    rows = sorted(sample.select("lang", "draw", "text").mapInArrow(cut, "lang string, draw double, windows binary").collect(), key=lambda r: (r.lang, r.draw, r.windows))
+    rows = sorted(in_arrow(sample.select("lang", "draw", "text"), cut, "lang string, draw double, windows binary").collect(), key=lambda r: (r.lang, r.draw, r.windows))
     taken: dict[str, int] = dict.fromkeys(languages, 0)
     x, y = [], []
     for r in rows:
@@ -202,23 +202,26 @@ def predict_languages(docs: DataFrame, net: ByteConvolution | None = None) -> Da
             yield arrow_table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pred, "score": score}, RESULT)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(crc32_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), has_letters().alias("letters"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, net: ByteConvolution | None = None) -> DataFrame:
     """The rows of docs, with all their columns, whose text is given a language; `und` goes.
 
-    Where no network could be fitted (no usable label), every text with a letter stays.
+    Null texts, empty ones and those without a letter go. Where no network could be fitted (no
+    usable label), every text with a letter stays. Null and repeated ids make no difference: each
+    row is judged by its own text. An empty table stays empty.
     """
     net = net or fit(docs)
     if net is None:
         return docs.where(has_letters())
     shared, names = docs.sparkSession.sparkContext.broadcast(net), docs.columns
+    letters = unused(names, "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 2 << 20):
-            texts = [t if k else None for t, k in zip(utf8(batch, "text"), batch.column("_letters").to_pylist())]
+            texts = [t if k else None for t, k in zip(utf8(batch, "text"), batch.column(letters).to_pylist())]
             pred, _ = labelled(shared.value, texts)
             yield batch.filter(pa.array([p != "und" for p in pred])).select(names)
 
-    return docs.withColumn("_letters", has_letters()).mapInArrow(run, docs.schema)
+    return in_arrow(docs.withColumn(letters, has_letters()), run, docs.schema)

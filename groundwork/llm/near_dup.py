@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import GOLD, arrow_table, mix, settle, slices, utf8, word_hashes
+from groundwork.llm.common import GOLD, arrow_table, in_arrow, mix, settle, slices, unused, utf8, word_hashes
 from groundwork.llm.components import components
 
 #: Slots of a signature and slots of a band: at similarity 0.75 a pair shares no band once in 200,000 times.
@@ -112,7 +112,7 @@ def features(docs: DataFrame) -> DataFrame:
                 at = stop
             yield arrow_table({"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "set_a": prints[:, 0].copy(), "set_b": prints[:, 1].copy(), "bands": bands}, FEATURES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 2000, 4 << 20):
             yield arrow_table({"node": batch.column("doc_id"), "shingles": [shingles(t).tobytes() for t in utf8(batch, "text")]}, SETS)
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+    return in_arrow(docs, run, "node long, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -142,7 +142,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([similar(x, y) for x, y in zip(one, two)], pa.bool_())], names=["a", "b", "linked"])
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
-    return joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, linked boolean")
+    return in_arrow(joined.select("a", "b", "one", "two"), run, "a long, b long, linked boolean")
 
 
 def mixed_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def apart_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
         links = list(block_links(*key, rows))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(run, "a long, b long")
+    return in_arrow(met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high"), run, "a long, b long")
 
 
 def block_links(bucket: int, low: int, high: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -275,5 +275,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
     own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = own.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1")
+    row = unused(docs.columns, "row")
+    first = own.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1)
     return first.select(docs.columns).unionByName(docs.where("doc_id is null"))

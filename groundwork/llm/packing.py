@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.chunk_cache import chunk_ids
-from groundwork.llm.common import arrow_table, settle, slices, utf8
+from groundwork.llm.common import arrow_table, in_arrow, settle, slices, utf8
 
 #: Configurations priced at most, how fast weights fall, and the share of a length that one
 #: configuration may take at once.
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                     rows.append((doc_id, k, k * capacity, len(part) // 4, zlib.crc32(part)))
             yield arrow_table(dict(zip(PIECES.names, map(list, zip(*rows)))), PIECES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def priced(weights: np.ndarray) -> dict[int, int]:
@@ -223,4 +223,4 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: in
                 sequence[a:b], offset[a:b] = first[k] + times, at[k] + copy * s
             yield arrow_table({c: batch.column(c) for c in PIECES.names} | {"sequence_id": sequence, "offset": offset}, PLACED)
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_arrow(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

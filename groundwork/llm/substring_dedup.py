@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from groundwork.llm.common import arrow_table, slices, utf8, word_hashes
+from groundwork.llm.common import arrow_table, in_arrow, slices, utf8, word_hashes
 from groundwork.llm.windows import Bucket, Windows, duplicated, found_in, keyed, marked
 
 LENGTH, GRAM = 50, 8
@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             rows = []
-            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), found_in(batch), strict=True):
+            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), found_in(batch, "runs", "fresh"), strict=True):
                 words = (text or b"").split()
                 gone, n_spans = np.zeros(len(words), bool), 0
                 if len(own[0]):
@@ -80,4 +80,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 rows.append((doc_id, len(words), len(words) - len(kept), n_spans, hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield arrow_table(dict(zip(RESULT.names, map(list, zip(*rows)))), RESULT)
 
-    return marked(keyed(docs), s, first_documents(length), keep_all=True).mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(marked(keyed(docs), s, first_documents(length), keep_all=True)[0], run, "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")

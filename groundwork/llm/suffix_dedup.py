@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow_table, mix, slices, utf8
+from groundwork.llm.common import arrow_table, in_arrow, mix, slices, utf8
 from groundwork.llm.suffix_array import equal_windows
 from groundwork.llm.windows import Bucket, Found, Windows, duplicated, found_in, keyed, marked
 
@@ -112,9 +112,9 @@ def first_places(length: int):
     return decide
 
 
-def _spans(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, Windows]:
+def _spans(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, list[str], Windows]:
     s = spec(length, gram)
-    return marked(docs, s, first_places(length), keep_all=False), s
+    return *marked(docs, s, first_places(length), keep_all=False), s
 
 
 def gone_bytes(text: bytes | None, found: Found, s: Windows) -> np.ndarray:
@@ -130,31 +130,35 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     document at one place: what they share at equal starts stays in each. A null doc_id takes
     no part and keeps its text. An empty table gives an empty result. Other columns are not read.
     """
-    found, s = _spans(keyed(docs), length, gram)
+    found, extra, s = _spans(keyed(docs), length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             rows = []
-            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), found_in(batch), strict=True):
+            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), found_in(batch, *extra), strict=True):
                 gone = gone_bytes(text, own, s)
                 kept = np.frombuffer(text or b"", np.uint8)[~gone].tobytes()
                 n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 rows.append((doc_id, len(gone), len(gone) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
             yield arrow_table(dict(zip(RESULT.names, map(list, zip(*rows)))), RESULT)
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs, with all their columns, the texts without the removed bytes and n_chars, where there is
-    such a column, counted anew. A character of which a byte goes, goes whole."""
-    found, s = _spans(docs, length, gram)
+    such a column, counted anew. A character of which a byte goes, goes whole.
+
+    Null ids, null and empty texts and repeated ids are taken as in `dedup`; a row stays even if nothing
+    is left of its text. An empty table stays empty.
+    """
+    found, extra, s = _spans(docs, length, gram)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, 8 << 20):
             texts = []
-            for text, own in zip(utf8(batch, "text"), found_in(batch), strict=True):
+            for text, own in zip(utf8(batch, "text"), found_in(batch, *extra), strict=True):
                 gone = gone_bytes(text, own, s)
                 if gone.any():
                     data = np.frombuffer(text, np.uint8)
@@ -164,5 +168,5 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 texts.append(None if text is None else text.decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    out = found.select(*names, "_runs", "_fresh").mapInArrow(run, docs.schema)
+    out = in_arrow(found.select(*names, *extra), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

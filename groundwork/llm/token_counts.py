@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.chunk_cache import ODD, RUN, ChunkLengths, TokenCounter
-from groundwork.llm.common import arrow_table, slices
+from groundwork.llm.common import arrow_table, in_arrow, slices
 
 #: Rows of which the frequent chunks are taken, at most, and entries of the broadcast table, at most.
 #: The table only saves work; no count depends on what is in it.
@@ -75,4 +75,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield arrow_table({"doc_id": batch.column("doc_id"), "n_bytes": size, "n_tokens": n, "over_limit": n > limit}, SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -136,7 +136,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int) -> list:
             files.delete_file(f"{draft}.idx")
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long").collect())
+    return sorted(in_arrow(rows, run, "shard long, path string, n_docs long, n_tokens long").collect())
 
 
 def read_records(spark: SparkSession, manifest: list, width: int) -> DataFrame:
@@ -161,7 +161,7 @@ def read_records(spark: SparkSession, manifest: list, width: int) -> DataFrame:
                 if rows:
                     yield arrow_table(dict(zip(READ.names, map(list, zip(*rows)))), READ)
 
-    return shards.repartition(max(1, len(manifest)), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, record long")
+    return in_arrow(shards.repartition(max(1, len(manifest)), "shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, record long")
 
 
 def token_records(docs: DataFrame, path: str | None = None, end_id: int = 1, folder: str | None = None) -> DataFrame:

@@ -9,12 +9,13 @@ Consecutive windows that share a minimiser occurrence are a run.
 1.  anchors: every run's minimiser hash. A hash that occurs once in the corpus proves all
     windows of its run unique, so only runs whose hash occurs again are candidates. The rows of
     a hash meet and are counted, and there it is decided whether the hash is hot: once, for all
-    batches. A batch that makes a hash hot by itself knows that of its own runs; it sends one
-    row that tells the others, so a passage that stands in a third of all documents brings as
-    many rows together as there are batches, and fewer than HOT_IN_BATCH times as many anyway.
+    batches, by the number of different surroundings that its runs have. Runs of a batch with the
+    same surroundings are one row, so copies of a document bring a row for each batch together. A
+    batch that makes a hash hot by itself knows that of its own runs; it sends one row that tells
+    the others, so no batch sends HOT_IN_BATCH rows of one hash to the place where they meet.
 2.  runs: the candidates' packed strings travel to the bucket of their hash. A batch sends each
-    distinct string once, from its first owner. Hashes of very many rows (a passage that many
-    documents hold, each in another context) are spread: there each window travels alone, keyed
+    distinct string once, from its first owner. Hot hashes (a passage that many documents
+    hold, each in other surroundings) are spread: there each window travels alone, keyed
     by its own content, so that a bucket holds copies of few windows.
 3.  A bucket decides which of its windows each first owner has first (`fresh`); the operator
     says how. All other windows of candidate runs are duplicates.
@@ -31,16 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow_table, mix, settle, slices, utf8
+from groundwork.llm.common import MIX_1, arrow_table, in_arrow, mix, settle, slices, unused, utf8
 
 #: Windows looked at in one go, bytes of text in a batch, bytes of distinct strings of a bucket chunk.
 STRETCH, TEXT_BYTES, CHUNK_BYTES = 1 << 20, 2 << 20, 1 << 20
 #: A run in one number: its start, its windows (in WINDOW_BITS bits), and whether its hash is hot.
 WINDOW_BITS = 12
-#: A hash is hot from so many rows: occurrences in one batch, or batches that hold it.
-HOT_IN_BATCH, HOT_BATCHES = 64, 2000
+#: A hash is hot from so many different surroundings in one batch, or so many in all batches.
+HOT_IN_BATCH, HOT_ROWS = 64, 1000
+#: Bits of an anchor's mark below its surroundings' hash of 20 bits: a place and a number of windows.
+PLACE_BITS = 31 + WINDOW_BITS
 
-ANCHORS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64())])
+MORE = pa.list_(pa.struct([("doc_id", pa.int64()), ("mark", pa.int64())]))
+ANCHORS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("more", MORE)])
 RUNS = pa.schema([("h", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())])
 FRESH = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
@@ -65,31 +69,34 @@ def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def runs_of(h: np.ndarray, ends: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser hash, first window, number of windows) of each run, in a stream of texts that end at `ends`."""
+def runs_of(h: np.ndarray, ends: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser hash, first window, number of windows, hash of the first and last gram) of each run, in a
+    stream of texts that end at `ends`."""
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(h) - spec.length + 1, STRETCH):
         part = h[a : a + STRETCH + spec.length - 1]
         n = len(part) - spec.length + 1
         grams = gram_hashes(part, spec.gram)
-        bits = np.uint64(len(grams).bit_length())
-        low = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
-        width, count = 1, spec.length - spec.gram + 1
-        while 2 * width <= count:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < count:
-            low = np.minimum(low[: n], low[count - width : count - width + n])
-        place = (low[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        place, width, count = np.arange(len(grams), dtype=np.int32), 1, spec.length - spec.gram + 1
+        low = grams
+        while width < count:
+            step = min(width, count - width)
+            # Whole hashes are compared; of equal ones the leftmost stays.
+            right = low[step:] < low[: len(low) - step]
+            place = np.where(right, place[step:], place[: len(place) - step])
+            low = np.where(right, low[step:], low[: len(low) - step])
+            width += step
+        place = place[:n].astype(np.int64)
         # A window lies in one text if no text ends inside it.
         inside = np.searchsorted(ends, np.arange(a, a + n), "right") == np.searchsorted(ends, np.arange(a, a + n) + spec.length - 1, "right")
         place[~inside] = -1
         new = np.flatnonzero(np.diff(place, prepend=-2))
         count_of = np.diff(np.append(new, n))
         new, count_of = new[place[new] >= 0], count_of[place[new] >= 0]
-        out.append((grams[place[new]].view(np.int64), new + a, count_of))
+        around = mix(grams[new] * MIX_1 + grams[new + count_of - 1 + spec.length - spec.gram])
+        out.append((grams[place[new]].view(np.int64), new + a, count_of, around))
     if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(3))
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -113,37 +120,52 @@ def candidates(docs: DataFrame, spec: Windows) -> DataFrame:
         for batch in slices(batches, "text", 5000, TEXT_BYTES):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             h, ends = stream(utf8(batch, "text"), spec)
-            key, first, windows = runs_of(h, ends, spec)
+            key, first, windows, around = runs_of(h, ends, spec)
             if not len(key):
                 continue
             row = np.searchsorted(ends, first, "right")
             at = first - (ends - np.diff(ends, prepend=0))[row]
-            seen, first_of, where, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            hot = count >= HOT_IN_BATCH
-            marks = seen[hot]
-            hot = hot[where]
-            salt = np.where(hot, 1 + (mix((ids[row] * 7919 + at).astype(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
-            lead = np.zeros(len(key), bool)
-            lead[first_of] = True
-            mark = ((at << WINDOW_BITS | windows) << 1 | lead) << 1 | hot
+            mark = (around >> np.uint64(44)).astype(np.int64) << PLACE_BITS | at << WINDOW_BITS | windows
+            # Runs of one hash in one kind of surroundings: the first one's row carries the others.
+            order = np.lexsort((mark, key))
+            key, mark, doc = key[order], mark[order], ids[row[order]]
+            lead = np.ones(len(key), bool)
+            lead[1:] = (key[1:] != key[:-1]) | (mark[1:] >> PLACE_BITS != mark[:-1] >> PLACE_BITS)
+            lead = np.flatnonzero(lead)
+            size = np.diff(np.append(lead, len(key)))
+            h = key[lead]
+            _, where, count = np.unique(h, return_inverse=True, return_counts=True)
+            hot = count[where] >= HOT_IN_BATCH
+            marks = np.unique(h[hot])
             none = np.zeros(len(marks), np.int64)
-            yield arrow_table({"h": np.concatenate((key, marks)), "salt": np.concatenate((salt, none)), "doc_id": np.concatenate((ids[row], none)), "mark": np.concatenate((mark, none - 1))}, ANCHORS)
-
-    rows = docs.mapInArrow(run, "h long, salt int, doc_id long, mark long")
-    # Batches that hold the hash; a row of mark -1 is a batch that makes it hot alone.
-    held = f"sum(if(mark < 0, {HOT_BATCHES}, (mark >> 1) & 1)) over (partition by h, salt)"
-    counted = rows.withColumns({"n": F.expr("count(*) over (partition by h, salt)"), "held": F.expr(held)}).where("mark >= 0 and (salt > 0 or n > 1)")
-    hot = F.expr(f"(mark >> 2 << 1) | if(salt > 0 or held >= {HOT_BATCHES}, 1L, 0L)")
-    return counted.groupBy("doc_id").agg(F.collect_list(F.struct(hot.alias("mark"), "h")).alias("runs"))
-
-
-def packed_runs(base: DataFrame, spec: Windows, keep_all: bool) -> DataFrame:
+            salt = np.where(hot, 1 + (mix((doc[lead] * 7919 + mark[lead]).astype(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
+            rest = np.ones(len(key), bool)
+            rest[lead] = False
+            ends_of = np.cumsum(np.concatenate((size - 1, none)))
+            nulls = pa.array(np.concatenate((size == 1, none == 0)))
+            more = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], ends_of)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(mark[rest])], ["doc_id", "mark"]), mask=nulls
+            )
+            yield arrow_table({"h": np.concatenate((h, marks)), "salt": np.concatenate((salt, none)), "doc_id": np.concatenate((doc[lead], none)), "mark": np.concatenate((mark[lead], none - 1)), "more": more}, ANCHORS)
+
+    rows = in_arrow(docs, run, "h long, salt int, doc_id long, mark long, more array<struct<doc_id: long, mark: long>>")
+    # A row of mark -1 is a batch that makes its hash hot alone. Rows of salt 0 are counted by their different surroundings.
+    by = "partition by h, salt"
+    fresh = rows.withColumn("other", F.expr(f"mark >> {PLACE_BITS} is distinct from lag(mark >> {PLACE_BITS}) over ({by} order by mark)"))
+    counted = fresh.withColumns({"n": F.expr(f"count(*) over ({by})"), "held": F.expr(f"sum(if(mark < 0, {HOT_ROWS}, int(other))) over ({by})")}).where("mark >= 0 and (salt > 0 or n > 1 or more is not null)")
+    hot = F.expr(f"salt > 0 or held >= {HOT_ROWS}").cast("long")
+    each = counted.select("h", hot.alias("hot"), F.explode(F.concat(F.array(F.struct("doc_id", "mark")), F.coalesce("more", F.array()))).alias("x"))
+    mark = F.expr(f"(x.mark & {(1 << PLACE_BITS) - 1}) << 1 | hot")
+    return each.groupBy("x.doc_id").agg(F.collect_list(F.struct(mark.alias("mark"), "h")).alias("runs"))
+
+
+def packed_runs(base: DataFrame, name: str, spec: Windows, keep_all: bool) -> DataFrame:
     """h, packed, doc_id, at of the candidate runs: each batch sends a distinct string once, from its
     first place; with keep_all from every place in its first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, TEXT_BYTES):
-            ids, texts, runs = batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("_runs")
+            ids, texts, runs = batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column(name)
             begin, values = np.asarray(runs.offsets) - runs.offsets[0].as_py(), runs.flatten()
             mark, key = (values.field(k).to_numpy() for k in (0, 1))
             best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
@@ -168,7 +190,7 @@ def packed_runs(base: DataFrame, spec: Windows, keep_all: bool) -> DataFrame:
             if rows:
                 yield arrow_table(dict(zip(RUNS.names, map(list, zip(*rows)))), RUNS)
 
-    return base.mapInArrow(run, "h long, packed binary, doc_id long, at int")
+    return in_arrow(base, run, "h long, packed binary, doc_id long, at int")
 
 
 def _unpacked(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,16 +240,16 @@ def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[i
         rows = decide(buckets)
         return arrow_table(dict(zip(FRESH.names, map(list, zip(*rows)) if rows else ([], [], []))), FRESH)
 
-    return runs.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, at int, n int")
+    return in_arrow(runs.repartition("h").sortWithinPartitions("h"), run, "doc_id long, at int, n int")
 
 
 #: Of a document: marks of its candidate runs, first windows and numbers of windows of its fresh stretches.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def found_in(batch: pa.RecordBatch) -> Iterator[Found]:
-    """What each row's _runs and _fresh hold, as arrays; a null list is empty."""
-    runs, fresh = batch.column("_runs"), batch.column("_fresh")
+def found_in(batch: pa.RecordBatch, runs_name: str, fresh_name: str) -> Iterator[Found]:
+    """What each row's runs and fresh windows are, as arrays; a null list is empty."""
+    runs, fresh = batch.column(runs_name), batch.column(fresh_name)
     mark, at, n = runs.values.field("mark").to_numpy(), fresh.values.field("at").to_numpy(), fresh.values.field("n").to_numpy()
     r, f = runs.offsets.to_numpy(), fresh.offsets.to_numpy()
     for k in range(batch.num_rows):
@@ -253,16 +275,18 @@ def duplicated(n: int, found: Found, spec: Windows) -> np.ndarray:
     return np.cumsum(covered)[:-1] > 0
 
 
-def marked(docs: DataFrame, spec: Windows, decide: Callable, keep_all: bool) -> DataFrame:
-    """The rows of docs with _runs and _fresh, what `found_in` reads.
+def marked(docs: DataFrame, spec: Windows, decide: Callable, keep_all: bool) -> tuple[DataFrame, list[str]]:
+    """The rows of docs with two columns more, which `found_in` reads, and those columns' names: runs and fresh,
+    or what is free beside the columns of docs.
 
     Both joins with the texts read the same shuffle of docs by doc_id, so texts are dealt out
     once; that is why rows without doc_id go their own way.
     """
+    key, runs, last = (unused(docs.columns, x) for x in ("key", "runs", "fresh"))
     own = docs.where("doc_id is not null")
-    found = settle(candidates(keyed(own), spec), "candidates").select(F.col("doc_id").alias("_doc_id"), F.col("runs").alias("_runs"))
-    strings = packed_runs(own.join(found, own["doc_id"] == found["_doc_id"]), spec, keep_all)
-    fresh = fresh_windows(strings, decide, keep_all).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("_fresh")).withColumnRenamed("doc_id", "_doc_id")
-    out = own.join(found, own["doc_id"] == found["_doc_id"], "left").drop("_doc_id").join(fresh, own["doc_id"] == fresh["_doc_id"], "left").drop("_doc_id")
+    found = settle(candidates(keyed(own), spec), "candidates").select(F.col("doc_id").alias(key), F.col("runs").alias(runs))
+    strings = packed_runs(own.join(found, own["doc_id"] == found[key]), runs, spec, keep_all)
+    fresh = fresh_windows(strings, decide, keep_all).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias(last)).withColumnRenamed("doc_id", key)
+    out = own.join(found, own["doc_id"] == found[key], "left").drop(key).join(fresh, own["doc_id"] == fresh[key], "left").drop(key)
     rest = docs.where("doc_id is null")
-    return out.unionByName(rest.select("*", *(F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("_runs", "_fresh"))))
+    return out.unionByName(rest.select("*", *(F.lit(None).cast(out.schema[c].dataType).alias(c) for c in (runs, last)))), [runs, last]

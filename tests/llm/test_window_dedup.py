@@ -46,7 +46,7 @@ def result(df):
 def hot(request, monkeypatch):
     if request.param:
         monkeypatch.setattr(windows, "HOT_IN_BATCH", 2)
-        monkeypatch.setattr(windows, "HOT_BATCHES", 2)
+        monkeypatch.setattr(windows, "HOT_ROWS", 2)
         monkeypatch.setattr(windows, "STRETCH", 700)
         monkeypatch.setattr(windows, "CHUNK_BYTES", 2000)
 
@@ -98,7 +98,7 @@ def test_edges(spark):
 def test_hot_in_some_batches(spark, monkeypatch, batches, once):
     """A passage that one batch holds often and others once or twice is one passage everywhere."""
     monkeypatch.setattr(windows, "HOT_IN_BATCH", 3)
-    monkeypatch.setattr(windows, "HOT_BATCHES", batches)
+    monkeypatch.setattr(windows, "HOT_ROWS", batches)
     passage = " ".join(f"p{k}" for k in range(120))
 
     def part(ids, held=passage):
@@ -110,3 +110,34 @@ def test_hot_in_some_batches(spark, monkeypatch, batches, once):
     rows = sum(parts, [])
     assert result(suffix_dedup.dedup(df)) == brute_bytes(rows, 100)
     assert result(substring_dedup.dedup(df)) == brute_words(rows, 50)
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 50])
+@pytest.mark.parametrize("rows_to_be_hot", [1000, 5])
+def test_any_partitioning(spark, monkeypatch, partitions, rows_to_be_hot):
+    """Passages and copies that crowd in one partition and are rare in others give the same result however rows are dealt."""
+    monkeypatch.setattr(windows, "HOT_IN_BATCH", 8)
+    monkeypatch.setattr(windows, "HOT_ROWS", rows_to_be_hot)
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(70))
+    around = lambda i: " ".join(f"u{i}x{rng.randrange(99)}" for _ in range(9))
+    rows = [(i, f"{around(i)} {passage} {around(i)}") for i in range(2, 40)]
+    rows += [(1000, f"{around(1000)} {passage}"), (1, f"{passage} {around(1)}"), (900, "no copy " + around(900))]
+    copy = " ".join(f"c{k}" for k in range(80))
+    rows += [(2000 + i, copy) for i in range(20)] + [(50, copy)]
+    dealt = [[] for _ in range(partitions)]
+    for k, r in enumerate(rows):
+        dealt[0 if k < 30 else k % partitions].append(r)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(dealt, partitions).flatMap(lambda x: x), "doc_id long, text string")
+    assert result(suffix_dedup.dedup(df)) == brute_bytes(rows, 100)
+    assert result(substring_dedup.dedup(df)) == brute_words(rows, 50)
+
+
+def test_clashing_names(spark):
+    """Columns of the caller that are named like the operator's own, in any case, come back as they were."""
+    long = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, long, 5, "a", 7), (2, long, 6, "b", 8), (None, long, 9, "c", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, RUNS int, fresh string, key int")
+    got = suffix_dedup.dedup_texts(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.RUNS, r.fresh, r.key) for r in got.collect())) == [(0, 9, "c", 1), (1, 5, "a", 7), (2, 6, "b", 8)]

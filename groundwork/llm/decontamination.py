@@ -8,7 +8,9 @@ neighbouring diagonals (text position minus item position). So:
 2.  Shared q-grams are counted in coarse cells of diagonals and positions; cells around which too few
     lie to reach the bound go. Then they are counted for each region in overlapping bands of
     diagonals, and bands that meet the bound stay.
-3.  What stays is verified by alignment inside the band: the region must occur within its edit budget.
+3.  What stays is verified: a region all of whose grams lie on one diagonal stands there without an edit,
+    any other is aligned inside the band and must occur within its edit budget. Texts lie side by
+    side with more bytes of no text between them than any budget has edits, so no match crosses them.
 
 A verbatim passage of an item is found from 72 bytes on, wherever it starts: some region begins less
 than STRIDE before it, and the at most 8 bytes of the region that it lacks are edits in its budget.
@@ -16,7 +18,7 @@ Items below Q bytes have no gram and are looked up whole.
 
 Texts and items are compared as UTF-8 bytes with A-Z lower-cased and every blank or control as a
 space, so an item is found in any letter case and across line breaks; offsets are those of the
-text itself. The benchmark is broadcast in blocks of bounded size.
+text itself. Items of the same text are looked for once. The benchmark is broadcast in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow_table, slices, utf8
+from groundwork.llm.common import arrow_table, in_arrow, settle, slices, utf8
 
 #: Bytes of a gram (as many as one 64-bit integer holds), of a region, and between region starts; edits for so many bytes.
 Q, REGION, STRIDE, BYTES_PER_EDIT = 8, 80, 8, 10
@@ -41,15 +44,16 @@ GRAM_BITS, CELL_BITS = 22, 20
 #: Bytes of benchmark text that one broadcast holds, and bytes of text looked at in one go.
 BLOCK, STRETCH = 4 << 20, 4 << 20
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64()), ("regions", pa.int64()), ("regions_of_item", pa.int64())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64()), ("regions", pa.int64()), ("regions_of_item", pa.int64())])
 
 #: A-Z become a-z, every control and blank a space.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[:33] = 32
 FOLD_TABLE = FOLD.tobytes()
-#: No byte of UTF-8: stands between texts and between items.
+#: No byte of UTF-8: stands between items, and so often between texts that no edit budget bridges it.
 GAP = b"\xff"
+GAPS = GAP * (REGION // BYTES_PER_EDIT + 8)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +79,7 @@ class Index:
     """The benchmark's regions (number of the item, start and length in `text`) and where each gram stands."""
 
     text: bytes
-    items: list[int | None]
+    items: list[str]
     item: np.ndarray
     start: np.ndarray
     length: np.ndarray
@@ -88,7 +92,7 @@ class Index:
     short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def build(items: list[tuple[int | None, str]]) -> Index:
+    def build(items: list[tuple[str, str]]) -> Index:
         text, rows, first, short = bytearray(GAP), [], [], defaultdict(list)
         for k, (_, t) in enumerate(items):
             data = t.encode().translate(FOLD_TABLE)
@@ -124,14 +128,16 @@ class Index:
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.places[np.repeat(self.offsets[k], n) + within]
 
-    def bands(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(region, band) pairs whose shared grams meet the bound."""
+    def bands(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(region, band) pairs whose shared grams meet the bound, and (region, text place) of those that stand
+        there as they are; a band that holds such a place is not among the pairs."""
         if not len(i):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return (np.empty(0, np.int64),) * 4
         # A region's grams lie in at most 2 x 2 coarse cells: one of these has a quarter of them.
         length = self.length[self.length >= Q]
         least = int(min((length + 1 - Q * (np.array([budget(n) for n in length.tolist()]) + 1)).clip(1), default=1))
         d = i - j + len(self.text)
+        none = np.empty(0, np.int64)
 
         def cell(dd: np.ndarray, ii: np.ndarray) -> np.ndarray:
             return ((dd.astype(np.uint64) << np.uint64(32) | ii.astype(np.uint64)) * SPREAD) >> np.uint64(64 - CELL_BITS)
@@ -152,16 +158,21 @@ class Index:
             pairs.append((r[ok], d[ok]))
         r, d = (np.concatenate(x) for x in zip(*pairs))
         if not len(r):
-            return r, d
+            return none, none, none, none
         over = REGION // BYTES_PER_EDIT
+        # A region whose grams all lie on one diagonal stands there letter by letter.
+        line, count = np.unique(r << np.int64(40) | d, return_counts=True)
+        whole = line[count == self.length[line >> 40] + 1 - Q]
+        exact, at = whole >> 40, whole & (1 << 40) - 1
+        known = np.concatenate((exact << np.int64(36) | at // BAND, (exact << np.int64(36) | at // BAND - 1)[at % BAND < over]))
         second = d % BAND < over  # in the overlap with the band below
         key = np.concatenate((r, r[second])) << np.int64(36) | np.concatenate((d // BAND, d[second] // BAND - 1))
         key, count = np.unique(key, return_counts=True)
         r, band = key >> 36, key & (1 << 36) - 1
         n = self.length[r]
         edits = np.minimum(n // BYTES_PER_EDIT, np.maximum(0, -(-(n + 1) // Q) - 2))
-        keep = count >= n + 1 - Q * (edits + 1)
-        return r[keep], band[keep]
+        keep = (count >= n + 1 - Q * (edits + 1)) & ~np.isin(key, known)
+        return r[keep], band[keep], exact, at - len(self.text) + self.start[exact]
 
     def aligned(self, data: bytes, r: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least edits of each region inside its band, and the text's stretch of that alignment."""
@@ -170,11 +181,13 @@ class Index:
         width = BAND + 3 * over
         text = np.frombuffer(data, np.uint8)
         items = np.frombuffer(self.text, np.uint8)
-        k = np.arange(width)
-        big = 1 << 20
-        cost, begin = np.zeros((len(r), width), np.int64), np.zeros((len(r), width), np.int64)
-        begin[:] = (self.start[r] + low)[:, None] + k
-        end_cost = np.full(len(r), big)
+        k = np.arange(width, dtype=np.int32)
+        big = np.int32(1 << 18)
+        cost = np.zeros((len(r), width), np.int32)
+        # Where an alignment began is kept as its place in the first row.
+        begin = np.repeat(k[None], len(r), axis=0)
+        origin_of = self.start[r] + low
+        end_cost = np.full(len(r), big, np.int64)
         end_begin, end_at = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
         for step in range(int(self.length[r].max(initial=0)) + 1):
             place = self.start[r] + step
@@ -183,7 +196,7 @@ class Index:
             if done.any():
                 best = cost[done].argmin(axis=1)
                 rows = np.flatnonzero(done)
-                end_cost[rows], end_begin[rows], end_at[rows] = cost[rows, best], begin[rows, best], at[rows, best]
+                end_cost[rows], end_begin[rows], end_at[rows] = cost[rows, best], origin_of[rows] + begin[rows, best], at[rows, best]
             there = (at >= 0) & (at < len(text))
             other = text[np.clip(at, 0, max(0, len(text) - 1))] != items[np.minimum(place, len(items) - 1)][:, None]
             # Next item byte against the next text byte (same diagonal), or against none (diagonal below).
@@ -192,7 +205,7 @@ class Index:
             take = skip < same
             new, origin = np.where(take, skip, same), np.where(take, np.pad(begin[:, 1:], ((0, 0), (0, 1))), begin)
             # Text bytes without an item byte: steps to higher diagonals.
-            packed = (new - k) * (1 << 12) + k
+            packed = (new - k << np.int32(12)) + k
             packed = np.minimum.accumulate(packed, axis=1)
             source = packed & (1 << 12) - 1
             cost = np.take_along_axis(new, source, 1) + k - source
@@ -216,7 +229,8 @@ class Index:
 
     def search(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(region, start, stop, edits) of the verified regions in one stretch of texts."""
-        r, band = self.bands(*self.hits(data))
+        r, band, exact, at = self.bands(*self.hits(data))
+        yield from zip(exact.tolist(), at.tolist(), (at + self.length[exact]).tolist(), [0] * len(exact))
         for a in range(0, len(r), 4096):
             part = r[a : a + 4096]
             edits, begin, end = self.aligned(data, part, band[a : a + 4096])
@@ -226,16 +240,15 @@ class Index:
 
 def matches_of(index: Index, texts: list[bytes | None]) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item number, start, stop, least edits, regions) of every text and item that share a region."""
-    ends = np.cumsum([len(t or b"") + 1 for t in texts])
-    data = GAP.join(t or b"" for t in texts).translate(FOLD_TABLE) + GAP
+    ends = np.cumsum([len(t or b"") + len(GAPS) for t in texts])
+    data = GAPS.join(t or b"" for t in texts).translate(FOLD_TABLE) + GAPS
     found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = defaultdict(dict)
     reach = 4 * REGION
 
     def add(r: int, start: int, stop: int, edits: int) -> None:
-        t = int(np.searchsorted(ends, max(start, 0), "right"))
-        if t >= len(texts):
-            return
-        begin = int(ends[t]) - len(texts[t] or b"") - 1
+        # An alignment may begin or end in the gap: its middle lies in the text.
+        t = int(np.searchsorted(ends, (start + stop) // 2, "right"))
+        begin = int(ends[t]) - len(texts[t] or b"") - len(GAPS)
         own = found[t, int(index.item[r])]
         new = (edits, max(0, start - begin), min(stop - begin, len(texts[t] or b"")))
         own[r] = min(own.get(r, new), new)
@@ -248,15 +261,19 @@ def matches_of(index: Index, texts: list[bytes | None]) -> list[tuple[int, int,
     return [(t, k, min(x[1] for x in own.values()), max(x[2] for x in own.values()), min(x[0] for x in own.values()), len(own)) for (t, k), own in found.items()]
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of about BLOCK characters: a prefix sum over their lengths names each one's block."""
-    known = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    size = F.length("text") + 1
-    total = known.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item_id, sha, text) of the items that have a text."""
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").select("item_id", F.sha2("text", 256).alias("sha"), "text")
+
+
+def blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """(sha, text) of the items' different texts in blocks of about BLOCK bytes, dealt by a hash of the text."""
+    known = items.select("sha", "text").distinct()
+    total = known.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // BLOCK))
     for k in range(n):
-        part = known if n == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        part = known if n == 1 else known.where(F.pmod(F.xxhash64("sha"), F.lit(n)) == k)
+        yield sorted((r.sha, r.text) for r in part.collect())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -269,10 +286,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     give a row for each pair of rows. Either table may be empty. Other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    context = docs.sparkSession.sparkContext
+    context, items = docs.sparkSession.sparkContext, items_of(benchmark)
     found = []
-    for items in blocks(benchmark):
-        shared = context.broadcast(Index.build(items))
+    for block in blocks(items):
+        shared = context.broadcast(Index.build(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -282,17 +299,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if rows:
                     yield arrow_table(dict(zip(RESULT.names, map(list, zip(*rows)))), RESULT)
 
-        found.append(keyed.mapInArrow(run, "doc_id long, item_id long, start long, stop long, edits long, regions long, regions_of_item long"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+        found.append(in_arrow(keyed, run, "doc_id long, sha string, start long, stop long, edits long, regions long, regions_of_item long"))
+    out = reduce(DataFrame.union, found)
+    return out.join(items.select("sha", "item_id"), "sha").select("doc_id", "item_id", "start", "stop", "edits", "regions", "regions_of_item")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents (all their columns) that hold no part of a benchmark item; a null doc_id is judged by its own text."""
-    ids = contaminated(docs.where("doc_id is not null"), benchmark).select("doc_id").distinct()
-    rest = docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id())
-    known = docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(docs.columns)
-    bad = contaminated(rest.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
-    return known.unionByName(rest.join(bad, "_row", "left_anti").select(docs.columns))
+    """The documents, with all their columns, that hold no part of a benchmark item.
+
+    Each row is judged by its own text, so null and repeated ids make no difference; null and empty
+    texts stay. Either table may be empty. Nothing is shuffled: a row goes where it is read, and
+    beyond one block of the benchmark what is left is written between two blocks.
+    """
+    context, names = docs.sparkSession.sparkContext, docs.columns
+    for k, block in enumerate(blocks(items_of(benchmark))):
+        shared = context.broadcast(Index.build(block))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", 2000, 2 << 20):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[m[0] for m in matches_of(shared.value, utf8(batch, "text"))]] = False
+                yield batch.filter(pa.array(keep)).select(names)
+
+        docs = in_arrow(settle(docs, "kept") if k else docs, run, docs.schema)
+    return docs

@@ -97,3 +97,17 @@ def test_excerpts_and_short_items(spark):
     assert sorted((r.doc_id, r.item_id, r.start, r.stop, r.edits, r.regions, r.regions_of_item) for r in rows if r.item_id != 1) == [
         (501, 2, 0, 4, 0, 1, 1), (501, 3, 0, 4, 0, 1, 1), (502, 2, 10, 14, 0, 1, 1), (502, 3, 10, 14, 0, 1, 1), (502, 4, 3, 6, 0, 1, 1),
     ]
+
+
+def test_texts_do_not_touch(spark):
+    """An item whose halves end one text and begin the next is in neither, and rows do not depend on who shares a batch."""
+    rng = random.Random(3)
+    item = "".join(rng.choice("abcdefghij ") for _ in range(80))
+    index = D.Index.build([("s", item)])
+    one, two = b"xyz " * 9 + item[:40].encode(), item[40:].encode() + b" xyz" * 9
+    assert D.matches_of(index, [one, two]) == [] == D.matches_of(index, [one]) == D.matches_of(index, [two])
+    texts = [edited(rng, item, n).encode() for n in (0, 1, 3, 6, 9, 12)] + [item[3:].encode(), item[:-4].encode(), b"", None, one, two]
+    each = [[(k, *m[1:]) for m in D.matches_of(index, [t])] for k, t in enumerate(texts)]
+    for order in (texts, texts[::-1]):
+        got = sorted(D.matches_of(index, order))
+        assert got == sorted((k if order is texts else len(texts) - 1 - k, *m[1:]) for rows in each for k, *_ in [r[:1] for r in rows] for m in rows)

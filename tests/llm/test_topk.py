@@ -52,9 +52,41 @@ def test_phases_keep_the_answer(vectors, k):
     v = np.array(vectors, np.int64)
     row = {"ids": np.arange(len(v), dtype="<i8").tobytes(), "vectors": v.astype("<i8").tobytes(), "dims": 6} | {"q_ids": np.arange(2, dtype="<i8").tobytes(), "q_vectors": v[:2].astype("<i8").tobytes(), "q_dims": 6}
     pair = T.Pair(row)
-    lists = T.kth_scores(pair, k)
-    cutoffs = np.array([x[k - 1] if len(x) >= k else T.NEVER // 2 for x in lists], np.int64)
-    got = {r: list(zip(ids.tolist(), s.tolist())) for r, ids, s in T.entries(pair, cutoffs, k)}
+    scores, tops = T.gathered(pair, k)
+    cutoffs = np.array([x[k - 1] if x.shape[0] >= k and x[k - 1] != T.NEVER else T.ALL for x in scores], np.int64)
+    r, c, score, n = T.resolved(pair, cutoffs, tops, T.active_lists(tops, cutoffs))
+    best = T.firsts(r, c, score, k)
     for q in range(2):
         want = sorted((-int(v[q] @ v[i]), i) for i in range(len(v)) if i != q)[:k]
-        assert got.get(q, []) == [(i, -s) for s, i in want]
+        assert [(i, s) for x, i, s in zip(r[best].tolist(), c[best].tolist(), score[best].tolist()) if x == q] == [(i, -s) for s, i in want]
+    assert len(r) <= n <= 2 * (len(v) - 1)
+
+
+def _pair(v, queries):
+    return T.Pair({"ids": np.arange(len(v), dtype="<i8").tobytes(), "vectors": v.astype("<i8").tobytes(), "dims": v.shape[1], "q_ids": np.arange(queries, dtype="<i8").tobytes(), "q_vectors": v[:queries].astype("<i8").tobytes(), "q_dims": v.shape[1]})
+
+
+def test_thresholds_leave_out_work():
+    """The cutoff keeps most vectors from being completed, whole lists and blocks from being looked at, and decides what is found."""
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-60, 60, (20, 64))
+    v = centres[rng.integers(0, 20, 4000)] + rng.integers(-8, 9, (4000, 64))
+    pair, k = _pair(v, 50), 20
+    scores, tops = T.gathered(pair, k)
+    cutoffs = scores[:, k - 1]
+    active = T.active_lists(tops, cutoffs)
+    r, c, score, n = T.resolved(pair, cutoffs, tops, active)
+    full = (v[:50] @ v.T).astype(np.int64)
+    full[np.arange(50), np.arange(50)] = np.iinfo(np.int64).min
+    assert n < 0.3 * full.size and len(r) <= n
+    assert sorted(zip(r.tolist(), c.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(full >= cutoffs[:, None]))))
+    # Lists without a high enough part are not computed: what they miss is completed for the yielded vectors alone.
+    one = active.copy()
+    one[:, 1:] = False
+    r1, c1, score1, n1 = T.resolved(pair, cutoffs, tops, one)
+    assert 0 < n1 < n and (score1 == full[r1, c1]).all()
+    # No vector passes a cutoff above all scores; none is left out by the lowest one.
+    high = np.full(50, int(full.max()) + 1)
+    assert not T.active_lists(tops, high + 10**6).any() and len(T.resolved(pair, high, tops, np.ones_like(active))[0]) == 0
+    low = np.full(50, T.ALL)
+    assert T.resolved(pair, low, tops, T.active_lists(tops, low))[3] == 50 * 3999

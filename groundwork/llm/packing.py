@@ -6,12 +6,13 @@ only through its length, so the plan is made on the histogram of lengths, which
 
 1.  A configuration is a multiset of lengths that fit one sequence. The linear program asks
     for the fewest configurations that cover the histogram. It is solved by multiplicative
-    weights: each length has a weight (its share of a sequence, times a factor that falls
-    exponentially as the length gets covered), and pricing - the configuration of largest
-    weight - is an unbounded knapsack, solved by dynamic programming over the capacity.
-2.  Rounding takes the configurations that fill a sequence to its end, whole times and never
-    more often than their lengths occur; what is left is placed by best fit, longest first,
-    again on the histogram (equal sequences are handled as one).
+    weights to a fractional solution: each length has a weight (its share of a sequence, times a
+    factor that falls exponentially as the length gets covered), and pricing - the configurations
+    of largest weight - is an unbounded knapsack, solved by dynamic programming over the capacity.
+    Prices also give a lower bound of the program's value (`Program.bound`).
+2.  Rounding takes each configuration's multiplicity down to a whole number, then once more
+    those whose rest is large and whose pieces are still there; what is left is placed by best
+    fit, longest first, again on the histogram (equal sequences are handled as one).
 3.  The plan gives each length a list of slots. Spark numbers the pieces of a length - a
     range partitioning by length, then per-partition counts - and piece r takes slot r.
 """
@@ -22,6 +23,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -32,16 +34,12 @@ from pyspark.sql import functions as F
 from groundwork.llm.chunk_cache import chunk_ids
 from groundwork.llm.common import arrow_table, in_arrow, settle, slices, utf8
 
-#: Configurations priced at most, how fast weights fall, and the share of a length that one
-#: configuration may take at once.
-ROUNDS, ETA, STEP = 400, 0.05, 0.5
+#: Pricings at most, how fast weights fall as a length gets covered, and the share of a length that one round
+#: may cover (one piece at least).
+ROUNDS, ETA, STEP = 100, 4.0, 0.25
 #: Of configurations that fill a sequence alike, those of longer pieces are worth a little more: short
 #: pieces fit anywhere, so they are kept for last.
-BONUS = 2.0
-#: Pricing ends after so many rounds without a configuration that fills a sequence.
-IDLE = 20
-#: The program leaves this share of each length, at least, to best fit, which needs short pieces.
-LEFT = 0.2
+BONUS = 0.5
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -64,8 +62,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def priced(weights: np.ndarray) -> dict[int, int]:
-    """The multiset of lengths of largest total weight that fits: knapsack over all capacities.
+def priced(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over all capacities: the largest total weight that fits each, and the length placed last for it.
 
     weights[s] is that of length s, negative infinity where there is none to place.
     """
@@ -78,43 +76,85 @@ def priced(weights: np.ndarray) -> dict[int, int]:
             best[c], took[c] = value[s], s + 1
         else:
             best[c] = best[c - 1]
+    return best, took
+
+
+def traced(took: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths behind a knapsack's value at a capacity."""
     found: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if took[c]:
-            found[int(took[c])] += 1
-            c -= int(took[c])
+    while capacity > 0:
+        if took[capacity]:
+            found[int(took[capacity])] += 1
+            capacity -= int(took[capacity])
         else:
-            c -= 1
-    return dict(found)
+            capacity -= 1
+    return found
+
+
+@dataclass
+class Program:
+    """A fractional solution: configurations (length, copies) with their multiplicities, what they leave of each
+    length, and a lower bound of the program's value from the prices seen."""
+
+    x: dict[tuple[tuple[int, int], ...], float]
+    left: dict[int, float]
+    bound: float
+
 
+def fractional(counts: dict[int, int], capacity: int) -> Program:
+    """The configuration program by multiplicative weights.
 
-def configurations(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Configurations with their whole multiplicities, and what they leave of the counts."""
-    n = np.zeros(capacity + 1, np.int64)
+    A round prices all lengths by one knapsack and takes from it, for each length still to be
+    covered, the best configuration that holds it. Only configurations that fill their sequence
+    are taken: at the prices s / capacity, under which no sequence is worth more than 1, they lose
+    nothing, so what they cover is covered at the least cost. A round covers a length by at
+    most STEP of its count; then weights fall with the coverage.
+    """
+    n, share = np.zeros(capacity + 1), np.arange(capacity + 1) / capacity
     for s, k in counts.items():
         n[s] = k
-    left, kept, share = n.copy(), np.ceil(n * LEFT).astype(np.int64), np.arange(capacity + 1) / capacity
-    covered = np.zeros(capacity + 1)
-    used: list[tuple[dict[int, int], int]] = []
-    idle = 0
+    left, x = n.copy(), defaultdict(float)
+    bound = float((n * share).sum())
     for _ in range(ROUNDS):
-        free = left > kept
-        if not free.any() or idle > IDLE:
+        free = left > 0
+        weights = np.where(free, share * (1 + BONUS * share) * np.exp(-ETA * (1 - left / np.maximum(n, 1))), -np.inf)
+        best, took = priced(weights)
+        if best[capacity] <= 0:
+            break
+        bound = max(bound, float((np.where(free, weights, 0) * n).sum() / best[capacity]))
+        room, before = np.minimum(np.maximum(STEP * n, 1), left), len(x)
+        taken = 0.0
+        for s in np.flatnonzero(free)[::-1].tolist():
+            inside = traced(took, capacity - s)
+            inside[s] += 1
+            part = min(room[t] / a for t, a in inside.items())
+            if part > 0 and sum(t * a for t, a in inside.items()) == capacity:
+                taken += part
+                x[tuple(sorted(inside.items()))] += part
+                for t, a in inside.items():
+                    room[t] -= part * a
+                    left[t] = max(0.0, left[t] - part * a)
+        if taken < 1 and len(x) == before:
             break
-        weights = np.where(free, share * (1 + BONUS * share) * np.exp(-ETA * covered), -np.inf)
-        found = {s: min(a, int(left[s])) for s, a in priced(weights).items()}
-        part = STEP * min(n[s] / a for s, a in found.items())
-        for s, a in found.items():
-            covered[s] += part * a / n[s]
-        times = min(max(1, int(part)), *(int(left[s]) // a for s, a in found.items()), 1 << 62)
-        idle += 1
-        if sum(s * a for s, a in found.items()) == capacity:
-            idle = 0
-            used.append((found, times))
-            for s, a in found.items():
-                left[s] -= a * times
-    return used, {s: int(left[s]) for s in np.flatnonzero(left).tolist()}
+    return Program(dict(x), {int(s): float(left[s]) for s in np.flatnonzero(left)}, bound)
+
+
+def rounded(program: Program, counts: dict[int, int]) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole multiplicities, and what they leave of the counts.
+
+    First every multiplicity rounded down; then, by falling rest, configurations once more of
+    which the program has a half at least and whose pieces are all still there.
+    """
+    left, times = dict(counts), {inside: int(v) for inside, v in program.x.items()}
+    for inside, k in times.items():
+        for s, a in inside:
+            left[s] -= a * k
+    for inside, v in sorted(program.x.items(), key=lambda item: (item[1] % 1, item[0]), reverse=True):
+        if v % 1 >= 0.5 and all(left[s] >= a for s, a in inside):
+            times[inside] += 1
+            for s, a in inside:
+                left[s] -= a
+    return [(dict(inside), k) for inside, k in times.items() if k], {s: k for s, k in left.items() if k}
 
 
 def best_fit(counts: dict[int, int], capacity: int, opened: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
@@ -161,7 +201,7 @@ def best_fit(counts: dict[int, int], capacity: int, opened: list[tuple[dict[int,
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """(contents of a sequence by length, how many such sequences), covering the counts exactly."""
-    used, left = configurations(counts, capacity)
+    used, left = rounded(fractional(counts, capacity), counts)
     return best_fit(left, capacity, used)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from groundwork.llm.packing import best_fit, pack, plan, priced
+from groundwork.llm.packing import best_fit, fractional, pack, plan, priced, rounded, traced
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,7 +31,8 @@ def check(rows, texts, capacity):
 def test_priced():
     w = np.full(11, -np.inf)
     w[3], w[4], w[7] = 3.1, 4.0, 6.9
-    assert priced(w) == {3: 2, 4: 1}
+    best, took = priced(w)
+    assert traced(took, 10) == {3: 2, 4: 1} and abs(best[10] - 10.2) < 1e-9
 
 
 def test_plan_covers_exactly():
@@ -50,6 +51,36 @@ def test_plan_covers_exactly():
         assert used <= max(plain, least + 2), (used, plain, least)
 
 
+def test_program():
+    """The fractional solution covers no more than there is, its value meets the bound, and rounding takes a good part of the sequences from it."""
+    rng = random.Random(8)
+    counts = dict(Counter(min(512, int(rng.lognormvariate(4.2, 0.8)) + 1) for _ in range(20_000)))
+    program = fractional(counts, 512)
+    covered = Counter()
+    for inside, v in program.x.items():
+        assert v > 0 and sum(s * a for s, a in inside) == 512
+        for s, a in inside:
+            covered[s] += a * v
+    for s, n in counts.items():
+        assert abs(covered[s] + program.left.get(s, 0) - n) < 1e-6
+    material = sum(s * n for s, n in counts.items()) / 512
+    assert program.bound >= material - 1e-6
+    used, left = rounded(program, counts)
+    kept = Counter(left)
+    for inside, times in used:
+        for s, a in inside.items():
+            kept[s] += a * times
+    assert kept == Counter(counts)
+    packed = plan(counts, 512)
+    assert sum(t for _, t in used) > 0.3 * sum(t for _, t in packed) and program.bound <= sum(t for _, t in packed) + 1e-6 <= material + 3
+    assert all((inside, times) in [(i, t) for i, t in packed] for inside, times in used[:5])
+
+
+def test_bound_above_material():
+    # Pieces of more than half a sequence: no two fit together, and the prices say so.
+    assert fractional({6: 10, 4: 1}, 10).bound >= 6.4 and sum(t for _, t in plan({6: 10, 4: 1}, 10)) == 10
+
+
 def test_hard_instances():
     # Best fit alone needs one sequence more than 2 for {6, 5, 5, 2, 2} at 10 with the wrong pairs.
     assert sum(t for _, t in plan({6: 1, 4: 2, 3: 2}, 10)) == 2

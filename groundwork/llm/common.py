@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,9 +59,12 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def release() -> None:
-    """Empty this worker's table of words and give memory back."""
+    """Empty this worker's table of words and give freed memory back to the system, where the C library can."""
     _hashes.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def unused(columns: list[str], name: str) -> str:

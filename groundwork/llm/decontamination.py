@@ -42,7 +42,7 @@ BAND, CELL = 16, 128
 #: Bits of the table that tells grams of the benchmark from others at once, and of that of cells.
 GRAM_BITS, CELL_BITS = 22, 20
 #: Bytes of benchmark text that one broadcast holds, and bytes of text looked at in one go.
-BLOCK, STRETCH = 4 << 20, 4 << 20
+BLOCK, STRETCH = 4 << 20, 1 << 20
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64()), ("regions", pa.int64()), ("regions_of_item", pa.int64())])
 
@@ -293,7 +293,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in slices(batches, "text", 2000, 2 << 20):
+            for batch in slices(batches, "text", 2000, 1 << 20):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[t], index.items[k], start, stop, edits, n, int(index.of_item[k])) for t, k, start, stop, edits, n in matches_of(index, utf8(batch, "text"))]
                 if rows:
@@ -316,7 +316,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = context.broadcast(Index.build(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 2000, 2 << 20):
+            for batch in slices(batches, "text", 2000, 1 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[m[0] for m in matches_of(shared.value, utf8(batch, "text"))]] = False
                 yield batch.filter(pa.array(keep)).select(names)

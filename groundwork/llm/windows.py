@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from groundwork.llm.common import MIX_1, arrow_table, in_arrow, mix, settle, slices, unused, utf8
 
 #: Windows looked at in one go, bytes of text in a batch, bytes of distinct strings of a bucket chunk.
-STRETCH, TEXT_BYTES, CHUNK_BYTES = 1 << 20, 2 << 20, 1 << 20
+STRETCH, TEXT_BYTES, CHUNK_BYTES = 1 << 18, 2 << 20, 1 << 20
 #: A run in one number: its start, its windows (in WINDOW_BITS bits), and whether its hash is hot.
 WINDOW_BITS = 12
 #: A hash is hot from so many different surroundings in one batch, or so many in all batches.

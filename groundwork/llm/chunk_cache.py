@@ -13,7 +13,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from groundwork.llm.common import CACHE_ENTRIES
+from groundwork.llm.common import CACHE_ENTRIES, CLEAR
 
 _open: dict[str, Tokenizer] = {}
 
@@ -90,6 +90,15 @@ class ChunkIds(dict):
 _ids: dict[tuple[str, str], ChunkIds] = {}
 
 
+def _empty() -> None:
+    for cache in _ids.values():
+        cache.clear()
+        cache.pieces.clear()
+
+
+CLEAR.append(_empty)
+
+
 def chunk_ids(path: str, kind: str = "<u4") -> ChunkIds:
     if (path, kind) not in _ids:
         _ids[path, kind] = ChunkIds(path, kind)
@@ -137,6 +146,13 @@ class TokenCounter:
         self.first, self.spaced = ChunkLengths(path, "", first), ChunkLengths(path, " ", spaced)
         self.newline = self.first["\n"]
 
+    def clear(self) -> None:
+        """Leave tier one alone in both tables."""
+        for table in (self.first, self.spaced):
+            table.clear()
+            table.update(table.frequent)
+            table.pieces.clear()
+
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 

@@ -58,9 +58,18 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(whole, schema)
 
 
+#: What empties a worker's other caches when a task ends.
+CLEAR: list[Callable[[], None]] = []
+
+
 def release() -> None:
-    """Empty this worker's table of words and give freed memory back to the system, where the C library can."""
+    """Empty this worker's caches and give freed memory back to the system, where the C library can.
+
+    Workers outlive their task, and several may wait for the next one beside those at work.
+    """
     _hashes.clear()
+    for clear in CLEAR:
+        clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

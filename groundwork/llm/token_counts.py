@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.chunk_cache import ODD, RUN, ChunkLengths, TokenCounter
-from groundwork.llm.common import arrow_table, in_arrow, slices
+from groundwork.llm.common import CLEAR, arrow_table, in_arrow, slices
 
 #: Rows of which the frequent chunks are taken, at most, and entries of the broadcast table, at most.
 #: The table only saves work; no count depends on what is in it.
@@ -52,6 +52,7 @@ def unpacked(table: tuple[bytes, bytes]) -> dict[str, int]:
 
 
 _counters: dict[tuple, TokenCounter] = {}
+CLEAR.append(lambda: [c.clear() for c in _counters.values()])
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:

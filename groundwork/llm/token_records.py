@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm.chunk_cache import chunk_ids, tokenizer
-from groundwork.llm.common import arrow_table, shared_dir, slices, utf8
+from groundwork.llm.common import arrow_table, in_arrow, shared_dir, slices, utf8
 
 #: Fixed value of the mask.
 MASK_DELTA = 0xA282EAD8

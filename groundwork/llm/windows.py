@@ -169,7 +169,12 @@ def packed_runs(base: DataFrame, name: str, spec: Windows, keep_all: bool) -> Da
             begin, values = np.asarray(runs.offsets) - runs.offsets[0].as_py(), runs.flatten()
             mark, key = (values.field(k).to_numpy() for k in (0, 1))
             best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            size = 0
             for r in sorted(range(len(ids)), key=lambda r: ids[r]):
+                # Windows that travel alone are many times their text: what was gathered goes off in between.
+                if size >= TEXT_BYTES:
+                    yield table(best)
+                    best, size = {}, 0
                 mine = begin[r] + np.argsort(mark[begin[r] : begin[r + 1]])
                 at, windows, hot = (x.tolist() for x in _unpacked(mark[mine]))
                 spans, keys = [], []
@@ -183,12 +188,17 @@ def packed_runs(base: DataFrame, name: str, spec: Windows, keep_all: bool) -> Da
                 for k, (x, _), packed in zip(keys, spans, spec.strings(texts[r] or b"", spans)):
                     if k is None:
                         k = int(np.uint64(hash_of(packed)).view(np.int64))
-                    owners = best.setdefault((k, packed), [])
-                    if not owners or keep_all and owners[0][0] == ids[r]:
+                    owners = best.get((k, packed))
+                    if owners is None:
+                        best[k, packed] = [(ids[r], x)]
+                        size += len(packed)
+                    elif keep_all and owners[0][0] == ids[r]:
                         owners.append((ids[r], x))
-            rows = [(k, packed, *owner) for (k, packed), owners in best.items() for owner in owners]
-            if rows:
-                yield arrow_table(dict(zip(RUNS.names, map(list, zip(*rows)))), RUNS)
+            yield table(best)
+
+    def table(best: dict[tuple[int, bytes], list[tuple[int, int]]]) -> pa.RecordBatch:
+        rows = [(k, packed, *owner) for (k, packed), owners in best.items() for owner in owners]
+        return arrow_table(dict(zip(RUNS.names, map(list, zip(*rows)) if rows else ([], [], [], []))), RUNS)
 
     return in_arrow(base, run, "h long, packed binary, doc_id long, at int")
 

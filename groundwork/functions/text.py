@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, their order, and the marks put in their place.
@@ -159,3 +159,161 @@ def stale(day: Column, today: Column, days: int) -> Column:
 def number(text: Column) -> Column:
     """A number with thousands commas; blank, '-' or anything else is null, never 0."""
     return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")
+
+
+# Fixed values of query normalisation and of the clean-up of a model's search terms.
+LEAST_SURFACE, ENOUGH_HITS = 3, 2
+PROTECTED = (
+    "한도제한계좌", "거래목적확인", "계좌개설", "비대면계좌개설", "금융거래목적", "외국인등록증", "모바일외국인등록증", "외국인등록번호", "체류자격", "체류기간", "재직증명서", "근로계약서",
+    "급여명세서", "재학증명서", "해외송금", "지정거래은행", "해외송금통합관리시스템", "외국환거래규정", "매매기준율", "보이스피싱", "전기통신금융사기", "피해구제신청", "지급정지",
+)
+ANSWER_PREFIXES = ("검색어:", "검색어 :", "Search terms:", "Keywords:", "답변:", "출력:")
+REASONING_LEAD = r"(?iu)\A\s*(?:(?:thinking process|analysis|let me|first,|okay|sure|알겠|먼저|분석|네,|다음은)|(?:step|단계)\s*\d)"
+
+
+def lexical_tokens(text: Column) -> Column:
+    """Search tokens: protected compounds whole, other runs of letters and digits, then the codes, which are taken out first."""
+    compounds = "|".join(sorted(PROTECTED, key=len, reverse=True))
+    plain = F.regexp_replace(text, CODE, " ")
+    return F.concat(F.regexp_extract_all(F.lower(plain), F.lit(rf"{compounds}|(?:(?!{compounds})[\p{{L}}\p{{N}}])+"), F.lit(0)), codes(text))
+
+
+def surfaces(glossary: DataFrame, code: str, ko: str, labels: Column, order: str) -> DataFrame:
+    """One row, one array: (surface in lower case, ko), longest first; the first term with a surface has it.
+
+    A look-up scans the array for every text, so this is for glossaries of some hundred terms.
+    """
+    each = glossary.select(order, ko, F.posexplode(F.concat(F.array(ko), labels)).alias("at", "surface")).where(F.length("surface") >= LEAST_SURFACE)
+    place = F.struct(order, "at")
+    first = each.groupBy(F.lower("surface").alias("surface")).agg(F.min_by(ko, place).alias("ko"), F.min(place).alias("place"))
+    rows = F.array_sort(F.collect_list(F.struct((-F.length("surface")).alias("size"), "place", "surface", "ko")))
+    return first.agg(F.transform(rows, lambda r: F.struct(r["surface"].alias("surface"), r["ko"].alias("ko"))).alias("surfaces"))
+
+
+def glossary_hits(text: Column, table: Column) -> Column:
+    """The terms whose surfaces stand in the text, longest first, each once; a matched span is blanked before shorter ones are tried."""
+    begin = F.struct(F.lower(text).alias("rest"), F.array().cast("array<string>").alias("hits"))
+
+    def step(state: Column, entry: Column) -> Column:
+        found = F.contains(state["rest"], entry["surface"])
+        rest = F.when(found, F.replace(state["rest"], entry["surface"], F.lit(" "))).otherwise(state["rest"])
+        return F.struct(rest.alias("rest"), F.when(found, F.array_union(state["hits"], F.array(entry["ko"]))).otherwise(state["hits"]).alias("hits"))
+
+    return F.aggregate(table, begin, step, lambda state: state["hits"])
+
+
+def with_code(text: Column, code: Column) -> Column:
+    """The search terms behind a code, unless they hold it already in either spelling."""
+    plain = lambda c: F.replace(F.upper(c), F.lit("-"), F.lit(""))
+    held = code.isNull() | (code == "") | F.contains(plain(text), plain(code))
+    return F.trim(F.when(held, text).otherwise(F.concat(code, F.lit(" "), text)))
+
+
+def normalised(query: Column, lang: Column, code: Column, hits: Column, translated: Column) -> Column:
+    """(terms, via, code): a Korean query as it is; else two glossary hits or more; else the translator's
+    terms with the hits; without a translation (null) the hits, or the query itself. A code in the query beats the session's."""
+    code = F.coalesce(F.try_element_at(codes(query), F.lit(1)), code)
+    joined = F.array_join(hits, " ")
+    own = F.when(lang == "ko", query).when(F.size(hits) > 0, joined).otherwise(query)
+    via = F.when(lang == "ko", "passthrough").when(F.size(hits) >= ENOUGH_HITS, "glossary").when(translated.isNull(), "passthrough").otherwise("llm")
+    terms = F.when(via == "llm", F.array_join(F.array_distinct(F.concat(F.array(translated), hits)), " ")).otherwise(own)
+    return F.struct(with_code(terms, code).alias("terms"), via.alias("via"), code.alias("code"))
+
+
+def cache_key(lang: Column, code: Column, query: Column) -> Column:
+    return F.sha1(F.concat_ws("|", lang, F.coalesce(code, F.lit("")), query))
+
+
+def search_terms(raw: Column) -> Column:
+    """The search terms in a model's output: its first line with Hangul, after thoughts, leads, prefixes and quotes; else empty."""
+    text = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?is)<think>.*?</think>", " ")
+    text = F.regexp_replace(text, r"(?is)\A.*?</think>", "")
+    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x.rlike(r"[가-힯]") & ~x.rlike(REASONING_LEAD))
+    line = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    line = F.regexp_replace(line, rf"(?iu)\A(?:(?:{'|'.join(ANSWER_PREFIXES)})\s*)+", "")
+    return F.trim(F.regexp_replace(line, "\\A[\"“”'`]+|[\"“”'`]+\\z", ""))
+
+
+def markdown_table(cells: Column) -> Column:
+    """A table of rows of cells as Markdown: empty rows go, ragged ones are filled up; empty text below two rows."""
+    rows = F.transform(cells, lambda r: F.transform(r, lambda c: F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))))
+    rows = F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
+    width = F.array_max(F.transform(rows, F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    shown = F.transform(rows, line)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
+    return F.when(F.size(rows) < 2, F.lit("")).otherwise(F.array_join(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, F.lit(2), F.greatest(F.size(shown) - 1, F.lit(0)))), "\n"))
+
+
+def front_matter(fields: dict[str, Column]) -> Column:
+    """Fields as `key: value` lines between two lines of dashes, in their order; values as JSON, which YAML reads too."""
+    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(F.regexp_replace(F.to_json(F.struct(v.alias("v"))), r'\A\{"v":|\}\z', ""), F.lit("null"))) for k, v in fields.items()]
+    lines = [F.when(v.isNull(), F.lit(f"{k}: null")).otherwise(line) for line, (k, v) in zip(lines, fields.items())]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
+
+
+def html_escaped(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def packed_list(values: Column) -> Column:
+    """A list in one string that holds no list: its values between bars, a lone bar if there is none."""
+    return F.when(F.size(values) > 0, F.concat(F.lit("|"), F.array_join(values, "|"), F.lit("|"))).otherwise(F.lit("|"))
+
+
+def unpacked_list(text: Column) -> Column:
+    return F.filter(F.split(text, r"\|"), lambda x: x != "")
+
+
+def compact_day(text: Column) -> Column:
+    """A yyyymmdd date; anything else is null."""
+    return F.when(text.rlike(r"\A\d{8}\z"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
+
+
+def strict_answer(raw: Column, schema: str, required: list[str]) -> Column:
+    """A generated JSON object by its schema; null if it is broken or lacks a required field."""
+    row = F.from_json(raw, schema)
+    return F.when(reduce(lambda a, b: a & b, (row[c].isNotNull() for c in required)), row)
+
+
+def sse_text(event: Column, payload: Column) -> Column:
+    """A server-sent event: its name, its payload as JSON, and the empty line that ends it."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), payload, F.lit("\n\n"))
+
+
+def sse_blocks(stream: Column, ended: bool = False) -> Column:
+    """(event, data) of the complete blocks of a stream, in order; an unfinished tail waits unless the stream has ended.
+
+    Blocks without a name, without data or with broken JSON are left out.
+    """
+    blocks = F.split(stream, "\n\n")
+    blocks = blocks if ended else F.slice(blocks, F.lit(1), F.size(blocks) - 1)
+
+    def parsed(block: Column) -> Column:
+        lines = F.split(block, "\n")
+        names = F.filter(lines, lambda x: x.startswith("event: "))
+        data = F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("data: ")), lambda x: F.substring(x, 7, 1 << 30)), "")
+        return F.struct(F.trim(F.substring(F.try_element_at(names, F.lit(-1)), 8, 1 << 30)).alias("event"), data.alias("data"))
+
+    known = lambda b: b["event"].isNotNull() & (b["event"] != "") & (b["data"] != "") & F.try_parse_json(b["data"]).isNotNull()
+    return F.filter(F.transform(blocks, parsed), known)
+
+
+def preferred_language(header: Column, known: list[str], default: str) -> Column:
+    """Of an Accept-Language header the first known language by falling q-value, ties in the header's order."""
+    parts = F.transform(
+        F.split(header, ","),
+        lambda p, k: F.struct(
+            (-F.coalesce(F.regexp_extract(p, r";\s*q=([0-9.]+)", 1).try_cast("double"), F.lit(1.0))).alias("q"), k.alias("k"),
+            F.lower(F.split_part(F.split_part(F.trim(p), F.lit(";"), F.lit(1)), F.lit("-"), F.lit(1))).alias("lang"),
+        ),
+    )
+    found = F.filter(F.transform(F.array_sort(parts), lambda p: F.trim(p["lang"])), lambda x: x.isin(known))
+    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(default))
+
+
+def sigmoid(x: Column) -> Column:
+    """A logit as a share, without overflow on either side."""
+    return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))

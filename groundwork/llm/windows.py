@@ -36,6 +36,8 @@ from groundwork.llm.common import MIX_1, arrow_table, in_arrow, mix, settle, sli
 
 #: Windows looked at in one go, bytes of text in a batch, bytes of distinct strings of a bucket chunk.
 STRETCH, TEXT_BYTES, CHUNK_BYTES = 1 << 18, 2 << 20, 1 << 20
+#: Strings cut from a text in one go.
+SPANS = 8192
 #: A run in one number: its start, its windows (in WINDOW_BITS bits), and whether its hash is hot.
 WINDOW_BITS = 12
 #: A hash is hot from so many different surroundings in one batch, or so many in all batches.
@@ -171,10 +173,6 @@ def packed_runs(base: DataFrame, name: str, spec: Windows, keep_all: bool) -> Da
             best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             size = 0
             for r in sorted(range(len(ids)), key=lambda r: ids[r]):
-                # Windows that travel alone are many times their text: what was gathered goes off in between.
-                if size >= TEXT_BYTES:
-                    yield table(best)
-                    best, size = {}, 0
                 mine = begin[r] + np.argsort(mark[begin[r] : begin[r + 1]])
                 at, windows, hot = (x.tolist() for x in _unpacked(mark[mine]))
                 spans, keys = [], []
@@ -185,15 +183,21 @@ def packed_runs(base: DataFrame, name: str, spec: Windows, keep_all: bool) -> Da
                     else:
                         spans.append((x, x + n + spec.length - 1))
                         keys.append(k)
-                for k, (x, _), packed in zip(keys, spans, spec.strings(texts[r] or b"", spans)):
-                    if k is None:
-                        k = int(np.uint64(hash_of(packed)).view(np.int64))
-                    owners = best.get((k, packed))
-                    if owners is None:
-                        best[k, packed] = [(ids[r], x)]
-                        size += len(packed)
-                    elif keep_all and owners[0][0] == ids[r]:
-                        owners.append((ids[r], x))
+                for a in range(0, len(spans), SPANS):
+                    part = spans[a : a + SPANS]
+                    for k, (x, _), packed in zip(keys[a : a + SPANS], part, spec.strings(texts[r] or b"", part)):
+                        if k is None:
+                            k = int(np.uint64(hash_of(packed)).view(np.int64))
+                        owners = best.get((k, packed))
+                        if owners is None:
+                            best[k, packed] = [(ids[r], x)]
+                            size += len(packed)
+                        elif keep_all and owners[0][0] == ids[r]:
+                            owners.append((ids[r], x))
+                    # Windows that travel alone are many times their text: what was gathered goes off in between.
+                    if size >= TEXT_BYTES:
+                        yield table(best)
+                        best, size = {}, 0
             yield table(best)
 
     def table(best: dict[tuple[int, bytes], list[tuple[int, int]]]) -> pa.RecordBatch:

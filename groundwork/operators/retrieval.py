@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +33,16 @@ def bm25(questions: DataFrame, docs: DataFrame, query: str, key: str, k: int = T
     """(query, key, score, rank): the k best documents of each question by Okapi BM25, positive scores only.
 
     The always-positive idf ln(1 + (N - df + 1/2) / (df + 1/2)); repeated question words count as
-    often. The index is cut down to the questions' terms before anything is shuffled by term.
+    often. A document's words are cut down to those that questions ask for before anything is
+    shuffled; only N and the mean length are over all words.
     """
     asked = questions.select(query, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
-    posts = postings(docs, key)
-    df, totals = index_stats(posts, docs, key)
-    n, avgdl = totals.first()
-    hit = posts.join(asked.select("term").distinct(), "term", "left_semi").join(df, "term")
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))).alias("w"))
+    words = docs.select(key, T.tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), "t")
+    totals = words.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("x"))
+    hit = words.select(key, "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("x", totals.scalar())
+    idf = F.log(1 + (F.col("x.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("x.avgdl")))).alias("w"))
     scored = asked.join(weight, "term").groupBy(query, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)))
     return ranked.where((F.col("rank") <= k) & (F.col("score") > 0))
@@ -51,18 +56,75 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(questions: DataFrame, vectors: DataFrame, query: str, key: str, vector: str, k: int = TOP_K, blocks: int = 16) -> DataFrame:
-    """(query, key, score, rank): the k nearest vectors of each question by cosine, exact.
+def vector_blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(block, ids, vectors): `size` vectors at most in a row, packed, each of length one; those without a direction are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, ids, held = TaskContext.get().partitionId() << 33, [], []
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.array([np.nan if c is None else c for c in v or [0.0]], np.float64)
+                norm = np.sqrt((x * x).sum())
+                if i is not None and np.isfinite(norm) and norm > 0:
+                    ids.append(i)
+                    held.append(x / norm)
+                if len(ids) == size:
+                    yield _packed(number, ids, held)
+                    number, ids, held = number + 1, [], []
+        if ids:
+            yield _packed(number, ids, held)
+
+    return rows.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "block long, ids binary, vectors binary")
+
+
+def _packed(number: int, ids: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"block": number, "ids": np.array(ids, "<i8").tobytes(), "vectors": np.array(held, "<f8").tobytes()}])
 
-    A stated set of questions against all vectors: the questions are dealt over blocks, and
-    each vector meets the blocks one by one in an equi-join.
+
+def dense(questions: DataFrame, vectors: DataFrame, query: str, key: str, vector: str, k: int = TOP_K, others_only: bool = True) -> DataFrame:
+    """(query, key, score, rank): the k nearest vectors of each question by cosine, exact; with others_only none of the question's own key.
+
+    A stated set of questions against all vectors: both come in packed blocks, each two blocks meet
+    in one matrix product, and of a block only the k best of each question go on.
     """
-    asked = questions.select(query, F.col(vector).alias("q"), F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int").alias("block"))
-    met = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(asked, "block").where(F.col(query) != F.col(key))
-    scored = met.select(query, key, F.round(cosine(F.col("q"), F.col(vector)), 6).alias("score"))
+    asked = vector_blocks(questions, query, vector, 1024).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("block").alias("q_block"))
+    numbers = asked.agg(F.collect_list("q_block").alias("numbers"))  # one number for 1,024 questions
+    met = vector_blocks(vectors, key, vector, 4096).withColumn("numbers", numbers.scalar()).select("ids", "vectors", F.explode("numbers").alias("q_block")).join(asked, "q_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, i = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                score = np.round(np.frombuffer(row["q_vectors"], "<f8").reshape(len(q), -1) @ np.frombuffer(row["vectors"], "<f8").reshape(len(i), -1).T, 6)
+                if others_only:
+                    score[q[:, None] == i[None, :]] = -np.inf
+                best = np.lexsort((np.broadcast_to(i, score.shape), -score), axis=1)[:, :k]
+                found = np.take_along_axis(score, best, 1)
+                real = found > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, real.sum(axis=1))), pa.array(i[best[real]]), pa.array(found[real])], [query, key, "score"])
+
+    scored = met.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, f"{query} long, {key} long, score double")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
+def hybrid(questions: DataFrame, docs: DataFrame, vectors: DataFrame, query: str, key: str, scoped: bool = False, n: int = TOP_N) -> DataFrame:
+    """Hybrid search: vectors and words, rank fusion, scope with relaxation, the n best with position, margin and top1.
+
+    questions: query, text, embedding and, if scoped, wanted (null: no filter); docs: key, text and,
+    if scoped, scope; vectors: key, embedding. top1 is the best vector score among the n
+    selected, 0 where none of them came by its vector.
+    """
+    near = dense(questions, vectors, query, key, "embedding", others_only=False)
+    found = fused(near, bm25(questions, docs, query, key), query, key).withColumn("relaxed", F.lit(False))
+    if scoped:
+        found = found.drop("relaxed").join(docs.select(key, "scope"), key).join(questions.select(query, "wanted"), query)
+        found = in_scope(found, query, F.col("scope"), F.col("wanted")).drop("scope", "wanted")
+    best = selected(found, query, key, n)
+    return best.withColumn("top1", F.max(F.coalesce("first_score", F.lit(0.0))).over(Window.partitionBy(query)))
+
+
 def fused(first: DataFrame, second: DataFrame, query: str, key: str, weight: float = 1.0) -> DataFrame:
     """(query, key, first_rank, second_rank, first_score, rrf): reciprocal-rank fusion; a rank may be missing."""
     a = first.select(query, key, F.col("rank").alias("first_rank"), F.col("score").alias("first_score"))

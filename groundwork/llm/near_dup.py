@@ -152,7 +152,7 @@ def mixed_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("bucket", "least"), "bucket")
 
 
-def links_of(docs: DataFrame, buckets: DataFrame) -> DataFrame:
+def links_of(docs: DataFrame, buckets: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """Verified links (a, b) that join exactly the classes which chains of similar sets join.
 
     buckets: (bucket, node), a class in each of its bands' buckets.
@@ -176,10 +176,10 @@ def links_of(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     done = done.union(more)
     # What a bucket still holds apart, class by class, without a row for a pair.
     mixed = mixed_buckets(mixed.select("bucket", "node"), components(done.where("linked")))
-    return done.where("linked").select("a", "b").union(apart_links(mixed, sets))
+    return done.where("linked").select("a", "b").union(apart_links(mixed, sets, fewest))
 
 
-def apart_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+def apart_links(mixed: DataFrame, sets: DataFrame, fewest: int) -> DataFrame:
     """Links (a, b) between classes that share a bucket and differ in component.
 
     A bucket is cut into blocks of about BLOCK classes; each two blocks of a bucket meet in one
@@ -204,17 +204,17 @@ def apart_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
             yield table(last, held)
 
     def table(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        links = list(block_links(*key, rows))
+        links = list(block_links(*key, rows, fewest))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return in_arrow(met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high"), run, "a long, b long")
 
 
-def block_links(bucket: int, low: int, high: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+def block_links(bucket: int, low: int, high: int, rows: list[tuple], fewest: int = FEWEST) -> Iterator[tuple[int, int]]:
     """Links between the classes (block, node, component, shingles) of two blocks of a bucket.
 
     Pairs of one component, pairs whose first common band is another bucket, and pairs whose
-    signatures agree in fewer slots than FEWEST need no comparison of their sets.
+    signatures agree in fewer slots than `fewest` need no comparison of their sets.
     """
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
     signs = np.concatenate([signatures(sets[a : a + 256]) for a in range(0, len(sets), 256)])
@@ -234,14 +234,14 @@ def block_links(bucket: int, low: int, high: int, rows: list[tuple]) -> Iterator
         ys = second[second > x] if low == high else second
         ys = ys[component[ys] != component[x]]
         ys = ys[~(bands[ys, :band] == bands[x, :band]).any(axis=1)]
-        for y in ys[(shorts[ys] == shorts[x]).sum(axis=1) >= FEWEST].tolist():
+        for y in ys[(shorts[ys] == shorts[x]).sum(axis=1) >= fewest].tolist():
             one, two = root(int(component[x])), root(int(component[y]))
             if one != two and similar(sets[x], sets[y]):
                 up[max(one, two)] = min(one, two)
                 yield min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents grouped by chains of similar texts.
 
     A text's set are its distinct shingles of five words (A-Z lower-cased; a text of fewer
@@ -250,13 +250,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null texts and texts without words have no shingles and stay alone. One row for each
     input row; rows that repeat a doc_id share its component. A null doc_id takes no part in
     links and gives component_id null, kept true. An empty table gives an empty result.
-    Other columns are not read.
+    Other columns are not read. Pairs of a bucket that are met in the last round are compared if
+    their signatures agree in `fewest` slots at least; 0 compares all of them on their sets.
     """
     feats = settle(features(docs), "features")
     real = feats.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = settle(classes, "classes")
-    links = links_of(docs, classes.select("node", F.explode("bands").alias("bucket")).distinct())
+    links = links_of(docs, classes.select("node", F.explode("bands").alias("bucket")).distinct(), fewest)
     # Rows that repeat an id hold its classes together.
     same = real.join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     found = components(links.union(same.where("a <> b")))

@@ -108,3 +108,19 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     roots, nodes = forest(np.array([a for a, _ in links]), np.array([b for _, b in links]))
     assert got == dict(zip(nodes, roots))
+
+
+def test_every_pair_compared_finds_the_same(spark, monkeypatch):
+    """The last round with all pairs compared on their sets links what the signatures' filter leaves, and what brute force links."""
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 3, 5))):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    exact = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, fewest=0).collect())
+    assert exact == result(df) == brute(rows)

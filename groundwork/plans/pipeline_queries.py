@@ -111,12 +111,12 @@ def scoring_run(spark: SparkSession, sf: str) -> DataFrame:
 
 SCORING_RUN = f"""
 WITH {RUN_CTE},
-o AS (SELECT *, i % 7 = 2 AS trap, reason IS NOT NULL AS fell, list_contains(docs, i * 7 % 100) AS hit, CASE WHEN reason IS NOT NULL THEN 'C' WHEN tier = 'A' AND (NOT gov OR stale OR i % 5 = 0) THEN 'B' ELSE tier END AS final FROM r)
+sc AS (SELECT *, i % 7 = 2 AS trap, reason IS NOT NULL AS fell, list_contains(docs, i * 7 % 100) AS hit, CASE WHEN reason IS NOT NULL THEN 'C' WHEN tier = 'A' AND (NOT gov OR stale OR i % 5 = 0) THEN 'B' ELSE tier END AS final FROM r)
 SELECT lang, count(*) AS n_total, count(*) AS n_scored, CAST(0 AS BIGINT) AS n_error, round(100.0 * count(*) FILTER (NOT fell AND n_refs > 0) / nullif(count(*) FILTER (NOT fell), 0), 1) AS citation_rate,
   round(100.0 * count(*) FILTER (NOT trap AND coalesce(hit, false)) / nullif(count(*) FILTER (NOT trap), 0), 1) AS recall_at_5, round(100.0 * count(*) FILTER (trap AND fell) / nullif(count(*) FILTER (trap), 0), 1) AS fallback_accuracy,
   round(100.0 * count(*) FILTER (NOT trap AND fell) / nullif(count(*) FILTER (NOT trap), 0), 1) AS over_fallback, round(100.0 * count(*) FILTER (trap AND reason = 'tier_c') / nullif(count(*) FILTER (trap), 0), 1) AS reason_match,
   round(100.0 * count(*) FILTER (NOT fell) / nullif(count(*) FILTER (NOT fell), 0), 1) AS number_accuracy, round(100.0 * count(*) FILTER (NOT fell AND final = 'B') / nullif(count(*) FILTER (NOT fell), 0), 1) AS tier_match
-FROM o GROUP BY GROUPING SETS ((), (lang))
+FROM sc GROUP BY GROUPING SETS ((), (lang))
 """
 
 

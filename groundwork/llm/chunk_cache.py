@@ -13,7 +13,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from groundwork.llm.common import CACHE_ENTRIES, CLEAR
+from groundwork.llm.common import CACHE_ENTRIES
 
 _open: dict[str, Tokenizer] = {}
 
@@ -45,15 +45,18 @@ BYTES = ByteMap()
 
 
 class PieceIds(dict):
-    """Pre-token of a plain chunk -> its ids: the library's model alone, without its normalizer and splitter."""
+    """Pre-token of a plain chunk -> its packed ids: the library's model alone, without its normalizer and splitter.
 
-    def __init__(self, model) -> None:
-        self.model = model
+    There are far fewer pre-tokens than chunks, so this is the table that is kept large.
+    """
 
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= CACHE_ENTRIES:
+    def __init__(self, model, kind: str = "<u4") -> None:
+        self.model, self.kind = model, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= 3 * CACHE_ENTRIES:
             self.clear()
-        self[piece] = ids = [t.id for t in self.model.tokenize(piece.translate(BYTES))]
+        self[piece] = ids = np.array([t.id for t in self.model.tokenize(piece.translate(BYTES))], self.kind).tobytes()
         return ids
 
 
@@ -67,17 +70,16 @@ class ChunkIds(dict):
 
     def __init__(self, path: str, kind: str = "<u4") -> None:
         self.tokenizer, self.kind = tokenizer(path), kind
-        self.pieces = PieceIds(self.tokenizer.model)
+        self.pieces = PieceIds(self.tokenizer.model, kind)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= 2 * CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES:
             self.clear()
         text = chunk.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [i for piece in ONE_DIGIT.findall(text.lower()) for i in self.pieces[piece]]
+            packed = b"".join(map(self.pieces.__getitem__, ONE_DIGIT.findall(text.lower())))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        packed = np.array(ids, self.kind).tobytes()
+            packed = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         if len(chunk) <= 64:
             self[chunk] = packed
         return packed
@@ -90,15 +92,6 @@ class ChunkIds(dict):
 _ids: dict[tuple[str, str], ChunkIds] = {}
 
 
-def _empty() -> None:
-    for cache in _ids.values():
-        cache.clear()
-        cache.pieces.clear()
-
-
-CLEAR.append(_empty)
-
-
 def chunk_ids(path: str, kind: str = "<u4") -> ChunkIds:
     if (path, kind) not in _ids:
         _ids[path, kind] = ChunkIds(path, kind)
@@ -130,7 +123,7 @@ class ChunkLengths(dict):
             self.update(self.frequent)
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
             head, *rest = DIGITS.findall(chunk)
-            n = len(self.pieces[self.prefix + head]) + sum(len(self.pieces[piece]) for piece in rest)
+            n = (len(self.pieces[self.prefix + head]) + sum(len(self.pieces[piece]) for piece in rest)) // 4
         else:
             n = len(self.tokenizer.encode(self.prefix + chunk, add_special_tokens=False).ids)
         if len(chunk) <= 64:

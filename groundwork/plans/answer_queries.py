@@ -9,7 +9,7 @@ from groundwork.functions import text as T
 from groundwork.operators import evaluation as E
 from groundwork.operators import retrieval as R
 from groundwork.operators import rules as U
-from groundwork.sources.tables import table, unfinished
+from groundwork.sources.tables import flat_keys, table, unfinished
 
 #: The tokenizer in DuckDB; \p{L} and \p{N} mean the same there.
 WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -135,17 +135,6 @@ def _context(spark: SparkSession, sf: str, text: Column) -> DataFrame:
     return found.withColumn("block", F.sha2("block", 256))
 
 
-def context(spark: SparkSession, sf: str) -> DataFrame:
-    return _context(spark, sf, F.substring("text", 1, 200))
-
-
-CONTEXT = f"""
-WITH {HYBRID_CTE},
-e AS (SELECT item_id, position, '[' || position || '] ' || source || chr(10) || substr(text, 1, 200) AS entry, doc_id % 7 = 0 AS stale, doc_id % 4 <> 0 AS gov FROM z JOIN documents USING (doc_id) WHERE position <= 5)
-SELECT item_id, count(*) AS n_refs, sha256(string_agg(entry, chr(10) || chr(10) ORDER BY position)) AS block, bool_or(stale) AS has_stale, bool_and(gov) AS all_government FROM e GROUP BY item_id
-"""
-
-
 def context_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The evidence blocks with the documents' whole texts."""
     return _context(spark, sf, F.col("text"))
@@ -200,8 +189,9 @@ def fit_score(spark: SparkSession, sf: str) -> DataFrame:
         "s_suppkey", F.element_at(F.array(F.lit("official"), F.lit("inferred"), F.lit("unknown")), (s % 3 + 1).cast("int")).alias("status"), (s % 5).alias("n_docs"),
         F.when(s % 4 != 0, s % 2 == 0).alias("has_language"), F.when(s % 7 != 0, F.col("s_acctbal") > 0).alias("has_remote"), F.when(s % 6 != 0, s % 3).alias("n_branches"),
     )
-    most = rows.agg(F.coalesce(F.max(F.when(F.col("status") != "unknown", F.col("n_docs"))), F.lit(0)).alias("max_docs")).first()[0]
-    return rows.select("s_suppkey", U.fit_score({c: F.col(c) for c in rows.columns}, F.lit(most)).alias("score"))
+    most = rows.agg(F.coalesce(F.max(F.when(F.col("status") != "unknown", F.col("n_docs"))), F.lit(0)).alias("max_docs")).scalar()
+    parts = {c: F.col(c) for c in rows.columns}
+    return rows.withColumn("most", most).select("s_suppkey", U.fit_score(parts, F.col("most")).alias("score"))
 
 
 FIT_SCORE = """
@@ -364,14 +354,19 @@ RESUME_ANTI = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT do
 
 
 def i18n_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys that one language's bundle has and the other has not, both ways."""
-    bundle = spark.createDataFrame([("ko", '{"a": "x", "b": "y", "c": "z"}'), ("en", '{"a": "x", "c": "", "d": "w"}')], "lang string, body string")
-    keys = bundle.select("lang", F.explode(F.from_json("body", "map<string,string>")).alias("key", "value"))
+    """Keys that one language's nested bundle has and the other has not, both ways; the bundles are made of the nations by region."""
+    n = table(spark, sf, "nation")
+    inner = n.select("n_regionkey", F.concat(F.lit("n"), "n_nationkey").alias("k"), "n_name", "n_nationkey").withColumns({"ko": F.col("n_nationkey") % 5 != 0, "en": F.col("n_nationkey") % 7 != 0})
+    each = lambda lang: inner.where(lang).groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("k", F.create_map(F.lit("name"), "n_name")))).alias("m"))
+    bundle = lambda lang: each(lang).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("r"), "n_regionkey"), "m")))).alias("body")).select(F.lit(lang).alias("lang"), "body")
+    keys = flat_keys(bundle("ko").unionByName(bundle("en")), "lang", "body")
     ko, en = (keys.where(F.col("lang") == x).select("key") for x in ("ko", "en"))
     return ko.exceptAll(en).select("key", F.lit("missing").alias("what")).unionByName(en.exceptAll(ko).select("key", F.lit("extra").alias("what")))
 
 
-I18N_KEYS = "SELECT * FROM (VALUES ('b', 'missing'), ('d', 'extra')) t(key, what)"
+I18N_KEYS = """
+SELECT 'r' || n_regionkey || '.n' || n_nationkey || '.name' AS key, CASE WHEN n_nationkey % 5 <> 0 THEN 'missing' ELSE 'extra' END AS what FROM nation WHERE (n_nationkey % 5 <> 0) <> (n_nationkey % 7 <> 0)
+"""
 
 
 def stats_unpivot(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,7 +378,7 @@ STATS_UNPIVOT = "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatu
 
 QUERIES = {
     "q_postings": (postings, POSTINGS), "q_bm25_stats": (bm25_stats, BM25_STATS), "q_bm25_topk": (bm25_topk, BM25_TOPK), "q_dense_topk": (dense_topk, DENSE_TOPK),
-    "q_hybrid_rrf": (hybrid_rrf, HYBRID_RRF), "q_scope_relax": (scope_relax, SCOPE_RELAX), "q_gate": (gate, GATE), "q_stale": (stale, STALE), "q_context": (context, CONTEXT), "q_context_whole": (context_whole, CONTEXT_WHOLE),
+    "q_hybrid_rrf": (hybrid_rrf, HYBRID_RRF), "q_scope_relax": (scope_relax, SCOPE_RELAX), "q_gate": (gate, GATE), "q_stale": (stale, STALE), "q_context": (context_whole, CONTEXT_WHOLE), "q_context_whole": (context_whole, CONTEXT_WHOLE),
     "q_finalize": (finalize, FINALIZE), "q_product_compare": (product_compare, PRODUCT_COMPARE), "q_fit_score": (fit_score, FIT_SCORE), "q_label_lookup": (label_lookup, LABEL_LOOKUP),
     "q_evidence_merge": (evidence_merge, EVIDENCE_MERGE), "q_limit_check": (limit_check, LIMIT_CHECK), "q_metrics": (metrics, METRICS), "q_metrics_by_group": (metrics_by_group, METRICS_BY_GROUP),
     "q_percentiles": (percentiles, PERCENTILES), "q_threshold_sweep": (threshold_sweep, THRESHOLD_SWEEP), "q_recalibrate": (recalibrate, RECALIBRATE), "q_calibrate": (calibrate, CALIBRATE),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwork.functions import numerals as N
 from groundwork.functions import text as T
 from groundwork.operators import etl
+from groundwork.operators.responses import truncated_history
 from groundwork.sources.tables import sniffed_extension, table
 
 
@@ -260,8 +261,8 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN round(min(l_ext
 
 
 def conversation_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("h"))
-    return turns.select("conv_id", F.array_join(F.expr("slice(h, greatest(size(h) - 5, 1), 6)"), ",").alias("kept"))
+    turns = truncated_history(table(spark, sf, "conversations"), "conv_id", "turn")
+    return turns.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("turn")), ",").alias("kept"))
 
 
 CONVERSATION_TRUNCATE = """
@@ -284,7 +285,33 @@ t AS (SELECT doc_id, last_value(CASE WHEN length(line) <= 20 THEN line END IGNOR
 SELECT doc_id, count(DISTINCT title) AS n_titles, count(*) FILTER (title IS NULL) AS n_before FROM t GROUP BY doc_id
 """
 
+def sniff_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind of content by its leading bytes, else by what is declared."""
+    k = F.col("page_id")
+    lead = F.when(k % 6 == 0, F.unhex(F.lit("255044462D"))).when(k % 6 == 1, F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(k % 6 == 2, F.unhex(F.lit("504B0304"))).otherwise(F.encode(F.lit("<p>"), "UTF-8"))
+    declared = F.when(k % 6 == 3, "application/json").when(k % 6 == 4, "text/html; charset=utf-8").otherwise("text/plain")
+    return table(spark, sf, "pages").select("page_id", sniffed_extension(F.concat(lead, F.encode("html", "UTF-8")), declared).alias("ext"))
+
+
+SNIFF_KINDS = "SELECT page_id, ['pdf', 'hwp', 'zip', 'json', 'html', 'html'][page_id % 6 + 1] AS ext FROM pages"
+
+
+def chunk_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of two-part texts: their heading paths, sizes and numbers."""
+    body = lambda c, n: F.repeat(F.concat(F.col(c), F.lit(" ")), n)
+    texts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("# "), "p_brand", F.lit("\n\n## "), F.lit("First"), F.lit("\n\n"), F.rpad(body("p_name", 100), 800, "x"), F.lit("\n\n## "), "p_type", F.lit("\n\n"), F.rpad(body("p_type", 100), 850, "y")).alias("text"))
+    found = etl.chunks(texts, "p_partkey")
+    return found.select("p_partkey", "seq", "chunk_id", "heading_path", "char_count")
+
+
+CHUNK_PATHS = """
+WITH p AS (SELECT p_partkey, p_brand, p_type, '# ' || p_brand || chr(10) || '## First' || chr(10) || trim(rpad(repeat(p_name || ' ', 100), 800, 'x')) || chr(10) || '## ' || p_type AS one, trim(rpad(repeat(p_type || ' ', 100), 850, 'y')) AS two FROM part)
+SELECT p_partkey, 0 AS seq, p_partkey || '#0000' AS chunk_id, p_brand AS heading_path, CAST(length(one) AS INTEGER) AS char_count FROM p
+UNION ALL SELECT p_partkey, 1, p_partkey || '#0001', p_brand || ' > ' || p_type, CAST(length(two) + length(trim(right(one, 100))) + 3 AS INTEGER) FROM p
+"""
+
 QUERIES = {
+    "q_sniff_kinds": (sniff_kinds, SNIFF_KINDS), "q_chunk_paths": (chunk_paths, CHUNK_PATHS),
     "q_url_host_allow": (url_host_allow, URL_HOST_ALLOW), "q_sniff_status": (sniff_status, SNIFF_STATUS), "q_sha_change": (sha_change, SHA_CHANGE),
     "q_exact_dups": (exact_dups, EXACT_DUPS), "q_near_dups": (near_dups, NEAR_DUPS), "q_nav_lines": (nav_lines, NAV_LINES), "q_strip_nav": (strip_nav, STRIP_NAV),
     "q_adjacent_dups": (adjacent_dups, ADJACENT_DUPS), "q_block_dups": (block_dups, None), "q_tidy": (tidy, TIDY), "q_html_text": (html_text, None),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,24 @@ def unfinished(golden: DataFrame, partial: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """current with the rows of changes in place of those with the same key."""
-    return current.join(changes.select(key), key, "left_anti").unionByName(changes)
+    """current with the rows of changes in place of those with the same key.
+
+    Of changes that repeat a key the largest row, column by column, counts; changes without a key are left out.
+    """
+    rest = [c for c in changes.columns if c != key]
+    once = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, *(F.col(f"_row.{c}").alias(c) for c in rest)).select(changes.columns)
+    return current.join(once.select(key), key, "left_anti").unionByName(once)
+
+
+def flat_keys(bundles: DataFrame, lang: str, body: str, depth: int = 6) -> DataFrame:
+    """(lang, key, value) of JSON bundles: nested keys joined by dots, down to `depth` levels, below which a value stays JSON."""
+    level = bundles.select(lang, F.explode(F.from_json(body, "map<string,string>")).alias("key", "value"))
+    leaves = []
+    for _ in range(depth - 1):
+        inner = F.col("value").startswith("{")
+        leaves.append(level.where(~F.coalesce(inner, F.lit(False))))
+        level = level.where(inner).select(lang, F.col("key").alias("_up"), F.explode(F.from_json("value", "map<string,string>")).alias("_key", "value")).select(lang, F.concat_ws(".", "_up", "_key").alias("key"), "value")
+    return reduce(DataFrame.unionByName, [*leaves, level])
 
 
 def sniffed_extension(content: Column, content_type: Column) -> Column:

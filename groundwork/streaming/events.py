@@ -86,12 +86,15 @@ class FieldReader:
 
 
 def extracted_field(chunks: DataFrame, key: str, seq: str, chunk: str, field: str) -> DataFrame:
-    """(key, seq, added): what each piece of a stream adds to a field, the pieces of a key in order."""
+    """(key, seq, added): what each piece of a stream adds to a field, the pieces of a key in order.
+
+    A key's pieces are one answer, so they fit one group; a piece that is null adds nothing.
+    """
 
     def run(group: Iterator[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(list(group)).sort_values(seq)
         reader = FieldReader(field)
-        return pd.DataFrame({key: rows[key], seq: rows[seq], "added": [reader.feed(x) for x in rows[chunk]]})
+        return pd.DataFrame({key: rows[key], seq: rows[seq], "added": [reader.feed(x) if isinstance(x, str) else "" for x in rows[chunk]]})
 
     kinds = dict(chunks.dtypes)
     return chunks.select(key, seq, chunk).groupBy(key).applyInPandas(lambda pdf: run(iter([pdf])), f"{key} {kinds[key]}, {seq} {kinds[seq]}, added string")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from groundwork.llm import substring_dedup, suffix_dedup
 from groundwork.llm.decontamination import contaminated
 from groundwork.llm.language_id import predict_languages
@@ -74,7 +73,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_lm_score": op9_lm_score,
         "op10_token_counts": op10_token_counts,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -9,7 +9,8 @@ neighbouring diagonals (text position minus item position). So:
     lie to reach the bound go. Then they are counted for each region in overlapping bands of
     diagonals, and bands that meet the bound stay.
 3.  What stays is verified: a region all of whose grams lie on one diagonal stands there without an edit,
-    any other is aligned inside the band and must occur within its edit budget. Texts lie side by
+    any other whose halves pass a bit-parallel count of edits is aligned inside the band and must occur within its
+    edit budget. Texts lie side by
     side with more bytes of no text between them than any budget has edits, so no match crosses them.
 
 A verbatim passage of an item is found from 72 bytes on, wherever it starts: some region begins less
@@ -212,6 +213,38 @@ class Index:
             begin = np.take_along_axis(origin, source, 1)
         return end_cost, end_begin, end_at
 
+    def plausible(self, data: bytes, r: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Which regions can lie inside their band's stretch of text within the budget: the least edits of a
+        region's halves, each found anywhere in that stretch, add up to no more than the region's own.
+
+        All pairs step through their stretches together, a half's whole column of the edit matrix in one word's bits.
+        """
+        over = REGION // BYTES_PER_EDIT
+        text, items = np.frombuffer(data, np.uint8), np.frombuffer(self.text, np.uint8)
+        one, where = np.unique(r, return_inverse=True)
+        start, n = self.start[one], self.length[one]
+        place = (self.start[r] + band * BAND - len(self.text) - over)[None] + np.arange(int(n.max(initial=0)) + BAND + 3 * over)[:, None]
+        letters = np.where((place >= 0) & (place < len(text)), text[np.clip(place, 0, len(text) - 1)], GAP[0])
+        rows, least = np.arange(len(one)), np.zeros(len(r), np.int64)
+        for begin, size in ((start, n // 2), (start + n // 2, n - n // 2)):
+            known = np.zeros((len(one), 256), np.uint64)
+            for j in range(int(size.max(initial=0))):
+                k = rows[j < size]
+                known[k, items[begin[k] + j]] |= np.uint64(1 << j)
+            top = (np.uint64(1) << (size - 1).astype(np.uint64))[where]
+            up, down, cost = np.full(len(r), 2**64 - 1, np.uint64), np.zeros(len(r), np.uint64), size[where].copy()
+            best = cost.copy()
+            for c in letters:
+                same = known[where, c]
+                across = (((same & up) + up) ^ up) | same
+                rise, fall = down | ~(across | up), up & across
+                cost += (rise & top > 0).astype(np.int64) - (fall & top > 0)
+                np.minimum(best, cost, out=best)
+                rise, fall, level = rise << np.uint64(1), fall << np.uint64(1), same | down
+                up, down = fall | ~(level | rise), rise & level
+            least += best
+        return least <= np.array([budget(k) for k in n.tolist()], np.int64)[where]
+
     def exact(self, data: bytes, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(region, start, stop, 0) of the items below Q bytes, at their first place in each of the texts that end at `ends`."""
         for n, (keys, region) in self.short.items():
@@ -231,6 +264,9 @@ class Index:
         """(region, start, stop, edits) of the verified regions in one stretch of texts."""
         r, band, exact, at = self.bands(*self.hits(data))
         yield from zip(exact.tolist(), at.tolist(), (at + self.length[exact]).tolist(), [0] * len(exact))
+        if len(r):
+            keep = np.concatenate([self.plausible(data, r[a : a + 4096], band[a : a + 4096]) for a in range(0, len(r), 4096)])
+            r, band = r[keep], band[keep]
         for a in range(0, len(r), 4096):
             part = r[a : a + 4096]
             edits, begin, end = self.aligned(data, part, band[a : a + 4096])

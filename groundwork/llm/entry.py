@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from groundwork.llm import substring_dedup, suffix_dedup
+from groundwork.llm.chat_format import chat_digests, format_chats
 from groundwork.llm.decontamination import contaminated
 from groundwork.llm.language_id import predict_languages
 from groundwork.llm.lm_score import scores
 from groundwork.llm.near_dup import near_duplicates
 from groundwork.llm.packing import pack
+from groundwork.llm.source_audit import divergence
 from groundwork.llm.token_counts import token_counts
 from groundwork.llm.token_records import token_records
 from groundwork.llm.topk import top_k
@@ -61,6 +65,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one, -7, whose texts are made of control strings."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_digests(format_chats(rows.unionByName(planted)))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
@@ -73,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_lm_score": op9_lm_score,
         "op10_token_counts": op10_token_counts,
+        "op11_chat_format": op11_chat_format,
+        "op13_source_audit": op13_source_audit,
     }
 
 
@@ -129,10 +147,58 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 """
 
 
+#: The escape character goes behind the first character of a control string, and is doubled itself.
+OP11_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '(<)(/?s>)|(\[)(/?(SYS|INST|ROLE)\]|SAYS\])', '\1\3\\\2\4', 'g'))
+    + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 4
+      ELSE 19 + length(regexp_replace(replace(role, '\', '\\'), '(<)(/?s>)|(\[)(/?(SYS|INST|ROLE)\]|SAYS\])', '\1\3\\\2\4', 'g')) END AS chars,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    lead(turn) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NULL AS ends
+  FROM c
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END)
+    AND arg_max(role, (coalesce(turn, -9223372036854775807), role, text)) = 'assistant' AS valid
+FROM e GROUP BY conv_id
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), w AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+l AS (SELECT lang, sum(n) AS n FROM c GROUP BY 1),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS own, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (s.n + 5 * v.v) AS p
+  FROM s JOIN k ON k.lang = s.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+q AS (SELECT k.lang, k.term, 1 + CAST(1000000000 AS HUGEINT) * (sum(c.n) + 5) // (l.n + 5 * v.v) AS q
+  FROM k JOIN c ON c.lang = k.lang AND c.term = k.term JOIN v ON v.lang = k.lang JOIN l ON l.lang = k.lang GROUP BY k.lang, k.term, l.n, v.v),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.own > 0 AND p.p > q.q
+), o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_dedup": OP2_SQL,
         "op3_substring_dedup": OP3_SQL,
         "op6_near_dup": OP6_SQL,
         "op5_exact_topk": OP5_SQL,
+        "op11_chat_format": OP11_SQL,
+        "op13_source_audit": OP13_SQL,
     }

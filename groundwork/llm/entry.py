@@ -16,6 +16,7 @@ from groundwork.llm.lm_score import scores
 from groundwork.llm.near_dup import near_duplicates
 from groundwork.llm.packing import pack
 from groundwork.llm.source_audit import divergence
+from groundwork.llm.token_alignment import align
 from groundwork.llm.token_counts import token_counts
 from groundwork.llm.token_records import token_records
 from groundwork.llm.topk import top_k
@@ -73,6 +74,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(rows.unionByName(planted)))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(documents(spark, sf_dir))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(documents(spark, sf_dir))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_score": op9_lm_score,
         "op10_token_counts": op10_token_counts,
         "op11_chat_format": op11_chat_format,
+        "op12_token_alignment": op12_token_alignment,
         "op13_source_audit": op13_source_audit,
     }
 

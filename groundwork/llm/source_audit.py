@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from groundwork.llm.common import settle
 
-#: A term: a run of ASCII letters and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, which are runs of ASCII letters and characters beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of its language that a kept term is in, at least; added to every count; ranks of terms.
 LEAST, ADDED, RANKS = 30, 5, 50
@@ -34,7 +34,7 @@ def wide_terms(docs: DataFrame, least: int = LEAST) -> DataFrame:
     summed where they are read, so what is shuffled has a row for each (language, source, term)
     and task, however often a word or source occurs.
     """
-    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
+    terms = F.array_remove(F.split(F.translate("text", UPPER, LOWER), BETWEEN), "")
     both = _plain(docs).select("lang", "source", terms.alias("all")).select("lang", "source", F.posexplode(F.array("all", F.array_distinct("all"))).alias("kind", "terms"))
     each = both.select("lang", "source", "kind", F.explode("terms").alias("term"))
     counts = each.groupBy("lang", "term", "source").agg(F.sum(1 - F.col("kind")).alias("n"), F.sum("kind").alias("docs"))
@@ -72,9 +72,7 @@ def divergence(docs: DataFrame, least: int = LEAST, ranks: int = RANKS) -> DataF
     """
     terms = settle(wide_terms(docs, least), "terms")
     languages = settle(language_sources(docs, terms), "languages")
-    # A language's terms may be nearly all rows: they are dealt over salts, its row of sources is copied to each.
-    salted = languages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = terms.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
+    met = terms.withColumn("salt", F.pmod(F.hash("term"), F.lit(SALTS))).join(_salted(languages), ["lang", "salt"])
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c["n"])
 
     def at(s: Column) -> Column:
@@ -86,14 +84,24 @@ def divergence(docs: DataFrame, least: int = LEAST, ranks: int = RANKS) -> DataF
     return _pairs(wide, languages).unionByName(_terms(wide, ranks))
 
 
+def _salted(languages: DataFrame) -> DataFrame:
+    """A language's terms or pairs may be nearly all rows: they are dealt over salts, its row of sources is copied to each."""
+    return languages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _pairs(wide: DataFrame, languages: DataFrame) -> DataFrame:
-    """Part `pair`; a language that keeps no term gives its sources a row of equal shares."""
-    at = wide.select("lang", F.transform("at", lambda x: F.struct(x["source"].alias("source"), x["p"].alias("p"))).alias("at"))
-    none = languages.select("lang", F.transform("sources", lambda s: F.struct(s["source"].alias("source"), F.lit(0).cast("long").alias("p"))).alias("at"))
-    one = at.unionByName(none).select("lang", "at", F.posexplode("at").alias("i", "a"))
-    later = F.transform(F.slice("at", F.col("i") + 2, F.size("at")), lambda x: F.struct(x["source"].alias("other"), F.abs(x["p"] - F.col("a")["p"]).alias("f")))
-    sums = one.select("lang", F.col("a.source").alias("source"), F.explode(later).alias("x")).groupBy("lang", "source", F.col("x.other").alias("other")).agg(F.sum("x.f").alias("value"))
-    both = sums.select("lang", "value", F.explode(F.array(F.struct(F.col("source"), F.col("other").alias("item")), F.struct(F.col("other").alias("source"), F.col("source").alias("item")))).alias("x"))
+    """Part `pair`; a language that keeps no term gives its sources a row of equal shares.
+
+    Sources go by their places in the language's array until all is summed up.
+    """
+    at = wide.select("lang", F.transform("at", lambda x: x["p"]).alias("p"))
+    none = languages.select("lang", F.transform("sources", lambda s: F.lit(0).cast("long")).alias("p"))
+    one = at.unionByName(none).select("lang", "p", F.posexplode("p").alias("i", "own"))
+    later = F.transform(F.slice("p", F.col("i") + 2, F.size("p")), lambda x: F.abs(x - F.col("own")))
+    sums = one.select("lang", "i", F.posexplode(later).alias("k", "f")).groupBy("lang", "i", "k").agg(F.sum("f").alias("value"))
+    names = sums.withColumn("salt", F.pmod(F.hash("i", "k"), F.lit(SALTS))).join(_salted(languages), ["lang", "salt"])
+    ends = names.select("lang", "value", F.get("sources", F.col("i"))["source"].alias("source"), F.get("sources", F.col("i") + 1 + F.col("k"))["source"].alias("other"))
+    both = ends.select("lang", "value", F.explode(F.array(F.struct(F.col("source"), F.col("other").alias("item")), F.struct(F.col("other").alias("source"), F.col("source").alias("item")))).alias("x"))
     return _ranked(both.select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value"))
 
 

@@ -69,8 +69,8 @@ def nav_lines(spark: SparkSession, sf: str) -> DataFrame:
     return etl.nav_lines(table(spark, sf, "documents").where("source is not null"), "doc_id", "source")
 
 
-NAV_LINES = """
-WITH l AS (SELECT DISTINCT source, doc_id, trim(x, ' ') AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))[1:20]) AS x FROM documents WHERE source IS NOT NULL))
+NAV_LINES = r"""
+WITH l AS (SELECT DISTINCT source, doc_id, regexp_replace(x, '^[\s\v]+|[\s\v]+$', '', 'g') AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))[1:20]) AS x FROM documents WHERE source IS NOT NULL))
 SELECT source, line, count(*) AS n_docs FROM l WHERE length(line) BETWEEN 1 AND 40 GROUP BY 1, 2 HAVING count(*) >= 2
 """
 
@@ -80,12 +80,13 @@ def strip_nav(spark: SparkSession, sf: str) -> DataFrame:
     return etl.strip_nav(docs, etl.nav_lines(docs, "doc_id", "source"), "doc_id", "source")
 
 
-STRIP_NAV = """
+#: Leading menu and blank lines go and the rest is stripped, unless nothing else is there or the source has no menu lines at all.
+STRIP_NAV = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents WHERE source IS NOT NULL),
-l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
-v AS (SELECT source, trim(line, ' ') AS t FROM l WHERE pos <= 20 AND length(trim(line, ' ')) BETWEEN 1 AND 40 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2),
-f AS (SELECT doc_id, min(pos) AS pos FROM l LEFT JOIN v ON v.source = l.source AND v.t = trim(l.line, ' ') WHERE trim(l.line, ' ') <> '' AND v.t IS NULL GROUP BY 1)
-SELECT d.doc_id, CASE WHEN f.pos IS NULL THEN text ELSE trim(array_to_string(ls[f.pos:], chr(10)), ' ') END AS text FROM d LEFT JOIN f USING (doc_id)
+l AS (SELECT doc_id, source, regexp_replace(unnest(ls), '^[\s\v]+|[\s\v]+$', '', 'g') AS t, generate_subscripts(ls, 1) AS pos FROM d),
+v AS (SELECT source, t FROM l WHERE pos <= 20 AND length(t) BETWEEN 1 AND 40 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2),
+f AS (SELECT doc_id, min(pos) AS pos FROM l LEFT JOIN v ON v.source = l.source AND v.t = l.t WHERE l.t <> '' AND v.t IS NULL GROUP BY 1)
+SELECT d.doc_id, CASE WHEN f.pos IS NULL OR d.source NOT IN (SELECT source FROM v) THEN text ELSE regexp_replace(array_to_string(ls[f.pos:], chr(10)), '^[\s\v]+|[\s\v]+$', '', 'g') END AS text FROM d LEFT JOIN f USING (doc_id)
 """
 
 
@@ -120,8 +121,31 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", etl.html_text("html").alias("text"))
 
 
+def order_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, text): each order's items as a Markdown table under a line of prose; the last cell is blank for flag A."""
+    row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), "l_returnflag", F.lit(" | "), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).otherwise(""), F.lit(" |"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    return rows.select((-F.col("l_orderkey")).alias("id"), F.concat(F.lit("Items\n\n| no | flag | note |\n|---|:--|---|\n"), "rows", F.lit("\nend")).alias("text"))
+
+
 def empty_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return etl.empty_columns(table(spark, sf, "documents"), "doc_id")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(order_tables(spark, sf))
+    return etl.empty_columns(texts, "id")
+
+
+EMPTY_COLUMNS = r"""
+WITH o AS (
+  SELECT -l_orderkey AS id, 'Items' || chr(10) || chr(10) || '| no | flag | note |' || chr(10) || '|---|:--|---|' || chr(10)
+    || string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' | ' || CASE WHEN l_returnflag <> 'A' THEN l_returnflag ELSE '' END || ' |', chr(10) ORDER BY l_linenumber) || chr(10) || 'end' AS text
+  FROM lineitem GROUP BY l_orderkey
+), l AS (
+  SELECT id, generate_subscripts(ls, 1) AS pos, trim(unnest(ls)) AS row FROM (SELECT id, string_split(text, chr(10)) AS ls FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM o))
+), t AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run, list_transform(string_split(trim(row, '|'), '|'), lambda c: trim(c)) AS cells FROM l WHERE starts_with(row, '|')),
+s AS (SELECT *, min(pos) OVER (PARTITION BY id, run) AS start, len(list_filter(cells, lambda c: NOT regexp_full_match(c, '[-:]+'))) > 0 AS body FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY pos) AS k, count(*) OVER (PARTITION BY id, run) AS n FROM s WHERE body),
+c AS (SELECT id, run, start, unnest(cells) AS cell, generate_subscripts(cells, 1) AS col FROM b WHERE k > 1 AND n >= 3)
+SELECT id, CAST(start AS INTEGER) AS first_line, CAST(col AS INTEGER) AS "column" FROM c WHERE col > 1 GROUP BY id, run, start, col HAVING bool_and(cell = '')
+"""
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,7 +339,7 @@ QUERIES = {
     "q_url_host_allow": (url_host_allow, URL_HOST_ALLOW), "q_sniff_status": (sniff_status, SNIFF_STATUS), "q_sha_change": (sha_change, SHA_CHANGE),
     "q_exact_dups": (exact_dups, EXACT_DUPS), "q_near_dups": (near_dups, NEAR_DUPS), "q_nav_lines": (nav_lines, NAV_LINES), "q_strip_nav": (strip_nav, STRIP_NAV),
     "q_adjacent_dups": (adjacent_dups, ADJACENT_DUPS), "q_block_dups": (block_dups, None), "q_tidy": (tidy, TIDY), "q_html_text": (html_text, None),
-    "q_empty_columns": (empty_columns, None), "q_chunks": (chunks, None), "q_chunk_stats": (chunk_stats, CHUNK_STATS), "q_overlap": (overlap, OVERLAP),
+    "q_empty_columns": (empty_columns, EMPTY_COLUMNS), "q_chunks": (chunks, None), "q_chunk_stats": (chunk_stats, CHUNK_STATS), "q_overlap": (overlap, OVERLAP),
     "q_code_extract": (code_extract, CODE_EXTRACT), "q_pii_kinds": (pii_kinds, None), "q_pii_card": (pii_card, PII_CARD), "q_injection": (injection, None),
     "q_injection_hits": (injection_hits, INJECTION_HITS), "q_intent_rules": (intent_rules, INTENT_RULES), "q_forbidden": (forbidden, FORBIDDEN), "q_redact": (redact, REDACT),
     "q_lang_detect": (lang_detect, LANG_DETECT), "q_numerals": (numerals, None), "q_numbers_simple": (numbers_simple, NUMBERS_SIMPLE), "q_num_parse": (num_parse, NUM_PARSE),

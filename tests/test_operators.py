@@ -27,8 +27,8 @@ def test_page_text():
 
 
 def test_empty_columns(spark):
-    docs = spark.createDataFrame([(1, "a | | c\n1 | | 3\n4 | | 6\n\ntext")], "doc_id long, text string")
-    assert [tuple(r) for r in etl.empty_columns(docs, "doc_id").collect()] == [(1, 0, 1)]
+    docs = spark.createDataFrame([(1, "t\n| a | b | c\n| 1 | | 3\n| 4 | | 6\n\ntext")], "doc_id long, text string")
+    assert [tuple(r) for r in etl.empty_columns(docs, "doc_id").collect()] == [(1, 2, 2)]
 
 
 def test_products(spark):

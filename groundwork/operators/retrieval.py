@@ -36,10 +36,20 @@ def bm25(questions: DataFrame, docs: DataFrame, query: str, key: str, k: int = T
     often. A document's words are cut down to those that questions ask for before anything is
     shuffled; only N and the mean length are over all words.
     """
-    asked = questions.select(query, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
+    asked = asked_words(questions, query)
     words = docs.select(key, T.tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), "t")
     totals = words.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("x"))
     hit = words.select(key, "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return bm25_of(asked, hit, totals, query, key, k)
+
+
+def asked_words(questions: DataFrame, query: str) -> DataFrame:
+    """(query, term, qf): the words of each question and how often it has them."""
+    return questions.select(query, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
+
+
+def bm25_of(asked: DataFrame, hit: DataFrame, totals: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """The k best of each question over (term, key, dl, tf) rows of all asked words, and one row x of n and avgdl."""
     hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("x", totals.scalar())
     idf = F.log(1 + (F.col("x.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("x.avgdl")))).alias("w"))

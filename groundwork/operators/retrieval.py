@@ -119,8 +119,8 @@ def dense(questions: DataFrame, vectors: DataFrame, query: str, key: str, vector
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
-def hybrid(questions: DataFrame, docs: DataFrame, vectors: DataFrame, query: str, key: str, scoped: bool = False, n: int = TOP_N) -> DataFrame:
-    """Hybrid search: vectors and words, rank fusion, scope with relaxation, the n best with position, margin and top1.
+def hybrid(questions: DataFrame, docs: DataFrame, vectors: DataFrame, query: str, key: str, scoped: bool = False, n: int = TOP_N, reranker: object = None) -> DataFrame:
+    """Hybrid search: vectors and words, rank fusion, scope with relaxation, reranking if a backend of ``scorers`` is given, the n best with position, margin and top1.
 
     questions: query, text, embedding and, if scoped, wanted (null: no filter); docs: key, text and,
     if scoped, scope; vectors: key, embedding. top1 is the best vector score among the n
@@ -131,7 +131,13 @@ def hybrid(questions: DataFrame, docs: DataFrame, vectors: DataFrame, query: str
     if scoped:
         found = found.drop("relaxed").join(docs.select(key, "scope"), key).join(questions.select(query, "wanted"), query)
         found = in_scope(found, query, F.col("scope"), F.col("wanted")).drop("scope", "wanted")
-    best = selected(found, query, key, n)
+    if reranker is None:
+        best = selected(found, query, key, n)
+    else:
+        from groundwork.operators.scorers import rerank
+
+        # The margin is one of fused scores, so it is taken before any order changes.
+        best = rerank(selected(found, query, key, max(n, POOL)), questions, docs, reranker, query, key, n).where(F.col("position") <= n)
     return best.withColumn("top1", F.max(F.coalesce("first_score", F.lit(0.0))).over(Window.partitionBy(query)))
 
 

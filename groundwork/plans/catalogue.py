@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.plans import answer_queries, document_queries, evaluation_queries, event_queries, pipeline_queries, service_queries, stream_queries
+from groundwork.plans import answer_queries, document_queries, evaluation_queries, event_queries, pipeline_queries, service_queries, store_queries, stream_queries
 
-ALL = document_queries.QUERIES | answer_queries.QUERIES | event_queries.QUERIES | service_queries.QUERIES | evaluation_queries.QUERIES | pipeline_queries.QUERIES | stream_queries.QUERIES
+ALL = document_queries.QUERIES | answer_queries.QUERIES | event_queries.QUERIES | service_queries.QUERIES | evaluation_queries.QUERIES | pipeline_queries.QUERIES | stream_queries.QUERIES | store_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.operators.ordered import ranks_of, running_sums
+
 
 def percent(hits: Column, of: Column) -> Column:
     """Share in per cent with one decimal; null where nothing was counted."""
@@ -18,11 +20,8 @@ def nearest_rank(value: Column, share: float) -> Column:
 
 
 def nearest_ranks(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of large groups: places by a window, no group in one array."""
-    known = rows.where(F.col(value).isNotNull())
-    place = known.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
-    sized = place.join(known.groupBy(*by).agg(F.count("*").alias("_n")), by)
-    return sized.groupBy(*by).agg(F.first("_n").alias("n"), *(F.max(F.when(F.col("_k") == F.floor(F.col("_n") * s), F.col(value))).alias(name) for name, s in shares.items()))
+    """Nearest-rank percentiles of groups of any size: equal values are counted, then summed up over ranges of values."""
+    return ranks_of(rows, by, value, shares)
 
 
 def scored(outcomes: DataFrame, sets: list[list[str]]) -> DataFrame:
@@ -59,13 +58,12 @@ def swept(rows: DataFrame, group: str, score: str, outside: str) -> DataFrame:
 
     Shares come from running sums over each distinct score, not from thresholds joined to rows.
     """
-    by = Window.partitionBy(group).orderBy(score)
-    points = rows.groupBy(group, score).agg(F.count_if(~F.col(outside)).alias("n_in"), F.count_if(outside).alias("n_out"))
-    whole = Window.partitionBy(group)
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = points.select(
-        group, F.round((F.col(score) + F.lead(score).over(by)) / 2, 6).alias("threshold"),
-        percent(F.sum("n_in").over(upto), F.sum("n_in").over(whole)).alias("over"), percent(F.sum("n_out").over(upto), F.sum("n_out").over(whole)).alias("caught"),
+    points = rows.groupBy(group, score).agg(F.count_if(~F.col(outside)).alias("n_in"), F.count_if(outside).alias("n_out"), F.lit(1).alias("one"))
+    sums = running_sums(points, [group], [score], {"in_upto": "n_in", "out_upto": "n_out", "place": "one"})
+    whole = points.groupBy(group).agg(F.sum("n_in").alias("in_all"), F.sum("n_out").alias("out_all"))
+    following = sums.select(group, (F.col("place") - 1).alias("place"), F.col(score).alias("following"))
+    out = sums.join(following, [group, "place"]).join(whole, group).select(
+        group, F.round((F.col(score) + F.col("following")) / 2, 6).alias("threshold"), percent(F.col("in_upto"), F.col("in_all")).alias("over"), percent(F.col("out_upto"), F.col("out_all")).alias("caught"),
     )
     return out.where("threshold is not null")
 

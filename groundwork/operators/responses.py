@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.operators import rules as U
+from groundwork.operators.ordered import as_of
 
 # Publishers by a document id's prefix, section keys, quote age, prompt defaults.
 PUBLISHERS, NO_PUBLISHER = {"FSC": "금융위원회", "KOREA": "대한민국 정책브리핑", "HIKOREA": "법무부 하이코리아", "KFB": "전국은행연합회"}, "출처 미상"
@@ -71,7 +72,7 @@ def institution_cards(inst: DataFrame, rules: DataFrame, visa: str | None, lang:
 
 def merged_evidence_of(rows: DataFrame) -> DataFrame:
     """(inst_code, merged): evidence of institution and rule, one for each doc_id, the rule's in place of the institution's, at the place first seen."""
-    listed = lambda c, prio: rows.select("inst_code", F.posexplode(c).alias("at", "e")).select("inst_code", (F.col("at") + prio * 100_000).alias("at"), F.lit(prio).alias("priority"), "e.*")
+    listed = lambda c, prio: rows.select("inst_code", F.posexplode(c).alias("at", "e")).select("inst_code", F.struct(F.lit(prio).alias("list"), "at").alias("at"), F.lit(prio).alias("priority"), "e.*")
     each = U.merged_evidence(listed("evidence", 0).unionByName(listed("rule_evidence", 1)), "inst_code", "doc_id", "priority", "at")
     item = F.struct("doc_id", publisher(F.col("doc_id")).alias("publisher"), "published_at", "source_url", F.trim(F.coalesce("note", F.lit(""))).alias("note"))
     return each.groupBy("inst_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", item.alias("item")))), lambda x: x["item"]).alias("merged"))
@@ -131,8 +132,7 @@ def remittances(requests: DataFrame, quotes: DataFrame, annual: Column, per_tran
     amount_usd is not rounded; without a quote it is unknown and so is the check of the
     transaction. A limit or use that is unknown leaves remaining and exceeds unknown.
     """
-    last = requests.join(quotes, F.col("quoted_at") <= F.col("day")).groupBy("request_id").agg(F.max_by(F.struct("quoted_at", "rate"), "quoted_at").alias("q"))
-    rows = requests.join(last, "request_id", "left").select("*", "q.quoted_at", F.when(F.col("q.rate") > 0, F.col("q.rate")).alias("rate")).drop("q")
+    rows = as_of(requests, quotes.select("quoted_at", "rate"), [], "day", "quoted_at", "q").select("*", "q.quoted_at", F.when(F.col("q.rate") > 0, F.col("q.rate")).alias("rate")).drop("q")
     rows = rows.withColumn("amount_usd", F.col("amount_krw") / F.col("rate")).withColumn("stale", F.datediff(F.col("day"), "quoted_at") > QUOTE_DAYS)
     left = annual - F.col("declared_usd")
     return rows.select(

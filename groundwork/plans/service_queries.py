@@ -325,7 +325,7 @@ UNION ALL SELECT 'contact', r_regionkey, 'C' || r_regionkey, CASE WHEN r_regionk
 
 def remittances(spark: SparkSession, sf: str) -> DataFrame:
     day = F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd")
-    rows = table(spark, sf, "events").where("event_id % 50 = 0").select(F.array(F.struct(F.when(F.col("event_id") % 7 == 0, "bad").otherwise(day).alias("TIME"), F.when(F.col("event_id") % 3 == 0, "-").otherwise(F.format_number(1300 + F.col("event_id") % 100, 2)).alias("DATA_VALUE"))).alias("rows"))
+    rows = table(spark, sf, "events").select(F.array(F.struct(F.when(F.col("event_id") % 7 == 0, "bad").otherwise(day).alias("TIME"), F.when(F.col("event_id") % 3 == 0, "-").otherwise(F.format_number(1300 + F.col("event_id") % 100, 2)).alias("DATA_VALUE"))).alias("rows"))
     quotes = P.quotes_of(rows).groupBy("quoted_at").agg(F.max("rate").alias("rate"))
     c = F.col("c_custkey")
     requests = table(spark, sf, "customer").select(c.alias("request_id"), (c * 10_000.0).alias("amount_krw"), F.when(c % 3 != 0, F.col("c_acctbal")).alias("declared_usd"), F.date_add(F.lit("2023-12-25").cast("date"), (c % 45).cast("int")).alias("day"))
@@ -338,7 +338,7 @@ def c_even() -> Column:
 
 
 REMITTANCES = """
-WITH e AS (SELECT CAST(ts AS DATE) AS quoted_at, max(1300 + event_id % 100) AS rate FROM events WHERE event_id % 50 = 0 AND event_id % 7 <> 0 AND event_id % 3 <> 0 GROUP BY 1),
+WITH e AS (SELECT CAST(ts AS DATE) AS quoted_at, max(1300 + event_id % 100) AS rate FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 GROUP BY 1),
 r AS (SELECT c_custkey AS id, c_custkey * 10000.0 AS krw, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS used, DATE '2023-12-25' + CAST(c_custkey % 45 AS INTEGER) AS day FROM customer),
 j AS (SELECT r.*, quoted_at, CAST(rate AS DOUBLE) AS rate FROM r ASOF LEFT JOIN e ON r.day >= e.quoted_at)
 SELECT id AS request_id, quoted_at, rate, date_diff('day', quoted_at, day) > 3 AS stale, round(krw / rate, 4) AS amount_usd, round(5000 - used, 4) AS annual_remaining, 5000 - used < 0 AS annual_exceeds,

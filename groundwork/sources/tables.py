@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundwork.sources.shared import settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,25 +39,33 @@ def unfinished(golden: DataFrame, partial: DataFrame, key: str) -> DataFrame:
     return golden.join(partial.select(key).distinct(), key, "left_anti")
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def upsert(current: DataFrame, changes: DataFrame, key: str, at: str | None = None) -> DataFrame:
     """current with the rows of changes in place of those with the same key.
 
-    Of changes that repeat a key the largest row, column by column, counts; changes without a key are left out.
+    Of changes that repeat a key the one with the largest `at` counts (a null one least), of several such, or
+    without `at`, the largest row, column by column; changes without a key are left out.
     """
-    rest = [c for c in changes.columns if c != key]
-    once = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, *(F.col(f"_row.{c}").alias(c) for c in rest)).select(changes.columns)
+    row = F.struct(*([F.col(at).alias("at")] if at else []), F.struct(*changes.columns).alias("row"))
+    once = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(row).alias("last")).select("last.row.*")
     return current.join(once.select(key), key, "left_anti").unionByName(once)
 
 
-def flat_keys(bundles: DataFrame, lang: str, body: str, depth: int = 6) -> DataFrame:
-    """(lang, key, value) of JSON bundles: nested keys joined by dots, down to `depth` levels, below which a value stays JSON."""
+def flat_keys(bundles: DataFrame, lang: str, body: str, levels: int = 6) -> DataFrame:
+    """(lang, key, value) of JSON bundles: nested keys joined by dots, as deep as they go.
+
+    `levels` of nesting are undone in one plan; only where some are left is the rest settled and gone on with.
+    """
     level = bundles.select(lang, F.explode(F.from_json(body, "map<string,string>")).alias("key", "value"))
+    inner = F.coalesce(F.col("value").startswith("{"), F.lit(False))
     leaves = []
-    for _ in range(depth - 1):
-        inner = F.col("value").startswith("{")
-        leaves.append(level.where(~F.coalesce(inner, F.lit(False))))
-        level = level.where(inner).select(lang, F.col("key").alias("_up"), F.explode(F.from_json("value", "map<string,string>")).alias("_key", "value")).select(lang, F.concat_ws(".", "_up", "_key").alias("key"), "value")
-    return reduce(DataFrame.unionByName, [*leaves, level])
+    while True:
+        for _ in range(levels):
+            leaves.append(level.where(~inner))
+            below = level.where(inner).select(lang, F.col("key").alias("up"), F.explode(F.from_json("value", "map<string,string>")).alias("under", "value"))
+            level = below.select(lang, F.concat_ws(".", "up", "under").alias("key"), "value")
+        if level.where(inner).isEmpty():
+            return reduce(DataFrame.unionByName, [*leaves, level])
+        level = settled(level, "keys")
 
 
 def sniffed_extension(content: Column, content_type: Column) -> Column:

@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -19,13 +20,15 @@ from tokenizers import Tokenizer
 from groundwork.llm.chunk_cache import BORDER, ODD, RUN
 
 #: Bytes, roughly, that each of the two generations of kept chunks may hold, and the longest chunk that is kept.
-GENERATION, LONGEST = 24 << 20, 64
+GENERATION, LONGEST = 32 << 20, 64
 #: Characters after which a long text is cut at the next border between chunks.
 PIECE = 1 << 20
 #: Borders where single spaces and line breaks stand between other characters alone.
 LINE_BORDER = re.compile(r"(?=[ \n])")
 #: A chunk whose tokens do not spell it counts so many tokens that no sum of others brings it above zero.
-NEVER = -(1 << 60)
+NEVER = -(1 << 62)
+#: Above all numbers of tokens of a text.
+MANY = 1 << 31
 
 
 def byte_characters() -> dict[str, int]:
@@ -54,8 +57,8 @@ class Aligner:
         self.written = [f"{x}{end}" for size, ends in ((self.a_size, ",|"), (self.b_size, ",;")) for end in ends for x in numbers[:size]]
         # Chunks may be taken alone only if no piece of B can cross their borders.
         self.cut = not any(re.search(r"[^▁]▁|\n", p) for p in pieces) and not self.b.encode("", out_type=int) and self.b.encode("\n") == [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
-        self.young: dict[str, tuple[bytes, str, int, int]] = {}
-        self.old: dict[str, tuple[bytes, str, int, int]] = {}
+        self.young: dict[str, tuple[bytes, str, int]] = {}
+        self.old: dict[str, tuple[bytes, str, int]] = {}
         self.held = 0
 
     def clear(self) -> None:
@@ -77,20 +80,17 @@ class Aligner:
 
     def learn(self, chunks: set[str]) -> None:
         """Make sure that `young` has all of these chunks."""
-        fresh = []
-        for chunk in chunks - self.young.keys():
-            known = self.old.get(chunk)
-            if known is None:
-                fresh.append(chunk)
-            else:
-                self._keep(chunk, known)
+        wanted = chunks - self.young.keys()
+        known = {c: self.old[c] for c in wanted & self.old.keys()}
+        self._keep(known.keys(), known.values())
+        fresh = list(wanted - known.keys())
         for k in range(0, len(fresh), 20_000):
-            for chunk, found in zip(fresh[k : k + 20_000], self.encode(fresh[k : k + 20_000]), strict=True):
-                self._keep(chunk, found)
+            part = fresh[k : k + 20_000]
+            self._keep(part, self.encode(part))
 
-    def _keep(self, chunk: str, found: tuple[bytes, str, int, int]) -> None:
-        self.young[chunk] = found
-        self.held += len(chunk) + len(found[0]) + len(found[1]) + 256
+    def _keep(self, chunks: Collection[str], found: Collection[tuple[bytes, str, int]]) -> None:
+        self.young.update(zip(chunks, found, strict=True))
+        self.held += sum(map(len, chunks)) + sum([len(f[0]) + len(f[1]) for f in found]) + 256 * len(chunks)
 
     def turn(self) -> None:
         """To be called between batches: a full young generation becomes the old one; long chunks are not kept."""
@@ -99,38 +99,44 @@ class Aligner:
         if self.held > GENERATION:
             self.young, self.old, self.held = {}, self.young, 0
 
-    def encode(self, chunks: list[str]) -> list[tuple[bytes, str, int, int]]:
+    def encode(self, chunks: list[str]) -> list[tuple[bytes, str, int]]:
         """For each chunk (which starts with a space or line break): packed codes a * b_size + b of its links in order,
-        its groups in writing with a ; after each, and its numbers of A and B tokens."""
+        its groups in writing with a ; after each, and its numbers of A and B tokens as one (A * MANY + B)."""
         a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         b = [ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b, strict=True)]  # B adds a space of its own
-        want = [c.encode() for c in chunks]
-        right = [b"".join(map(self.a_bytes.__getitem__, x)) == w and b"".join(map(self.b_bytes.__getitem__, y)) == w for x, y, w in zip(a, b, want, strict=True)]
-        good = [k for k, ok in enumerate(right) if ok]
-        found = [(b"", "", NEVER, 0)] * len(chunks)
-        if good:
-            for k, one in zip(good, self._align([a[k] for k in good], [b[k] for k in good], np.cumsum([len(want[k]) for k in good])), strict=True):
-                found[k] = one
+        found = self._align(chunks, a, b)
+        if found is None:  # some chunk is not spelt by its tokens
+            found = [(one := self._align([c], [x], [y])) and one[0] or (b"", "", NEVER) for c, x, y in zip(chunks, a, b, strict=True)]
         return found
 
-    def _align(self, a: list[list[int]], b: list[list[int]], stops: np.ndarray) -> Iterator[tuple[bytes, str, int, int]]:
-        """stops: where each chunk ends if all stand one after the other."""
+    def _align(self, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple[bytes, str, int]] | None:
+        """None if the tokens of A or B do not spell all chunks."""
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        a_ids, b_ids = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        text = "".join(chunks).encode()
+        stops = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks])
         a_ends, b_ends = np.cumsum(self.a_lengths[a_ids]), np.cumsum(self.b_lengths[b_ids])
-        ends = np.union1d(a_ends, b_ends)
+        if not a_ids.size or not b_ids.size or b"".join(map(self.a_bytes.__getitem__, a_ids.tolist())) != text or b"".join(map(self.b_bytes.__getitem__, b_ids.tolist())) != text:
+            return None
+        if not n_a.all() or not n_b.all() or (a_ends[np.cumsum(n_a) - 1] != stops).any() or (b_ends[np.cumsum(n_b) - 1] != stops).any():
+            return None
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        again = ends[1:] == ends[:-1]
+        both, ends = ends[1:][again], ends[np.append(~again, True)]
         codes = (a_ids[np.searchsorted(a_ends, ends)] * self.b_size + b_ids[np.searchsorted(b_ends, ends)]).astype(np.uint32).tobytes()
-        links = np.concatenate([[0], np.searchsorted(ends, stops, "right")]).tolist()
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        links = (4 * np.searchsorted(ends, stops, "right")).tolist()
         a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
         a_last, b_last = both[a_group] == a_ends, both[b_group] == b_ends
         at = np.concatenate([a_ids + self.a_size * a_last, 2 * self.a_size + b_ids + self.b_size * b_last])
         order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
         written = list(map(self.written.__getitem__, at[order].tolist()))
-        places = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-        for k, (x, y) in enumerate(zip(n_a.tolist(), n_b.tolist(), strict=True)):
-            yield codes[4 * links[k] : 4 * links[k + 1]], "".join(written[places[k] : places[k + 1]]), x, y
+        places, numbers = np.cumsum(n_a + n_b).tolist(), (n_a * MANY + n_b).tolist()
+        found, low, start = [], 0, 0
+        for high, stop, n in zip(links, places, numbers, strict=True):
+            found.append((codes[low:high], "".join(written[start:stop]), n))
+            low, start = high, stop
+        return found
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int, int, int, bytes]]:
         """For each text the codes of its links, its numbers of A and B tokens and of groups, and the groups' digest.
@@ -138,21 +144,22 @@ class Aligner:
         All zero, and no digest, for a null or empty text and for one that the tokens of A or B do not spell.
         """
         pieces = [list(self.chunks(t)) if t else [] for t in texts]
-        self.learn({c for one in pieces for chunks in one for c in chunks})
+        wanted: set[str] = set()
+        wanted.update(*(chunks for one in pieces for chunks in one))
+        self.learn(wanted)
         get = self.young.__getitem__
         for one in pieces:
-            codes, n_a, n_b, groups, digest, before = [], 0, 0, 0, hashlib.sha256(), ""
+            codes, n, groups, digest, before = [], 0, 0, hashlib.sha256(), ""
             for chunks in one:
                 found = list(map(get, chunks))
-                n_a += sum([f[2] for f in found])
-                n_b += sum([f[3] for f in found])
+                n += sum([f[2] for f in found])
                 codes.append(b"".join([f[0] for f in found]))
                 written = "".join([f[1] for f in found])
                 groups += written.count(";")
                 digest.update(f"{before}{written[:-1]}".encode())
                 before = ";"
-            if n_a > 0:
-                yield np.frombuffer(b"".join(codes), np.uint32), n_a, n_b, groups, digest.digest()
+            if n > 0:
+                yield np.frombuffer(b"".join(codes), np.uint32), *divmod(n, MANY), groups, digest.digest()
             else:
                 yield np.zeros(0, np.uint32), 0, 0, 0, b""
         self.turn()

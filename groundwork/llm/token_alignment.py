@@ -69,6 +69,12 @@ def _wide(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, f"<u{len(packed) // n}").astype(np.int64)
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of an ordered array, where each begins and how often it stands there."""
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[starts], starts, np.diff(np.append(starts, len(ordered)))
+
+
 class Stripes:
     """A ids are dealt over stripes in turn; a stripe's cells are its A ids times all B ids."""
 
@@ -79,9 +85,9 @@ class Stripes:
 
     def keys(self, codes: np.ndarray) -> np.ndarray:
         """Stripe and cell of codes a * b_size + b as one number: stripe * cells + cell."""
-        a, b = np.divmod(codes.astype(np.uint64), np.uint64(self.b_size))
-        row, stripe = np.divmod(a, np.uint64(self.n))
-        return (stripe * np.uint64(self.rows) + row) * np.uint64(self.b_size) + b
+        a, b = np.divmod(codes, np.uint32(self.b_size))
+        row, stripe = np.divmod(np.arange(int(a.max(initial=0)) + 1, dtype=np.uint64), np.uint64(self.n))
+        return ((stripe * np.uint64(self.rows) + row) * np.uint64(self.b_size))[a] + b
 
     @property
     def cells(self) -> int:
@@ -95,22 +101,25 @@ def _encode(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], stripes:
         ids = batch.column("doc_id")
         figures = np.zeros(batch.num_rows, FIGURES)
         figures["doc_id"], figures["has_id"] = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-        keys = []
+        links = []
         for k, (codes, n_a, n_b, groups, sha) in enumerate(aligner.documents(batch.column("text").to_pylist())):
             figures[["n_a", "n_b", "n_groups", "n_links"]][k] = (n_a, n_b, groups, codes.size)
             if sha:
                 figures["sha"][k] = np.frombuffer(sha, np.uint8)
-            keys.append(stripes.keys(codes) << np.uint64(16) | np.uint64(k))
-        # A row for each pair and document, how often it is linked there; then one for each pair.
-        held, times = np.unique(np.concatenate(keys), return_counts=True)
-        pairs, starts, in_docs = np.unique(held >> np.uint64(16), return_index=True, return_counts=True)
+            links.append(codes)
+        keys = stripes.keys(np.concatenate(links)) << np.uint64(16)
+        keys |= np.repeat(np.arange(len(links), dtype=np.uint64), [len(x) for x in links])
+        keys.sort()
+        # A place for each pair and document, how often it is linked there; then one for each pair.
+        held, _, times = _runs(keys)
+        pairs, starts, in_docs = _runs(held >> np.uint64(16))
         docs = (held & np.uint64(0xFFFF)).astype("<u2")
         stripe, cell = np.divmod(pairs, np.uint64(stripes.cells))
         out = [{"batch": number, "stripe": -1, "cells": figures.tobytes(), "held": b"", "docs": b"", "times": b"", "pair_bytes": 0, "link_bytes": 0}]
         edges = [*np.flatnonzero(np.diff(stripe, prepend=-1)).tolist(), len(pairs)] if len(pairs) else []
-        links = np.append(starts, len(held))
+        starts = np.append(starts, len(held))
         for low, high in zip(edges, edges[1:], strict=False):
-            first, last = links[low], links[high]
+            first, last = starts[low], starts[high]
             parts = (cell[low:high].astype("<u4").tobytes(), _small(in_docs[low:high]).tobytes(), docs[first:last].tobytes(), _small(times[first:last]).tobytes())
             out.append(dict(zip(("cells", "held", "docs", "times"), parts, strict=True)) | {"batch": number, "stripe": int(stripe[low]), "pair_bytes": sum(map(len, parts[:2])), "link_bytes": sum(map(len, parts))})
         yield arrow_table({f.name: [r[f.name] for r in out] for f in PACKED}, PACKED)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from groundwork.llm.common import arrow_table, in_arrow, slices, utf8, word_hashes
-from groundwork.llm.windows import Bucket, Windows, duplicated, found_in, keyed, marked
+from groundwork.llm.windows import Bucket, Windows, alike, duplicated, found_in, keyed, marked
 
 LENGTH, GRAM = 50, 8
 
@@ -33,24 +33,25 @@ def spec(length: int = LENGTH, gram: int = GRAM) -> Windows:
 
 
 def first_documents(length: int):
-    """Decides buckets by sorting their windows: a window is fresh in the smallest doc_id that holds it."""
+    """Decides buckets by sorting their windows: a window is fresh in the smallest doc_id that holds it, which learns
+    one place of it at least and finds its other ones by itself."""
 
     def decide(buckets: list[Bucket]) -> list[tuple[int, int, int]]:
         rows = []
         for _, strings in buckets:
             if len(strings) == 1:
-                ((packed, owners),) = strings.items()
-                rows += [(d, at, packed.count(b" ") + 2 - length) for d, at in owners]
+                ((packed, (doc, at)),) = strings.items()
+                rows.append((doc, at, packed.count(b" ") + 2 - length))
                 continue
             windows = []
-            for packed, owners in strings.items():
+            for packed, (doc, at) in strings.items():
                 ends = np.append(np.flatnonzero(np.frombuffer(packed, np.uint8) == 32), len(packed)).tolist()
                 starts = [0, *(e + 1 for e in ends[:-1])]
-                windows += [(packed[starts[j] : ends[j + length - 1]], owners[0][0], owners, j) for j in range(len(ends) - length + 1)]
+                windows += [(packed[starts[j] : ends[j + length - 1]], doc, at + j) for j in range(len(ends) - length + 1)]
             windows.sort(key=lambda w: (w[0], w[1]))
             for _, same in groupby(windows, key=lambda w: w[0]):
                 same = list(same)
-                rows += [(d, at + j, 1) for _, doc, owners, j in same if doc == same[0][1] for d, at in owners]
+                rows += [(doc, place, 1) for _, doc, place in same if doc == same[0][1]]
         return rows
 
     return decide
@@ -74,10 +75,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 words = (text or b"").split()
                 gone, n_spans = np.zeros(len(words), bool), 0
                 if len(own[0]):
-                    gone = duplicated(len(words), own, s)
+                    gone = duplicated(len(words), own, s, lambda known, places, words=words: alike(word_hashes(words), words, length)(known, places))
                     n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 kept = [w for w, g in zip(words, gone.tolist()) if not g] if n_spans else words
                 rows.append((doc_id, len(words), len(words) - len(kept), n_spans, hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield arrow_table(dict(zip(RESULT.names, map(list, zip(*rows)))), RESULT)
 
-    return in_arrow(marked(keyed(docs), s, first_documents(length), keep_all=True)[0], run, "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(marked(keyed(docs), s, first_documents(length))[0], run, "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")

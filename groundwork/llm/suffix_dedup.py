@@ -82,10 +82,10 @@ def first_places(length: int):
         rows, strings = [], []
         for _, many in buckets:
             if len(many) == 1:
-                ((packed, owners),) = many.items()
-                rows.append((*owners[0], len(packed) - length + 1))
+                ((packed, owner),) = many.items()
+                rows.append((*owner, len(packed) - length + 1))
             else:
-                strings += [(packed, *owners[0]) for packed, owners in many.items()]
+                strings += [(packed, *owner) for packed, owner in many.items()]
         strings = trimmed(strings, length, rows)
         if not strings:
             return rows
@@ -114,7 +114,7 @@ def first_places(length: int):
 
 def _spans(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, list[str], Windows]:
     s = spec(length, gram)
-    return *marked(docs, s, first_places(length), keep_all=False), s
+    return *marked(docs, s, first_places(length)), s
 
 
 def gone_bytes(text: bytes | None, found: Found, s: Windows) -> np.ndarray:

@@ -161,16 +161,15 @@ def candidates(docs: DataFrame, spec: Windows) -> DataFrame:
     return each.groupBy("x.doc_id").agg(F.collect_list(F.struct(mark.alias("mark"), "h")).alias("runs"))
 
 
-def packed_runs(base: DataFrame, name: str, spec: Windows, keep_all: bool) -> DataFrame:
-    """h, packed, doc_id, at of the candidate runs: each batch sends a distinct string once, from its
-    first place; with keep_all from every place in its first document."""
+def packed_runs(base: DataFrame, name: str, spec: Windows) -> DataFrame:
+    """h, packed, doc_id, at of the candidate runs: each batch sends a distinct string once, from its first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2000, TEXT_BYTES):
             ids, texts, runs = batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column(name)
             begin, values = np.asarray(runs.offsets) - runs.offsets[0].as_py(), runs.flatten()
             mark, key = (values.field(k).to_numpy() for k in (0, 1))
-            best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            best: dict[tuple[int, bytes], tuple[int, int]] = {}
             size = 0
             for r in sorted(range(len(ids)), key=lambda r: ids[r]):
                 mine = begin[r] + np.argsort(mark[begin[r] : begin[r + 1]])
@@ -188,20 +187,17 @@ def packed_runs(base: DataFrame, name: str, spec: Windows, keep_all: bool) -> Da
                     for k, (x, _), packed in zip(keys[a : a + SPANS], part, spec.strings(texts[r] or b"", part)):
                         if k is None:
                             k = int(np.uint64(hash_of(packed)).view(np.int64))
-                        owners = best.get((k, packed))
-                        if owners is None:
-                            best[k, packed] = [(ids[r], x)]
+                        if (k, packed) not in best:
+                            best[k, packed] = (ids[r], x)
                             size += len(packed)
-                        elif keep_all and owners[0][0] == ids[r]:
-                            owners.append((ids[r], x))
                     # Windows that travel alone are many times their text: what was gathered goes off in between.
                     if size >= TEXT_BYTES:
                         yield table(best)
                         best, size = {}, 0
             yield table(best)
 
-    def table(best: dict[tuple[int, bytes], list[tuple[int, int]]]) -> pa.RecordBatch:
-        rows = [(k, packed, *owner) for (k, packed), owners in best.items() for owner in owners]
+    def table(best: dict[tuple[int, bytes], tuple[int, int]]) -> pa.RecordBatch:
+        rows = [(k, packed, *owner) for (k, packed), owner in best.items()]
         return arrow_table(dict(zip(RUNS.names, map(list, zip(*rows)) if rows else ([], [], [], []))), RUNS)
 
     return in_arrow(base, run, "h long, packed binary, doc_id long, at int")
@@ -218,11 +214,11 @@ def hash_of(packed: bytes) -> int:
     return xxhash.xxh3_64_intdigest(packed)
 
 
-#: A bucket: its hash, and each distinct string with its first owners (doc_id, at).
-Bucket = tuple[int, dict[bytes, list[tuple[int, int]]]]
+#: A bucket: its hash, and each distinct string with its first owner (doc_id, at).
+Bucket = tuple[int, dict[bytes, tuple[int, int]]]
 
 
-def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[int, int, int]]], keep_all: bool) -> DataFrame:
+def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[int, int, int]]]) -> DataFrame:
     """(doc_id, at, n): stretches of windows that are their content's first, as `decide` finds them for whole buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,15 +234,10 @@ def fresh_windows(runs: DataFrame, decide: Callable[[list[Bucket]], list[tuple[i
                     buckets.append((h, {}))
                     last = h
                 strings = buckets[-1][1]
-                owners = strings.get(packed)
-                if owners is None:
-                    strings[packed] = [(doc_id, at)]
-                    size += len(packed)
-                elif keep_all and doc_id == owners[0][0]:
-                    if (doc_id, at) not in owners:
-                        owners.append((doc_id, at))
-                elif (doc_id, at) < owners[0] if not keep_all else doc_id < owners[0][0]:
-                    strings[packed] = [(doc_id, at)]
+                owner = strings.get(packed)
+                size += len(packed) if owner is None else 0
+                if owner is None or (doc_id, at) < owner:
+                    strings[packed] = (doc_id, at)
         if buckets:
             yield table(buckets)
 
@@ -270,8 +261,12 @@ def found_in(batch: pa.RecordBatch, runs_name: str, fresh_name: str) -> Iterator
         yield mark[r[k] : r[k + 1]], at[f[k] : f[k + 1]], n[f[k] : f[k + 1]]
 
 
-def duplicated(n: int, found: Found, spec: Windows) -> np.ndarray:
-    """Which of a text's n symbols the duplicate windows cover."""
+def duplicated(n: int, found: Found, spec: Windows, again: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Which of a text's n symbols the duplicate windows cover.
+
+    Places told to be fresh are of a window's first occurrence. Where later ones in the same text are to
+    stay too, again(fresh places, places left) says which of those left are like a fresh one.
+    """
     marks, fresh_at, fresh_n = found
     covered = np.zeros(n + 1, np.int64)
     count = n - spec.length + 1
@@ -281,15 +276,38 @@ def duplicated(n: int, found: Found, spec: Windows) -> np.ndarray:
         np.add.at(edge, np.minimum(at, count), 1)
         np.add.at(edge, np.minimum(at + windows, count), -1)
         window = np.cumsum(edge)[:-1] > 0
+        fresh = np.zeros(count, bool)
         for a, k in zip(fresh_at.tolist(), fresh_n.tolist()):
-            window[a : a + k] = False
+            fresh[a : a + k] = True
+        window &= ~fresh
         w = np.flatnonzero(window)
+        if again is not None and fresh.any() and len(w):
+            w = w[~again(np.flatnonzero(fresh), w)]
         covered[w] += 1
         covered[w + spec.length] -= 1
     return np.cumsum(covered)[:-1] > 0
 
 
-def marked(docs: DataFrame, spec: Windows, decide: Callable, keep_all: bool) -> tuple[DataFrame, list[str]]:
+def alike(h: np.ndarray, symbols: list, length: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For `duplicated`: which places of a text (its symbols and their hashes) hold the window of some known place; hashes propose, symbols decide."""
+
+    def again(known: np.ndarray, places: np.ndarray) -> np.ndarray:
+        width = 1 << length.bit_length() - 1
+        grams = gram_hashes(h, width)
+        whole = mix(grams[: len(h) - length + 1] * MIX_1 + grams[length - width :])
+        first: dict[int, list[int]] = {}
+        for k, key in zip(known.tolist(), whole[known].tolist()):
+            first.setdefault(key, []).append(k)
+        same = np.isin(whole[places], whole[known])
+        for j in np.flatnonzero(same).tolist():
+            k = int(places[j])
+            same[j] = any(symbols[x : x + length] == symbols[k : k + length] for x in first[int(whole[k])])
+        return same
+
+    return again
+
+
+def marked(docs: DataFrame, spec: Windows, decide: Callable) -> tuple[DataFrame, list[str]]:
     """The rows of docs with two columns more, which `found_in` reads, and those columns' names: runs and fresh,
     or what is free beside the columns of docs.
 
@@ -299,8 +317,8 @@ def marked(docs: DataFrame, spec: Windows, decide: Callable, keep_all: bool) ->
     key, runs, last = (unused(docs.columns, x) for x in ("key", "runs", "fresh"))
     own = docs.where("doc_id is not null")
     found = settle(candidates(keyed(own), spec), "candidates").select(F.col("doc_id").alias(key), F.col("runs").alias(runs))
-    strings = packed_runs(own.join(found, own["doc_id"] == found[key]), runs, spec, keep_all)
-    fresh = fresh_windows(strings, decide, keep_all).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias(last)).withColumnRenamed("doc_id", key)
+    strings = packed_runs(own.join(found, own["doc_id"] == found[key]), runs, spec)
+    fresh = fresh_windows(strings, decide).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias(last)).withColumnRenamed("doc_id", key)
     out = own.join(found, own["doc_id"] == found[key], "left").drop(key).join(fresh, own["doc_id"] == fresh[key], "left").drop(key)
     rest = docs.where("doc_id is null")
     return out.unionByName(rest.select("*", *(F.lit(None).cast(out.schema[c].dataType).alias(c) for c in (runs, last)))), [runs, last]

@@ -141,3 +141,26 @@ def test_clashing_names(spark):
     got = suffix_dedup.dedup_texts(df)
     assert got.columns == df.columns
     assert sorted(((r.doc_id or 0, r.RUNS, r.fresh, r.key) for r in got.collect())) == [(0, 9, "c", 1), (1, 5, "a", 7), (2, 6, "b", 8)]
+
+
+def test_repeats_inside_documents(spark, hot):
+    """A window's later places in the first document that has it stay, in later documents none stays."""
+    rng = random.Random(11)
+    words = [f"t{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choice(words[:2]) if rng.random() < 0.3 else words[k % (3 + i % 4)] for k in range(rng.randrange(200)))) for i in range(30)]
+    rows += [(100 + i, " ".join(words[:10] * 40)) for i in range(9)] + [(90, " ".join(words[:10] * 25 + ["end"] + words[:10] * 25))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert result(substring_dedup.dedup(df)) == brute_words(rows, 50)
+
+
+def test_a_bucket_gets_a_row_for_each_string_and_batch(spark):
+    """Documents of one line over and over: what meets at a hash is bounded by batches, not by places."""
+    from pyspark.sql import functions as F
+
+    line = " ".join(f"w{k}" for k in range(10)) + "\n"
+    docs = spark.createDataFrame([(i, line * 600) for i in range(40)], "doc_id long, text string").repartition(20)
+    s = substring_dedup.spec()
+    found = windows.candidates(docs, s)
+    sent = windows.packed_runs(docs.join(found, "doc_id"), "runs", s)
+    most = sent.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 20 * 10  # ten different strings of a hash at most, once for each batch

@@ -46,6 +46,7 @@ class ByteConvolution:
     def __init__(self, languages: list[str], seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.languages, self.reach, n = languages, max(WIDTHS), FILTERS * len(WIDTHS)
+        self.floor = 0.0
         self.mask = np.zeros((self.reach * EMBED, n), np.float32)
         for k, w in enumerate(WIDTHS):
             self.mask[: w * EMBED, k * FILTERS : (k + 1) * FILTERS] = 1
@@ -153,9 +154,21 @@ def fit(docs: DataFrame) -> ByteConvolution | None:
         return None
     net = ByteConvolution(languages)
     net.fit(np.concatenate(x), np.array(y))
+    net.floor = floor_of(net, np.concatenate(x))
     return net
 
 
+def floor_of(net: ByteConvolution, windows: np.ndarray) -> float:
+    """The least probability of its best label that a text of a learned language is taken to have.
+
+    Half way between no information (all labels alike) and the least that any window of the labelled
+    sample gives its best label: no window that was learned from is near it, nor is a whole text of
+    such windows. A text below it looks like none of the labels.
+    """
+    chance = 1 / len(net.languages)
+    return float(chance + (net.probabilities(windows).max(axis=1).min() - chance) / 2) if len(net.languages) > 1 else 0.0
+
+
 def labelled(net: ByteConvolution | None, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
     """Predicted label and score of each text; `und` and 0 for a missing one."""
     pred, score = ["und"] * len(texts), [0.0] * len(texts)
@@ -206,9 +219,10 @@ def predict_languages(docs: DataFrame, net: ByteConvolution | None = None) -> Da
 
 
 def known_language(docs: DataFrame, net: ByteConvolution | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is given a language; `und` goes.
+    """The rows of docs, with all their columns, whose text the network gives a language.
 
-    Null texts, empty ones and those without a letter go. Where no network could be fitted (no
+    Null texts, empty ones and those without a letter go, and so do texts whose best label has a
+    probability below the network's floor (`floor_of`). Where no network could be fitted (no
     usable label), every text with a letter stays. Null and repeated ids make no difference: each
     row is judged by its own text. An empty table stays empty.
     """
@@ -221,7 +235,7 @@ def known_language(docs: DataFrame, net: ByteConvolution | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 2 << 20):
             texts = [t if k else None for t, k in zip(utf8(batch, "text"), batch.column(letters).to_pylist())]
-            pred, _ = labelled(shared.value, texts)
-            yield batch.filter(pa.array([p != "und" for p in pred])).select(names)
+            pred, score = labelled(shared.value, texts)
+            yield batch.filter(pa.array([p != "und" and s >= shared.value.floor for p, s in zip(pred, score, strict=True)])).select(names)
 
     return in_arrow(docs.withColumn(letters, has_letters()), run, docs.schema)

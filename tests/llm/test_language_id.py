@@ -62,3 +62,49 @@ def test_all_labels_are_learned(spark):
     docs = [(i, " ".join([w] * 8), f"l{k:02}") for k, w in enumerate(words) for i in range(k * 40, k * 40 + (24 if k else 8))]
     net = L.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     assert len(words) == 70 and net.languages == [f"l{k:02}" for k in range(70)]
+
+
+def forward(net, text):
+    """A text's label and score, written out byte by byte: windows, filters, largest answers, softmax, weighted mean."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    data = [b + 32 if 65 <= b <= 90 else 32 if b < 33 else b for b in text.encode()]
+    mean, weight = [0.0] * len(net.languages), 0
+    for start in range(0, max(1, len(data)), L.WINDOW):
+        own = data[start : start + L.WINDOW]
+        window = own + [32] * (L.WINDOW - len(own))
+        hidden = []
+        for f in range(L.FILTERS * len(L.WIDTHS)):
+            reach, best = L.WIDTHS[f // L.FILTERS], -np.inf
+            for at in range(L.WINDOW - max(L.WIDTHS) + 1):
+                best = max(best, sum(p["embed"][window[at + j]] @ p["kernel"][j * L.EMBED : (j + 1) * L.EMBED, f] for j in range(reach)))
+            hidden.append(max(0.0, best + p["lift"][f]))
+        z = [sum(h * p["out"][k, c] for k, h in enumerate(hidden)) + p["bias"][c] for c in range(len(net.languages))]
+        e = [np.exp(x - max(z)) for x in z]
+        mean = [m + len(own) * x / sum(e) for m, x in zip(mean, e, strict=True)]
+        weight += len(own)
+    mean = [m / weight for m in mean]
+    k = int(np.argmax(mean))
+    return net.languages[k], mean[k]
+
+
+def test_against_loops_over_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = L.fit(docs)
+    texts = ["The end of the day", "la maison ÉTÉ", "x", "a\tb\nC " * 50, "日本 z", "y" * 257]
+    got = L.predict_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()
+    for r in got:
+        lang, score = forward(net, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+
+
+def test_the_stage_drops_what_no_label_fits(spark):
+    """The decision is the network's: one that tells nothing apart keeps nothing, a fitted one keeps all labelled documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = L.fit(docs)
+    assert 1 / len(net.languages) < net.floor < 0.5
+    kept = L.known_language(docs, net)
+    assert kept.count() == docs.where("lang is not null and text rlike '\\\\p{L}'").count()
+    blank = L.ByteConvolution(net.languages)
+    blank.p = {k: np.zeros_like(v) for k, v in blank.p.items()}
+    blank.floor = net.floor
+    assert L.known_language(docs, blank).count() == 0

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
+from groundwork.sources.shared import settled
 
 # BM25, fusion and pool sizes, gate thresholds, staleness.
 K1, B, RRF, TOP_K, TOP_N, LEAST_SCOPED, POOL = 1.5, 0.75, 60, 20, 5, 3, 20
 THRESHOLDS, DEFAULT_THRESHOLD = {"ko": 0.8246, "en": 0.8445, "vi": 0.8321}, 0.851
 STALE_DAYS = 90
+#: Parts into which the holders of a word fall by weight.
+BLOCKS = 64
 
 
 def postings(docs: DataFrame, key: str) -> DataFrame:
@@ -29,18 +32,21 @@ def index_stats(posts: DataFrame, docs: DataFrame, key: str) -> tuple[DataFrame,
     return posts.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, query: str, key: str, k: int = TOP_K) -> DataFrame:
+def bm25(questions: DataFrame, docs: DataFrame, query: str, key: str, k: int = TOP_K, prune: bool = False) -> DataFrame:
     """(query, key, score, rank): the k best documents of each question by Okapi BM25, positive scores only.
 
     The always-positive idf ln(1 + (N - df + 1/2) / (df + 1/2)); repeated question words count as
-    often. A document's words are cut down to those that questions ask for before anything is
-    shuffled; only N and the mean length are over all words.
+    often. A document is tokenized once: its words are cut down to those that questions ask for, and
+    a row without a word carries its length to N and the mean. Keys are unique. `prune` is for short
+    questions with rare words, see `best_sums`; scores and ranks are the same.
     """
-    asked = asked_words(questions, query)
-    words = docs.select(key, T.tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), "t")
-    totals = words.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("x"))
-    hit = words.select(key, "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    return bm25_of(asked, hit, totals, query, key, k)
+    asked = settled(asked_words(questions, query), "asked")
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("term")))
+    words = docs.select(key, T.tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("word"))
+    hit = words.join(terms, F.col("word").eqNullSafe(F.col("term")), "left_semi").groupBy(F.col("word").alias("term"), key, "dl").agg(F.count("*").alias("tf"))
+    hit = settled(hit, "postings")
+    totals = hit.where("term is null").agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("x"))
+    return bm25_of(asked, hit.where("term is not null"), totals, query, key, k, prune)
 
 
 def asked_words(questions: DataFrame, query: str) -> DataFrame:
@@ -48,16 +54,78 @@ def asked_words(questions: DataFrame, query: str) -> DataFrame:
     return questions.select(query, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
 
 
-def bm25_of(asked: DataFrame, hit: DataFrame, totals: DataFrame, query: str, key: str, k: int) -> DataFrame:
+def bm25_of(asked: DataFrame, hit: DataFrame, totals: DataFrame, query: str, key: str, k: int, prune: bool = False) -> DataFrame:
     """The k best of each question over (term, key, dl, tf) rows of all asked words, and one row x of n and avgdl."""
     hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("x", totals.scalar())
     idf = F.log(1 + (F.col("x.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("x.avgdl")))).alias("w"))
-    scored = asked.join(weight, "term").groupBy(query, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
+    if prune:
+        return best_sums(asked, weight, query, key, k)
+    return ranked_sums(asked.join(weight, "term"), query, key, k)
+
+
+def ranked_sums(pairs: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    scored = pairs.groupBy(query, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)))
     return ranked.where((F.col("rank") <= k) & (F.col("score") > 0))
 
 
+def best_sums(asked: DataFrame, weight: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """(query, key, score, rank): the k largest sums of qf * w of each question, sums above 0 only, without
+    meeting every holder of a common word.
+
+    asked: query, term, qf; weight: term, key, w. A word's holders fall into blocks by weight, each
+    with its largest. The heads of the lists give each question a score that its k-th best reaches at
+    least (`floors`), which rules out the lists of its common words and blocks of others
+    (`candidate_pairs`); what the documents that are left hold of the question's words is looked up.
+    """
+    blocks = settled(in_blocks(weight), "weights")
+    bounds = blocks.groupBy("term", "block").agg(F.max("w").alias("top"), F.count("*").alias("n"))
+    candidates = settled(candidate_pairs(asked, blocks, settled(bounds, "bounds"), query, key, k), "candidates")
+    return ranked_sums(candidates.join(asked, query).join(blocks.select("term", key, "w"), ["term", key]), query, key, k)
+
+
+def in_blocks(weight: DataFrame) -> DataFrame:
+    """weight with a block number: equal parts of the way from 0 to the word's largest weight."""
+    top = weight.groupBy("term").agg(F.max("w").alias("most"))
+    return weight.join(top, "term").select("term", key_of(weight), "w", F.greatest(F.ceil(BLOCKS * F.col("w") / F.col("most")), F.lit(1)).cast("int").alias("block"))
+
+
+def key_of(weight: DataFrame) -> str:
+    return next(c for c in weight.columns if c not in ("term", "w"))
+
+
+def floors(asked: DataFrame, blocks: DataFrame, bounds: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """(query, least): a score that the question's k-th best reaches; 0 if too few documents were seen.
+
+    The k documents with the largest sums over the heads of the words' lists are looked up whole.
+    """
+    before = F.sum("n").over(Window.partitionBy("term").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))
+    first = bounds.withColumn("seen", F.coalesce(before, F.lit(0))).where(F.col("seen") < k).select("term", "block")
+    part = asked.join(blocks.join(first, ["term", "block"], "left_semi"), "term").groupBy(query, key).agg(F.sum(F.col("qf") * F.col("w")).alias("s"))
+    by = Window.partitionBy(query)
+    best = part.withColumn("place", F.row_number().over(by.orderBy(F.desc("s")))).where(F.col("place") <= k).select(query, key)
+    whole = best.join(asked, query).join(blocks.select("term", key, "w"), ["term", key]).groupBy(query, key).agg(F.sum(F.col("qf") * F.col("w")).alias("s"))
+    # What rounding may take from a sum, or its order of summing, is kept off.
+    kth = whole.groupBy(query).agg(F.count("*").alias("n"), F.min("s").alias("s")).where(F.col("n") >= k).select(query, (F.col("s") * (1 - 1e-9) - 1e-6).alias("least"))
+    return asked.select(query).distinct().join(kth, query, "left").select(query, F.coalesce("least", F.lit(0.0)).alias("least"))
+
+
+def candidate_pairs(asked: DataFrame, blocks: DataFrame, bounds: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """(query, key) of the documents in blocks that could bring one to the floor of a question.
+
+    A question's words of least reach that cannot make up the floor together are passed over: what has
+    those words alone stays below it. Of the other words a block counts if its largest weight could reach the
+    floor beside the most that all other words give.
+    """
+    reach = asked.join(bounds.groupBy("term").agg(F.max("top").alias("most")), "term").withColumn("reach", F.col("qf") * F.col("most"))
+    by = Window.partitionBy(query)
+    summed = reach.withColumns({"upto": F.sum("reach").over(by.orderBy("reach", "term").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("reach").over(by)})
+    needed = summed.join(floors(asked, blocks, bounds, query, key, k), query).where(F.col("upto") >= F.col("least"))
+    opened = needed.join(bounds, "term").where(F.col("qf") * F.col("top") + F.col("all") - F.col("reach") >= F.col("least"))
+    return opened.select(query, "term", "block").join(blocks.select("term", "block", key), ["term", "block"]).select(query, key).distinct()
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -24,6 +24,16 @@ def index_update(spark: SparkSession, sf: str) -> DataFrame:
     return store.search(table(spark, sf, "benchmark"), "item_id").select("item_id", "doc_id", "score", "rank")
 
 
+def lexical_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The six longest words of each question alone, by blocks of weights and floors."""
+    words = F.slice(F.sort_array(F.transform(F.array_distinct(F.split("text", " ")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 6)
+    asked = table(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(words, lambda x: x["w"]), " ").alias("text"))
+    return R.bm25(asked, table(spark, sf, "documents"), "item_id", "doc_id", prune=True)
+
+
+LEXICAL_PRUNED = "WITH " + BM25_CTE.replace("FROM benchmark", "FROM (SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(string_split(text, ' ')), lambda w: {'n': -length(w), 'w': w}))[1:6], lambda x: x.w), ' ') AS text FROM benchmark)") + " SELECT item_id, doc_id, score, rank FROM lex WHERE rank <= 20 AND score > 0"
+
+
 def resumed_run(spark: SparkSession, sf: str) -> DataFrame:
     """Documents scored in waves by a run that had stopped after some of them."""
     golden = table(spark, sf, "documents").select("doc_id", "text", F.row_number().over(_by_hash()).alias("place"))
@@ -59,4 +69,4 @@ h AS (SELECT m.*, len(list_intersect(words, regexp_split_to_array(lower(d.text),
 SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY share DESC, rank) AS INTEGER) AS position, round(1 / (1 + exp(-share)), 6) AS rerank_score FROM h
 """
 
-QUERIES = {"q_index_update": (index_update, BM25_TOPK), "q_resumed_run": (resumed_run, RESUMED_RUN), "q_reranked_search": (reranked_search, RERANKED_SEARCH)}
+QUERIES = {"q_lexical_pruned": (lexical_pruned, LEXICAL_PRUNED), "q_index_update": (index_update, BM25_TOPK), "q_resumed_run": (resumed_run, RESUMED_RUN), "q_reranked_search": (reranked_search, RERANKED_SEARCH)}

@@ -132,3 +132,21 @@ def test_stream_epochs_are_written_once(spark, tmp_path):
     assert rows(sink.written().select("qid", "points")) == rows(scored(golden(spark)))
     sink.write(scored(golden(spark).where("qid % 3 = 0")), 0)  # the first epoch once more
     assert rows(sink.written().select("qid", "points")) == rows(scored(golden(spark)))
+
+
+def test_common_words_are_not_met_by_every_question(spark):
+    """The best sums are those over all pairs, from a small part of the pairs."""
+    import random
+
+    rng = random.Random(6)
+    weight = spark.createDataFrame([(t, d, rng.random() * (0.02 if t.startswith("c") else 3)) for d in range(3000) for t in ["c1", "c2", "c3", *rng.sample([f"r{j}" for j in range(300)], 3)]], "term string, id long, w double")
+    asked = spark.createDataFrame([(q, t, 1 + q % 2) for q in range(15) for t in ["c1", "c2", "c3", f"r{q}", f"r{q + 20}"]], "q long, term string, qf int")
+    pairs = asked.join(weight, "term")
+    every = pairs.groupBy("q", "id").agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score")).collect()
+    want = [(q, r.id, r.score, k) for q in range(15) for k, r in enumerate(sorted((r for r in every if r.q == q), key=lambda r: (-r.score, r.id))[:10], 1)]
+    assert rows(R.best_sums(asked, weight, "q", "id", 10).select("q", "id", "score", "rank")) == sorted(want)
+    blocks = R.in_blocks(weight)
+    bounds = blocks.groupBy("term", "block").agg(F.max("w").alias("top"), F.count("*").alias("n"))
+    assert R.candidate_pairs(asked, blocks, bounds, "q", "id", 10).count() < 0.05 * len(every)
+    few = asked.where("q < 2").withColumn("term", F.when(F.col("term") == "c1", "none").otherwise(F.col("term")))
+    assert R.best_sums(few, weight.where("id < 5"), "q", "id", 10).count() <= 10 and R.best_sums(asked.limit(0), weight, "q", "id", 10).count() == 0

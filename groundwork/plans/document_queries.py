@@ -152,6 +152,18 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return etl.chunks(table(spark, sf, "documents"), "doc_id")
 
 
+def headed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks with header and inherited columns, of the texts whose chunks are known."""
+    docs = part_texts(spark, sf).join(table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("publisher"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("title"), F.col("p_size").alias("size")), "p_partkey")
+    found = etl.headed_chunks(docs, "p_partkey", ["size"])
+    return found.select("p_partkey", "seq", "chunk_id", "publisher", "size", F.split_part("text", F.lit("\n"), F.lit(1)).alias("header"), "char_count")
+
+
+def chunk_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the report says of each document's chunks."""
+    return etl.chunk_report(etl.chunks(part_texts(spark, sf), "p_partkey"), "p_partkey", "body")
+
+
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("body")).where("trim(body) <> ''")
     return parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.length("body")).alias("least"), F.max(F.length("body")).alias("most"), F.round(F.avg(F.length("body")), 4).alias("mean"), F.count_if(F.col("body").contains("|")).alias("n_table"))
@@ -320,11 +332,15 @@ def sniff_kinds(spark: SparkSession, sf: str) -> DataFrame:
 SNIFF_KINDS = "SELECT page_id, ['pdf', 'hwp', 'zip', 'json', 'html', 'html'][page_id % 6 + 1] AS ext FROM pages"
 
 
+def part_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(p_partkey, text): texts in two parts under headings."""
+    body = lambda c, n: F.repeat(F.concat(F.col(c), F.lit(" ")), n)
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("# "), "p_brand", F.lit("\n\n## "), F.lit("First"), F.lit("\n\n"), F.rpad(body("p_name", 100), 800, "x"), F.lit("\n\n## "), "p_type", F.lit("\n\n"), F.rpad(body("p_type", 100), 850, "y")).alias("text"))
+
+
 def chunk_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of two-part texts: their heading paths, sizes and numbers."""
-    body = lambda c, n: F.repeat(F.concat(F.col(c), F.lit(" ")), n)
-    texts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("# "), "p_brand", F.lit("\n\n## "), F.lit("First"), F.lit("\n\n"), F.rpad(body("p_name", 100), 800, "x"), F.lit("\n\n## "), "p_type", F.lit("\n\n"), F.rpad(body("p_type", 100), 850, "y")).alias("text"))
-    found = etl.chunks(texts, "p_partkey")
+    found = etl.chunks(part_texts(spark, sf), "p_partkey")
     return found.select("p_partkey", "seq", "chunk_id", "heading_path", "char_count")
 
 
@@ -334,7 +350,18 @@ SELECT p_partkey, 0 AS seq, p_partkey || '#0000' AS chunk_id, p_brand AS heading
 UNION ALL SELECT p_partkey, 1, p_partkey || '#0001', p_brand || ' > ' || p_type, CAST(length(two) + length(trim(right(one, 100))) + 3 AS INTEGER) FROM p
 """
 
+HEADED_CHUNKS = f"""
+WITH c AS ({CHUNK_PATHS})
+SELECT c.p_partkey, seq, chunk_id, p_brand AS publisher, p_size AS size, h AS header, CAST(char_count + length(h) + 1 AS INTEGER) AS char_count
+FROM (SELECT c.*, p_brand, p_size, '[' || p_brand || ' / ' || CASE WHEN c.p_partkey % 3 <> 0 THEN p_name ELSE '' END || ' / ' || heading_path || ']' AS h FROM c JOIN part ON part.p_partkey = c.p_partkey) c
+"""
+CHUNK_REPORT = f"""
+WITH c AS ({CHUNK_PATHS})
+SELECT p_partkey, count(*) AS n, min(char_count) AS least, max(char_count) AS most, round(avg(char_count), 4) AS mean, CAST(0 AS BIGINT) AS n_table FROM c GROUP BY 1
+"""
+
 QUERIES = {
+    "q_headed_chunks": (headed_chunks, HEADED_CHUNKS), "q_chunk_report": (chunk_report, CHUNK_REPORT),
     "q_sniff_kinds": (sniff_kinds, SNIFF_KINDS), "q_chunk_paths": (chunk_paths, CHUNK_PATHS),
     "q_url_host_allow": (url_host_allow, URL_HOST_ALLOW), "q_sniff_status": (sniff_status, SNIFF_STATUS), "q_sha_change": (sha_change, SHA_CHANGE),
     "q_exact_dups": (exact_dups, EXACT_DUPS), "q_near_dups": (near_dups, NEAR_DUPS), "q_nav_lines": (nav_lines, NAV_LINES), "q_strip_nav": (strip_nav, STRIP_NAV),

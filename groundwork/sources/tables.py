@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundwork.functions.text import sse_blocks
 from groundwork.sources.shared import settled
 
 
@@ -25,6 +26,17 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     return parsed.where(~broken).select(*(F.col(f"row.{f.name}") for f in schema.fields)), parsed.where(broken).select("file", "value")
 
 
+def event_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(file, seq, event, data) of landed files of server-sent events, one answer in a file, whole when it lands.
+
+    As a stream the same rows come as files do; which files have been read is the source's offset, so
+    it goes on after a restart. A last block counts though no empty line ends it.
+    """
+    reader = spark.readStream if stream else spark.read
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return files.select("file", F.posexplode(sse_blocks(F.regexp_replace("value", r"\r\n?", "\n"), ended=True)).alias("seq", "block")).select("file", "seq", "block.event", "block.data")
+
+
 def front_matter(spark: SparkSession, path: str) -> DataFrame:
     """(path, meta, body) of Markdown files that begin with `key: value` lines between two lines of dashes."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")

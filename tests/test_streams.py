@@ -94,3 +94,20 @@ def test_sessions_and_daily_cache(spark, tmp_path):
     E.drained(S.first_of_day_stream(arriving(spark, schema, f"{path}/in"), "event_type", "ts", "3650 days"), f"{path}/days", f"{path}/c2")
     days = spark.read.parquet(f"{path}/days").where("event_type <> 'end'")
     assert sorted(map(tuple, days.collect())) == sorted(map(tuple, E.first_of_day(events, "event_type", "ts").select("event_type", "day").collect()))
+
+
+def test_event_files(spark, tmp_path):
+    """Landed event files give the same rows in a batch and as a stream, which goes on after a restart."""
+    from groundwork.sources.tables import event_files
+
+    (tmp_path / "in").mkdir()
+    texts = ['event: meta\ndata: {"tier": "A"}\n\nevent: token\ndata: {"t": "hé"}\n\n', 'event: token\r\ndata: {"t": 1}\r\n\r\nevent: token\ndata: {broken\n\ndata: {}\n\nevent: done\ndata: {}', "", "event: x\n\n"]
+    path = f"file://{tmp_path}"
+    for half in (texts[:2], texts[2:]):
+        for text in half:
+            n = len(list((tmp_path / "in").iterdir()))
+            (tmp_path / "in" / f"answer{n}.txt").write_bytes(text.encode())
+        E.drained(event_files(spark, f"{path}/in", stream=True), f"{path}/out", f"{path}/checkpoint")
+    want = sorted(map(tuple, event_files(spark, f"{path}/in").collect()))
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/out").collect())) == want
+    assert [(r[0], r[2]) for r in want] == [("answer0.txt", "meta"), ("answer0.txt", "token"), ("answer1.txt", "token"), ("answer1.txt", "done")]

@@ -416,12 +416,21 @@ SELECT l_orderkey, l_linenumber, max(failed) AS failed FROM f WHERE failed <> ''
 
 
 def ranking_policy(spark: SparkSession, sf: str) -> DataFrame:
-    return P.policy(spark, "fit_score")
+    """What the ranking's own constants give each supplier for what it has."""
+    k = F.col("s_suppkey")
+    has = {"weight.visa_fit": k % 2 == 0, "weight.doc_burden": k % 3 == 0, "weight.channel_access": k % 5 == 0, "access.language_support": k % 7 == 0, "access.non_face_to_face": k % 4 == 1, "access.dedicated_branch": k % 6 == 1}
+    status = F.concat(F.lit("status."), F.when(F.col("s_acctbal") > 5000, "official").when(F.col("s_acctbal") > 0, "inferred").otherwise("unknown"))
+    keys = F.array_compact(F.array(status, *(F.when(held, name) for name, held in has.items())))
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.explode(keys).alias("key"))
+    return rows.join(P.policy(spark, "fit_score"), "key").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("score"))
 
 
 RANKING_POLICY = """
-SELECT 'fit_score' AS name, * FROM (VALUES ('weight.visa_fit', 0.5::DOUBLE), ('weight.doc_burden', 0.3), ('weight.channel_access', 0.2), ('access.language_support', 0.5), ('access.non_face_to_face', 0.3), ('access.dedicated_branch', 0.2),
-  ('status.official', 1.0), ('status.inferred', 0.6), ('status.unknown', 0.0)) t(key, value)
+WITH p AS (SELECT * FROM (VALUES ('weight.visa_fit', 0.5::DOUBLE), ('weight.doc_burden', 0.3), ('weight.channel_access', 0.2), ('access.language_support', 0.5), ('access.non_face_to_face', 0.3), ('access.dedicated_branch', 0.2),
+  ('status.official', 1.0), ('status.inferred', 0.6), ('status.unknown', 0.0)) t(key, value)),
+s AS (SELECT s_suppkey, unnest([CASE WHEN s_acctbal > 5000 THEN 'status.official' WHEN s_acctbal > 0 THEN 'status.inferred' ELSE 'status.unknown' END, CASE WHEN s_suppkey % 2 = 0 THEN 'weight.visa_fit' END, CASE WHEN s_suppkey % 3 = 0 THEN 'weight.doc_burden' END,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'weight.channel_access' END, CASE WHEN s_suppkey % 7 = 0 THEN 'access.language_support' END, CASE WHEN s_suppkey % 4 = 1 THEN 'access.non_face_to_face' END, CASE WHEN s_suppkey % 6 = 1 THEN 'access.dedicated_branch' END]) AS key FROM supplier)
+SELECT s_suppkey, count(*) AS n, round(sum(value), 6) AS score FROM s JOIN p USING (key) GROUP BY 1
 """
 
 QUERIES = {

@@ -61,7 +61,8 @@ def bm25_of(asked: DataFrame, hit: DataFrame, totals: DataFrame, query: str, key
     weight = hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("x.avgdl")))).alias("w"))
     if prune:
         return best_sums(asked, weight, query, key, k)
-    return ranked_sums(asked.join(weight, "term"), query, key, k)
+    # A document's words come together first: its sums are then whole, or nearly, before they are shuffled.
+    return ranked_sums(asked.join(weight.repartition(key), "term"), query, key, k)
 
 
 def ranked_sums(pairs: DataFrame, query: str, key: str, k: int) -> DataFrame:

@@ -66,8 +66,9 @@ def _overlap_rank(spark: SparkSession, sf: str) -> DataFrame:
     """A second signal: how many of a question's distinct words a document holds."""
     asked = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     held = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    held = held.join(asked.select("term").distinct(), "term", "left_semi")  # words that no question has are not shuffled
     scored = asked.join(held, "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return U.first_in_group(scored, ["item_id", "doc_id"], ["score"]).withColumn("rank", F.expr("row_number() over (partition by item_id order by score desc, doc_id)")).where("rank <= 20")
+    return scored.withColumn("rank", F.expr("row_number() over (partition by item_id order by score desc, doc_id)")).where("rank <= 20")
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:

@@ -181,7 +181,7 @@ def lexical_tokens(text: Column) -> Column:
 def surfaces(glossary: DataFrame, code: str, ko: str, labels: Column, order: str) -> DataFrame:
     """One row, one array: (surface in lower case, ko), longest first; the first term with a surface has it.
 
-    A look-up scans the array for every text, so this is for glossaries of some hundred terms.
+    `operators.glossary` makes an automaton of it; `glossary_hits` scans the array for every text, which is for some hundred terms.
     """
     each = glossary.select(order, ko, F.posexplode(F.concat(F.array(ko), labels)).alias("at", "surface")).where(F.length("surface") >= LEAST_SURFACE)
     place = F.struct(order, "at")

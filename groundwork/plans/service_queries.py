@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
 from groundwork.operators import responses as P
+from groundwork.operators.glossary import with_hits
 from groundwork.sources.tables import table
 
 
@@ -52,9 +53,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    # One array of some dozen terms for all rows.
-    asked = _asked(spark, sf).withColumn("surfaces", _surfaces(spark, sf).scalar())
-    return asked.withColumn("hits", T.glossary_hits(F.col("query"), F.col("surfaces"))).drop("surfaces")
+    return with_hits(_asked(spark, sf), "query", _surfaces(spark, sf))
 
 
 def glossary_hits(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwork.functions import numerals as N
 from groundwork.functions import text as T
 from groundwork.operators import etl
+from groundwork.operators import main_content as content
 from groundwork.operators.responses import truncated_history
 from groundwork.sources.tables import sniffed_extension, table
 
@@ -121,6 +122,10 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", etl.html_text("html").alias("text"))
 
 
+def main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", content.main_text("html").alias("text"))
+
+
 def order_tables(spark: SparkSession, sf: str) -> DataFrame:
     """(id, text): each order's items as a Markdown table under a line of prose; the last cell is blank for flag A."""
     row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), "l_returnflag", F.lit(" | "), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).otherwise(""), F.lit(" |"))
@@ -365,7 +370,7 @@ QUERIES = {
     "q_sniff_kinds": (sniff_kinds, SNIFF_KINDS), "q_chunk_paths": (chunk_paths, CHUNK_PATHS),
     "q_url_host_allow": (url_host_allow, URL_HOST_ALLOW), "q_sniff_status": (sniff_status, SNIFF_STATUS), "q_sha_change": (sha_change, SHA_CHANGE),
     "q_exact_dups": (exact_dups, EXACT_DUPS), "q_near_dups": (near_dups, NEAR_DUPS), "q_nav_lines": (nav_lines, NAV_LINES), "q_strip_nav": (strip_nav, STRIP_NAV),
-    "q_adjacent_dups": (adjacent_dups, ADJACENT_DUPS), "q_block_dups": (block_dups, None), "q_tidy": (tidy, TIDY), "q_html_text": (html_text, None),
+    "q_adjacent_dups": (adjacent_dups, ADJACENT_DUPS), "q_block_dups": (block_dups, None), "q_tidy": (tidy, TIDY), "q_html_text": (html_text, None), "q_main_text": (main_text, None),
     "q_empty_columns": (empty_columns, EMPTY_COLUMNS), "q_chunks": (chunks, None), "q_chunk_stats": (chunk_stats, CHUNK_STATS), "q_overlap": (overlap, OVERLAP),
     "q_code_extract": (code_extract, CODE_EXTRACT), "q_pii_kinds": (pii_kinds, None), "q_pii_card": (pii_card, PII_CARD), "q_injection": (injection, None),
     "q_injection_hits": (injection_hits, INJECTION_HITS), "q_intent_rules": (intent_rules, INTENT_RULES), "q_forbidden": (forbidden, FORBIDDEN), "q_redact": (redact, REDACT),

@@ -87,9 +87,11 @@ def institution_response(cards: DataFrame) -> DataFrame:
 
 def checklist_sections(requests: DataFrame, sections: DataFrame, not_confirmed: dict[str, str]) -> DataFrame:
     """The sections of each request (request_id, lang, visa, purpose): base always; a purpose's, which if it is
-    not in the catalogue is an explicit unknown one; a visa's only if there is one. With doc codes, notes, caveat, place."""
+    not in the catalogue is an explicit unknown one; a visa's only if there is one. With doc codes, notes, caveat, place.
+    The base sections, a row or two of the catalogue, are one array that each request reads."""
     req = requests.select("request_id", "lang", "visa", "purpose")
-    base = req.join(F.broadcast(sections.where("kind = 'base'").drop("key")), how="inner", on=F.lit(True)).withColumn("place", F.lit(0))
+    always = sections.where("kind = 'base'").agg(F.collect_list(F.struct(*(c for c in sections.columns if c != "key"))).alias("always"))
+    base = req.withColumn("base", F.explode(always.scalar())).select(*req.columns, "base.*", F.lit(0).alias("place"))
     keyed = lambda kind: sections.where(F.col("kind") == kind).drop("kind")
     opening = req.where("purpose is not null").join(keyed("account_opening").withColumnRenamed("key", "purpose"), "purpose", "left").withColumns({"kind": F.lit("account_opening"), "place": F.lit(1)})
     missing = F.col("status").isNull()

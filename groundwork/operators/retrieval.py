@@ -136,29 +136,34 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """(block, ids, vectors): `size` vectors at most in a row, packed, each of length one; those without a direction are left out."""
+    """(block, ids, vectors): `size` vectors at most in a row, packed, each of length one and all of one number of components.
+
+    Null vectors and those without a direction, or with a component null or not finite, are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ids, held = TaskContext.get().partitionId() << 33, [], []
+        number, n = TaskContext.get().partitionId() << 33, 0
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.array([np.nan if c is None else c for c in v or [0.0]], np.float64)
                 norm = np.sqrt((x * x).sum())
                 if i is not None and np.isfinite(norm) and norm > 0:
-                    ids.append(i)
-                    held.append(x / norm)
-                if len(ids) == size:
-                    yield _packed(number, ids, held)
-                    number, ids, held = number + 1, [], []
-        if ids:
-            yield _packed(number, ids, held)
+                    held.setdefault(len(x), []).append((i, x / norm))
+                    n += 1
+                if n == size:
+                    for number, part in enumerate(held.values(), number):
+                        yield _packed(number, *zip(*part, strict=True))
+                    number, n, held = number + 1, 0, {}
+        for number, part in enumerate(held.values(), number):
+            yield _packed(number, *zip(*part, strict=True))
 
     return rows.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "block long, ids binary, vectors binary")
 
 
-def _packed(number: int, ids: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+def _packed(number: int, ids: tuple[int, ...], held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"block": number, "ids": np.array(ids, "<i8").tobytes(), "vectors": np.array(held, "<f8").tobytes()}])
 
 
@@ -166,11 +171,13 @@ def dense(questions: DataFrame, vectors: DataFrame, query: str, key: str, vector
     """(query, key, score, rank): the k nearest vectors of each question by cosine, exact; with others_only none of the question's own key.
 
     A stated set of questions against all vectors: both come in packed blocks, each two blocks meet
-    in one matrix product, and of a block only the k best of each question go on.
+    in one matrix product, and of a block only the k best of each question go on. A question meets
+    the vectors that have as many components as its own, no others.
     """
     asked = vector_blocks(questions, query, vector, 1024).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("block").alias("q_block"))
     numbers = asked.agg(F.collect_list("q_block").alias("numbers"))  # one number for 1,024 questions
     met = vector_blocks(vectors, key, vector, 4096).withColumn("numbers", numbers.scalar()).select("ids", "vectors", F.explode("numbers").alias("q_block")).join(asked, "q_block")
+    met = met.where(F.octet_length("vectors") * F.octet_length("q_ids") == F.octet_length("q_vectors") * F.octet_length("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

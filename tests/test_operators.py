@@ -104,3 +104,23 @@ def test_context_whole_texts(spark):
     assert any(len(t) > 2000 for many in want.values() for t in many)
     got = {r.item_id: r.block for r in catalogue.queries()["q_context_whole"](spark, sf).collect()}
     assert got == {k: hashlib.sha256("\n\n".join(v).encode()).hexdigest() for k, v in want.items()}
+
+
+def test_dense_with_vectors_of_several_lengths(spark):
+    vectors = {1: [1.0, 0.0], 2: [1.0, 1.0], 3: [1.0, 0.0, 0.0], 4: [0.0, 1.0, 1.0], 5: None, 6: [], 7: [0.0, 0.0], 8: [1.0, None], 9: [float("inf"), 1.0], 10: [2.0], 11: [0.0, 3.0]}
+    rows = spark.createDataFrame(list(vectors.items()), "id long, v array<double>").coalesce(1)
+    got = {(r.q, r.id): r.score for r in retrieval.dense(rows.withColumnRenamed("id", "q"), rows, "q", "id", "v").collect()}
+    half = round(0.5**0.5, 6)
+    pairs = {(1, 2): half, (1, 11): 0.0, (2, 11): half, (3, 4): 0.0}
+    assert got == pairs | {(b, a): s for (a, b), s in pairs.items()}
+
+
+def test_no_base_section(spark):
+    from groundwork.operators.responses import checklist_sections
+
+    asked = spark.createDataFrame([(1, "en", None, None), (2, "en", "E-9", "salary")], "request_id int, lang string, visa string, purpose string")
+    form = "kind string, key string, status string, doc_codes array<string>, notes_ko string, notes_i18n map<string,string>, caveat_ko string, caveat_i18n map<string,string>, evidence string"
+    base = [("base", None, "official", ["a"], None, None, None, None, "e"), ("foreign_registration", "E-9", "official", ["b"], None, None, None, None, "f")]
+    kinds = lambda rows: sorted((r.request_id, r.place, r.status) for r in checklist_sections(asked, spark.createDataFrame(rows, form), {"ko": "?"}).collect())
+    assert kinds(base) == [(1, 0, "official"), (2, 0, "official"), (2, 1, "unknown"), (2, 2, "official")]
+    assert kinds(base[1:]) == [(2, 1, "unknown"), (2, 2, "official")]

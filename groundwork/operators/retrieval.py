@@ -177,7 +177,8 @@ def dense(questions: DataFrame, vectors: DataFrame, query: str, key: str, vector
     asked = vector_blocks(questions, query, vector, 1024).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("block").alias("q_block"))
     numbers = asked.agg(F.collect_list("q_block").alias("numbers"))  # one number for 1,024 questions
     met = vector_blocks(vectors, key, vector, 4096).withColumn("numbers", numbers.scalar()).select("ids", "vectors", F.explode("numbers").alias("q_block")).join(asked, "q_block")
-    met = met.where(F.octet_length("vectors") * F.octet_length("q_ids") == F.octet_length("q_vectors") * F.octet_length("ids"))
+    bytes_of = lambda c: F.octet_length(c).cast("long")
+    met = met.where(bytes_of("vectors") * bytes_of("q_ids") == bytes_of("q_vectors") * bytes_of("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.functions.text import lower
 from groundwork.operators.ordered import ranks_of, running_sums
 
 
@@ -108,8 +109,8 @@ def reason_histogram(outcomes: DataFrame) -> DataFrame:
 
 
 def fact_coverage(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """coverage, of: the mean, over answered questions with facts, of the share of them that the answer holds in any letter case."""
-    held = F.size(F.filter("gold_facts", lambda f: F.contains(F.lower("answer"), F.lower(f)))) / F.size("gold_facts")
+    """coverage, of: the mean, over answered questions with facts, of the share of them that the answer holds in any letter case, compared letter for letter."""
+    held = F.size(F.filter("gold_facts", lambda f: F.contains(lower(F.col("answer")), lower(f)))) / F.size("gold_facts")
     rows = outcomes.where(answered(outcomes) & (F.size("gold_facts") > 0))
     return rows.groupBy(*by).agg(F.round(100 * F.avg(held), 1).alias("coverage"), F.count("*").alias("of"))
 

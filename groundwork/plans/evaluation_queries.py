@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwork.functions.text import upper
 from groundwork.operators import evaluation as E
 from groundwork.plans.answer_queries import OUTCOMES, METRICS_SQL, outcomes
 from groundwork.plans.service_queries import picked
@@ -17,7 +18,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("answer"))
     rows = outcomes(spark, sf).join(texts, "doc_id")
     return rows.select(
-        "*", d.alias("qid"), F.array(F.upper(F.substring("answer", 3, 5)), F.lit("no such fact"), F.substring("answer", 10, 3)).alias("gold_facts"), F.array(F.substring("answer", 1, 4), F.lit(""), F.lit("ZZZZ"), F.upper(F.substring("answer", 2, 6))).alias("forbidden_facts"),
+        "*", d.alias("qid"), F.array(upper(F.substring("answer", 3, 5)), F.lit("no such fact"), F.substring("answer", 10, 3)).alias("gold_facts"), F.array(F.substring("answer", 1, 4), F.lit(""), F.lit("ZZZZ"), upper(F.substring("answer", 2, 6))).alias("forbidden_facts"),
         (d % 5 != 0).alias("generated"), (d % 7 * 100).alias("input_tokens"), (d % 11).alias("output_tokens"), (d % 3).alias("cache_read_tokens"), (d % 4).alias("cache_write_tokens"), (d % 13 == 0).alias("llm_fallback_used"),
         picked(["small", "large", ""], d).alias("model"), picked(["tier_c_trap", "no_evidence", "limits"], d).alias("category"), F.when(d % 10 != 0, d % 2 == 0).alias("evades"),
     )

@@ -18,6 +18,8 @@ THRESHOLDS, DEFAULT_THRESHOLD = {"ko": 0.8246, "en": 0.8445, "vi": 0.8321}, 0.85
 STALE_DAYS = 90
 #: Parts into which the holders of a word fall by weight.
 BLOCKS = 64
+#: Rows of a question's word and a document that a task sums up.
+PAIRS = 1 << 20
 
 
 def postings(docs: DataFrame, key: str) -> DataFrame:
@@ -55,14 +57,26 @@ def asked_words(questions: DataFrame, query: str) -> DataFrame:
 
 
 def bm25_of(asked: DataFrame, hit: DataFrame, totals: DataFrame, query: str, key: str, k: int, prune: bool = False) -> DataFrame:
-    """The k best of each question over (term, key, dl, tf) rows of all asked words, and one row x of n and avgdl."""
+    """The k best of each question over (term, key, dl, tf) rows of all asked words, and one row x of n and avgdl.
+
+    hit is read more than once, so it is best a stored table.
+    """
+    held = hit
     hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("x", totals.scalar())
     idf = F.log(1 + (F.col("x.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("x.avgdl")))).alias("w"))
     if prune:
         return best_sums(asked, weight, query, key, k)
-    # A document's words come together first: its sums are then whole, or nearly, before they are shuffled.
-    return ranked_sums(asked.join(weight.repartition(key), "term"), query, key, k)
+    # A document's words come together first: its sums are then whole, and the best of its task known, before they are
+    # shuffled. There are as many tasks as the pairs ask for, since each holds sums of all its documents and questions.
+    return ranked_sums(asked.join(weight.repartition(pair_tasks(asked, held), key), "term"), query, key, k)
+
+
+def pair_tasks(asked: DataFrame, hit: DataFrame) -> int:
+    """Among how many tasks the pairs of a question and a document that share a word are dealt: PAIRS rows for each, or fewer."""
+    each = asked.groupBy("term").agg(F.count("*").alias("questions"))
+    rows = hit.groupBy("term").agg(F.count("*").alias("documents")).join(each, "term").agg(F.sum(F.col("questions") * F.col("documents")).alias("n")).first().n
+    return max(asked.sparkSession.sparkContext.defaultParallelism, -(-(rows or 0) // PAIRS))
 
 
 def ranked_sums(pairs: DataFrame, query: str, key: str, k: int) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
 from groundwork.operators import retrieval as R
+from groundwork.sources.shared import settled
 
 MANIFEST = "version long, model string, segments array<string>, n_changed long, n_removed long"
 #: Folders over which a segment's terms are dealt; a search opens those of its words.
@@ -161,9 +162,9 @@ class IndexStore:
 
     def search(self, questions: DataFrame, query: str, k: int = R.TOP_K) -> DataFrame:
         """``retrieval.bm25`` (query, text) over the index; texts are not looked at."""
-        asked = R.asked_words(questions, query)
+        asked = settled(R.asked_words(questions, query), "asked")
         totals = self.documents().agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("x"))
-        return R.bm25_of(asked, self.postings(asked), totals, query, self.key, k)
+        return R.bm25_of(asked, settled(self.postings(asked), "postings"), totals, query, self.key, k)
 
     def nearest(self, questions: DataFrame, query: str, k: int = R.TOP_K) -> DataFrame:
         """``retrieval.dense`` (query, embedding) over the index's vectors."""

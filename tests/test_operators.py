@@ -124,3 +124,15 @@ def test_no_base_section(spark):
     kinds = lambda rows: sorted((r.request_id, r.place, r.status) for r in checklist_sections(asked, spark.createDataFrame(rows, form), {"ko": "?"}).collect())
     assert kinds(base) == [(1, 0, "official"), (2, 0, "official"), (2, 1, "unknown"), (2, 2, "official")]
     assert kinds(base[1:]) == [(2, 1, "unknown"), (2, 2, "official")]
+
+
+def test_pairs_over_tasks(spark, monkeypatch):
+    """More pairs of questions and documents are dealt over more tasks; scores and ranks stay."""
+    asked = spark.createDataFrame([(q, f"w{q % 7} w{q % 5} all all") for q in range(30)], "qid long, text string")
+    docs = spark.createDataFrame([(d, f"all w{d % 7} w{d % 3} v{d}") for d in range(90)], "doc_id long, text string")
+    whole = sorted(retrieval.bm25(asked, docs, "qid", "doc_id", 5).collect())
+    words, hit = retrieval.asked_words(asked, "qid"), retrieval.postings(docs, "doc_id")
+    rows = words.join(hit, "term").count()
+    monkeypatch.setattr(retrieval, "PAIRS", 100)
+    assert retrieval.pair_tasks(words, hit) == -(-rows // 100) > spark.sparkContext.defaultParallelism
+    assert sorted(retrieval.bm25(asked, docs, "qid", "doc_id", 5).collect()) == whole and len(whole) == 150

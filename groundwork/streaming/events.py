@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -91,13 +91,18 @@ def extracted_field(chunks: DataFrame, key: str, seq: str, chunk: str, field: st
     A key's pieces are one answer, so they fit one group; a piece that is null adds nothing.
     """
 
-    def run(group: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(list(group)).sort_values(seq)
-        reader = FieldReader(field)
-        return pd.DataFrame({key: rows[key], seq: rows[seq], "added": [reader.feed(x) if isinstance(x, str) else "" for x in rows[chunk]]})
+    @F.pandas_udf("array<string>")
+    def added(pieces: pd.Series) -> pd.Series:
+        def read(answer: Iterable[str | None]) -> list[str]:
+            reader = FieldReader(field)
+            return [reader.feed(x) if isinstance(x, str) else "" for x in answer]
 
-    kinds = dict(chunks.dtypes)
-    return chunks.select(key, seq, chunk).groupBy(key).applyInPandas(lambda pdf: run(iter([pdf])), f"{key} {kinds[key]}, {seq} {kinds[seq]}, added string")
+        return pieces.map(read)
+
+    # Many answers go to Python in one batch, not one by one.
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(seq).isNull().alias("last"), F.col(seq).alias("seq"), F.col(chunk).alias("chunk"))))
+    answers = chunks.groupBy(key).agg(in_order.alias("pieces")).select(key, "pieces", added(F.transform(F.col("pieces"), lambda x: x["chunk"])).alias("added"))
+    return answers.select(key, F.explode(F.arrays_zip("pieces", "added")).alias("x")).select(key, F.col("x.pieces.seq").alias(seq), "x.added")
 
 
 def event_order(events: DataFrame, key: str, seq: str) -> DataFrame:

@@ -40,22 +40,34 @@ class _Field(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.reader = handle.getValueState("reader", "buffer string, inside boolean, done boolean, next long")
+        self.reader = handle.getValueState("reader", "buffer string, inside boolean, done boolean, next long, waiting long")
         self.waiting = handle.getMapState("waiting", "seq long", "chunk string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Every call of the store is a message to the JVM: pieces whose turn comes in this call do not go through it."""
         _, seq, chunk = self.names
-        reader, turn = self._open()
-        out = []
+        reader, turn, stored = self._open()
+        out, came = [], {}
         for frame in rows:
             for n, piece in zip(frame[seq].tolist(), frame[chunk].tolist(), strict=True):
                 if n >= turn:  # one that has had its turn is a repeat of it
-                    self.waiting.updateValue((int(n),), (piece if isinstance(piece, str) else "",))
-        while self.waiting.containsKey((turn,)):
-            out.append((turn, reader.feed(self.waiting.getValue((turn,))[0])))
-            self.waiting.removeKey((turn,))
+                    came[int(n)] = piece if isinstance(piece, str) else ""
+        while True:
+            if stored and self.waiting.containsKey((turn,)):
+                piece = came.pop(turn, None)  # of a repeated piece the one that came last
+                piece = self.waiting.getValue((turn,))[0] if piece is None else piece
+                self.waiting.removeKey((turn,))
+                stored -= 1
+            elif turn in came:
+                piece = came.pop(turn)
+            else:
+                break
+            out.append((turn, reader.feed(piece)))
             turn += 1
-        self._close(reader, turn)
+        for n, piece in came.items():
+            stored += not (stored and self.waiting.containsKey((n,)))
+            self.waiting.updateValue((n,), (piece,))
+        self._close(reader, turn, stored)
         if self.patience:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
@@ -64,7 +76,7 @@ class _Field(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Nothing has come for too long: what waits is read without the pieces that are missing, and the key is forgotten."""
-        reader, _ = self._open()
+        reader, *_ = self._open()
         waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
         out = [(n, reader.feed(piece)) for n, piece in waiting]
         self.waiting.clear()
@@ -74,14 +86,15 @@ class _Field(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _open(self) -> tuple[FieldReader, int]:
-        reader, turn = FieldReader(self.field), 0
-        if self.reader.exists():
-            reader.buffer, reader.inside, reader.done, turn = self.reader.get()
-        return reader, turn
+    def _open(self) -> tuple[FieldReader, int, int]:
+        """The key's reader, the piece whose turn it is, and how many wait."""
+        reader, turn, stored = FieldReader(self.field), 0, 0
+        if (held := self.reader.get()) is not None:
+            reader.buffer, reader.inside, reader.done, turn, stored = held
+        return reader, turn, stored
 
-    def _close(self, reader: FieldReader, turn: int) -> None:
-        self.reader.update((reader.buffer if not reader.done else "", reader.inside, reader.done, turn))
+    def _close(self, reader: FieldReader, turn: int, stored: int) -> None:
+        self.reader.update((reader.buffer if not reader.done else "", reader.inside, reader.done, turn, stored))
 
     def _frame(self, key: tuple, out: list[tuple[int, str]]) -> pd.DataFrame:
         return pd.DataFrame({self.names[0]: pd.Series([key[0]] * len(out), dtype=object), self.names[1]: [n for n, _ in out], "added": pd.Series([t for _, t in out], dtype=object)})
@@ -112,19 +125,25 @@ class _Shown(StatefulProcessor):
         self.tokens = handle.getMapState("tokens", "seq long", "payload string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        cut, version, shown = self.head.get() if self.head.exists() else (-(1 << 62), 0, False)
-        before = cut
+        held = self.head.get()
+        cut, version, shown = held if held is not None else (-(1 << 62), 0, False)
+        before, came = cut, {}
         for frame in rows:
             for n, kind, payload in zip(frame[self.names[1]].tolist(), frame["kind"].tolist(), frame["payload"].tolist(), strict=True):
                 if kind == "invalidate":
                     cut = max(cut, n)
                 elif kind == "token" and n > cut:
-                    self.tokens.updateValue((int(n),), (payload if isinstance(payload, str) else "",))
-        if cut > before:
-            for (n,) in [k for k in self.tokens.keys() if k[0] <= cut]:
-                self.tokens.removeKey((n,))
-        text = "".join(v[0] for _, v in sorted(((k[0], v) for k, v in self.tokens.iterator()), key=lambda p: p[0]))
-        any_token = any(True for _ in self.tokens.keys())
+                    came[int(n)] = payload if isinstance(payload, str) else ""
+        # Every call of the store is a message to the JVM: tokens that this call retracts do not go through it.
+        came = {n: payload for n, payload in came.items() if n > cut}
+        tokens = {k[0]: v[0] for k, v in self.tokens.iterator()} if shown else {}
+        for n in [n for n in tokens if n <= cut]:
+            self.tokens.removeKey((n,))
+            del tokens[n]
+        for n, payload in came.items():
+            self.tokens.updateValue((n,), (payload,))
+        tokens |= came
+        text, any_token = "".join(v for _, v in sorted(tokens.items())), bool(tokens)
         self.head.update((cut, version + 1, any_token))
         # A text that was shown and is no more is retracted by an empty one.
         if any_token or shown:

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,69 @@ def test_event_files(spark, tmp_path):
     want = sorted(map(tuple, event_files(spark, f"{path}/in").collect()))
     assert sorted(map(tuple, spark.read.parquet(f"{path}/out").collect())) == want
     assert [(r[0], r[2]) for r in want] == [("answer0.txt", "meta"), ("answer0.txt", "token"), ("answer1.txt", "token"), ("answer1.txt", "done")]
+
+
+class _Store:
+    """A map or value state that counts what goes through it."""
+
+    def __init__(self):
+        self.held, self.value, self.calls = {}, None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.calls += 1
+        self.held[k] = v
+
+    def containsKey(self, k):  # noqa: N802
+        self.calls += 1
+        return k in self.held
+
+    def getValue(self, k):  # noqa: N802
+        self.calls += 1
+        return self.held[k]
+
+    def removeKey(self, k):  # noqa: N802
+        self.calls += 1
+        del self.held[k]
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.held.items()))
+
+    def keys(self):
+        self.calls += 1
+        return iter(list(self.held))
+
+
+def test_calls_of_the_store():
+    """Pieces and tokens that are done with in one call do not go through the store; what waits does, each piece once."""
+    field = S._Field("id", "seq", "piece", "answer", 0)
+    field.reader, field.waiting = _Store(), _Store()
+    text = '{"answer": "' + "ab" * 200 + '"}'
+    pieces = [(k, text[k * 7 : k * 7 + 7]) for k in range(-(-len(text) // 7))]
+
+    def feed(some):
+        frame = pd.DataFrame(some, columns=["seq", "piece"])
+        return "".join("".join(f["added"]) for f in field.handleInputRows(("k",), iter([frame]), None))
+
+    assert feed(pieces) == "ab" * 200
+    assert field.reader.calls <= 3 and field.waiting.calls == 0
+    field.reader, field.waiting = _Store(), _Store()
+    assert feed(pieces[30:40][::-1]) == "" and feed(pieces[35:50]) == "" and len(field.waiting.held) == 20
+    assert feed(pieces[:30]) + feed(pieces[48:]) == "ab" * 200 and not field.waiting.held
+    shown = S._Shown("user", "seq")
+    shown.head, shown.tokens = _Store(), _Store()
+    frame = pd.DataFrame([(k, "invalidate" if k == 90 else "token", str(k)) for k in range(100)], columns=["seq", "kind", "payload"])
+    (got,) = shown.handleInputRows(("u",), iter([frame]), None)
+    assert got["text"].tolist() == ["".join(map(str, range(91, 100)))] and shown.tokens.calls == 9

@@ -136,3 +136,13 @@ def test_pairs_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "PAIRS", 100)
     assert retrieval.pair_tasks(words, hit) == -(-rows // 100) > spark.sparkContext.defaultParallelism
     assert sorted(retrieval.bm25(asked, docs, "qid", "doc_id", 5).collect()) == whole and len(whole) == 150
+
+
+def test_chunks_in_slices(spark, monkeypatch):
+    """A task cuts a few texts at a time; rows, numbers and keys are those of each text alone."""
+    texts = ["\n".join(f"# h{k}\n" + f"line {k} of text {d}. " * (k % 40) for k in range(10, 10 + d % 9)) if d % 11 else None for d in range(50)]
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(etl, "SLICE", 7)
+    got = [(r.doc_id, r.seq, r.chunk_id, r.heading_path, r.body, r.char_count) for r in etl.chunks(docs, "doc_id").collect()]
+    want = [(d, k, f"{d}#{k:04d}", p, b, len(b)) for d, t in enumerate(texts) for k, (p, b) in enumerate(etl.chunks_of(t or ""))]
+    assert got == want and len(want) > len(texts) // 2

@@ -44,6 +44,17 @@ class ByteMap(dict):
 BYTES = ByteMap()
 
 
+class PackedId(dict):
+    """An id to its little-endian bytes; one entry for each id of the vocabulary at most."""
+
+    def __init__(self, kind: str) -> None:
+        self.width = np.dtype(kind).itemsize
+
+    def __missing__(self, number: int) -> bytes:
+        self[number] = packed = number.to_bytes(self.width, "little")
+        return packed
+
+
 class PieceIds(dict):
     """Pre-token of a plain chunk -> its packed ids: the library's model alone, without its normalizer and splitter.
 
@@ -52,11 +63,14 @@ class PieceIds(dict):
 
     def __init__(self, model, kind: str = "<u4") -> None:
         self.model, self.kind = model, kind
+        self.packed = PackedId(kind)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= 3 * CACHE_ENTRIES:
             self.clear()
-        self[piece] = ids = np.array([t.id for t in self.model.tokenize(piece.translate(BYTES))], self.kind).tobytes()
+        # ASCII letters and digits stand for themselves; a space before them does not.
+        found = self.model.tokenize(piece if piece.isascii() and piece.isalnum() else piece.translate(BYTES))
+        self[piece] = ids = self.packed[found[0].id] if len(found) == 1 else b"".join([self.packed[t.id] for t in found])
         return ids
 
 
@@ -75,8 +89,9 @@ class ChunkIds(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        text = chunk.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
+        if chunk.isalpha():  # ASCII letters alone: one pre-token
+            packed = self.pieces[chunk.lower().decode()]
+        elif PLAIN.fullmatch(text := chunk.decode()) and "<|" not in text:
             packed = b"".join(map(self.pieces.__getitem__, ONE_DIGIT.findall(text.lower())))
         else:
             packed = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()

@@ -28,6 +28,19 @@ def postings(docs: DataFrame, key: str) -> DataFrame:
     return words.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
+def term_counts(docs: DataFrame, key: str) -> DataFrame:
+    """(term, df, cf): how many keys have a word, and how often it stands in all texts.
+
+    Texts are brought together by key, so that each key's words are counted where they are; what is shuffled
+    after that is added up by word first.
+    """
+    texts = docs.groupBy(key).agg(F.collect_list("text").alias("texts"))
+    words = texts.select(key, F.sort_array(F.flatten(F.transform("texts", T.tokens))).alias("w"))
+    first = lambda x, i: F.col(key).isNotNull() & ((i == 0) | (F.get("w", i - 1) != x))
+    each = words.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), first(x, i).alias("first")))).alias("x"))
+    return each.groupBy("x.term").agg(F.count_if("x.first").alias("df"), F.count("*").alias("cf"))
+
+
 def index_stats(posts: DataFrame, docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """((term, df), one row of n and avgdl)."""
     lengths = docs.select(F.size(T.tokens(F.col("text"))).alias("dl"))

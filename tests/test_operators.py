@@ -146,3 +146,10 @@ def test_chunks_in_slices(spark, monkeypatch):
     got = [(r.doc_id, r.seq, r.chunk_id, r.heading_path, r.body, r.char_count) for r in etl.chunks(docs, "doc_id").collect()]
     want = [(d, k, f"{d}#{k:04d}", p, b, len(b)) for d, t in enumerate(texts) for k, (p, b) in enumerate(etl.chunks_of(t or ""))]
     assert got == want and len(want) > len(texts) // 2
+
+
+def test_term_counts_by_key(spark):
+    """A key in two rows counts once for a word, as in the SQL's count(DISTINCT doc_id); a null key only adds occurrences."""
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c c d"), (2, "A"), (None, "a e"), (3, None), (4, "")], "doc_id long, text string")
+    got = {tuple(r) for r in retrieval.term_counts(docs, "doc_id").collect()}
+    assert got == {("a", 2, 5), ("b", 1, 1), ("c", 1, 2), ("d", 1, 1), ("e", 0, 1)}

@@ -1,17 +1,22 @@
 """LM scoring (operator 9): a hashed maximum-entropy model with class-factored softmax.
 
 Tokens are a text's words (A-Z lower-cased) and one end. A token's probability is that of its
-class, given the words before it, times that of the token within its class:
+class, given the words before it, times those of its steps within the class, given the same:
 
     P(w | context) = softmax over classes(prior + weights of the context's features)[class of w]
-                     * ((c(w) + 1/2) / Z) / mass(class of w)
+                     * softmax over second last bytes within the class(the same of its own)[of w]
+                     * softmax over third last bytes within both(the same of its own)[of w]
+                     * ((c(w) + 1/2) / Z) / mass(words that end so)
 
 Features are hashed: the word before, the word two before (skip), and both together. The
 most frequent words are classes of their own, all other words fall into classes by their last
-byte, so that every word, seen or not, has a class. Within a class the maximum-entropy fit of
-the single-word features is the smoothed relative frequency itself. Prior and masses are those of
-the base model, so all weights at zero give the base score; Z = N + (V + 1) / 2 leaves half a
-count to one unknown word, which is shared out between the last-byte classes.
+byte, so that every word, seen or not, has a class. The steps within a class have as features, each
+together with where the step begins, the word before and the last one of the most frequent words
+before that, which tells the language and kind of a text. Among words that end in the same three bytes
+the maximum-entropy fit of the single-word features is the smoothed relative frequency itself. Priors and
+masses are those of the base model, so all weights at zero give the base score; Z = N + (V + 1) / 2 leaves
+half a count to one unknown word, which is shared out between the last-byte classes; a class's
+share of it does not depend on the steps.
 
 Counts come from all training documents: each batch adds up its words, Spark the batches. The
 weights are trained by gradient updates in every task on its own documents; the tasks' results
@@ -30,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import arrow_table, crc32_remainder, in_arrow, mix, settle, slices, utf8, word_hashes
@@ -38,14 +43,16 @@ from groundwork.llm.common import arrow_table, crc32_remainder, in_arrow, mix, s
 #: Words whose counts are broadcast, words that are classes of their own, classes by last byte.
 FREQUENT, OWN, BUCKETS = 65_536, 16, 32
 CLASSES = OWN + BUCKETS
-#: Rows of the weight table, rounds of training, tokens of an update, step of updates.
-HASHED, ROUNDS, UPDATE, RATE = 1 << 14, 2, 16_384, 0.3
+#: Endings of three bytes, each taken modulo BUCKETS.
+ENDINGS = BUCKETS**3
+#: Rows of the weight table, of those of the two steps within classes, rounds of training, tokens of an update, step of updates.
+HASHED, INNER, ROUNDS, UPDATE, RATE = 1 << 14, (1 << 14, 1 << 15), 2, 16_384, 0.3
 #: Parts in which a task's weights travel, groups of tasks that are summed first, and distinct words a batch of counting holds.
 PARTS, GROUPS, HELD = 64, 16, 300_000
 #: Stands for a text's end; no word can be it.
 END = b"\n"
 
-COUNTS = pa.schema([("word", pa.int64()), ("bucket", pa.int32()), ("name", pa.binary()), ("c", pa.int64())])
+COUNTS = pa.schema([("word", pa.int64()), ("ending", pa.int32()), ("name", pa.binary()), ("c", pa.int64())])
 WEIGHTS = pa.schema([("part", pa.int32()), ("group", pa.int32()), ("tokens", pa.int64()), ("values", pa.binary())])
 ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()), ("gain_unknown", pa.float64())])
 
@@ -54,19 +61,24 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def ending(word: bytes) -> int:
+    """The last three bytes modulo BUCKETS, the last one lowest; 0 for those that a short word has not."""
+    return word[-1] % BUCKETS + BUCKETS * (word[-2] % BUCKETS if len(word) > 1 else 0) + BUCKETS**2 * (word[-3] % BUCKETS if len(word) > 2 else 0)
+
+
 def training(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(crc32_remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word: 64-bit hash, bucket, name, c) of every word of the texts; batches are added up before the shuffle."""
+    """(word: 64-bit hash, ending, name, c) of every word of the texts; batches are added up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             names = list(seen)
-            return arrow_table({"word": word_hashes(names).view(np.int64), "bucket": [w[-1] % BUCKETS for w in names], "name": names, "c": list(seen.values())}, COUNTS)
+            return arrow_table({"word": word_hashes(names).view(np.int64), "ending": [ending(w) for w in names], "name": names, "c": list(seen.values())}, COUNTS)
 
         for batch in slices(batches, "text", 2000, 4 << 20):
             for text in utf8(batch, "text"):
@@ -77,20 +89,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return in_arrow(docs.select("text"), run, "word long, bucket int, name binary, c long")
+    return in_arrow(docs.select("text"), run, "word long, ending int, name binary, c long")
 
 
 class Lookup(dict):
-    """Word -> number of a frequent word, or FREQUENT + bucket for any other."""
+    """Word -> number of a frequent word, or FREQUENT + ending for any other."""
 
     def __missing__(self, word: bytes) -> int:
-        return FREQUENT + word[-1] % BUCKETS
+        return FREQUENT + ending(word)
 
 
 @dataclass
 class Model:
     """What is known of the training tokens, and the weights. mass: of each class under the base model;
-    unknown: each class's share of the unknown word within the class."""
+    unknown: each class's share of the unknown word within the class; shares: logarithms of the parts of each
+    step within classes, a row for each place where it begins; inner: the weights of these steps."""
 
     names: list[bytes]
     counts: np.ndarray
@@ -99,13 +112,16 @@ class Model:
     mass: np.ndarray
     unknown: np.ndarray
     weights: np.ndarray
+    shares: list[np.ndarray]
+    inner: list[np.ndarray]
 
     def __post_init__(self) -> None:
         self.z = self.n + 0.5 * (self.v + 1)
-        buckets = [w[-1] % BUCKETS for w in self.names]
-        self.classes = np.full(FREQUENT + BUCKETS, OWN, np.int32)
-        self.classes[: len(buckets)] = [k if k < OWN else OWN + b for k, b in enumerate(buckets)]
-        self.classes[FREQUENT:] = OWN + np.arange(BUCKETS)
+        self.endings = np.zeros(FREQUENT + ENDINGS, np.int32)
+        self.endings[: len(self.names)] = [ending(w) for w in self.names]
+        self.endings[FREQUENT:] = np.arange(ENDINGS)
+        self.classes = OWN + self.endings % BUCKETS
+        self.classes[: min(OWN, len(self.names))] = np.arange(min(OWN, len(self.names)))
         with np.errstate(divide="ignore"):
             self.prior = np.log(self.mass).astype(np.float32)
         self._lookup: Lookup | None = None
@@ -113,6 +129,12 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_lookup": None}
 
+    def tables(self) -> list[np.ndarray]:
+        return [self.weights, *self.inner]
+
+    def with_tables(self, tables: list[np.ndarray]) -> Model:
+        return Model(self.names, self.counts, self.n, self.v, self.mass, self.unknown, tables[0], self.shares, tables[1:])
+
     def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens' numbers in a row, and where each text begins."""
         if self._lookup is None:
@@ -125,7 +147,7 @@ class Model:
         """Rows of the weight table for each token: word before, word two before, both."""
         one, two = np.empty_like(numbers), np.empty_like(numbers)
         one[1:], two[2:] = numbers[:-1], numbers[:-2]
-        edge = FREQUENT + BUCKETS
+        edge = FREQUENT + ENDINGS
         begin = starts[:-1]
         one[begin] = two[begin] = edge
         second = begin[np.diff(starts) > 1] + 1
@@ -134,29 +156,67 @@ class Model:
         big = np.uint64(HASHED)
         return [(mix(k) % big).astype(np.uint16) for k in (u[0] * np.uint64(4) + np.uint64(1), u[1] * np.uint64(4) + np.uint64(2), (u[0] << np.uint64(24) | u[1]) * np.uint64(4) + np.uint64(3))]
 
+    @staticmethod
+    def before(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the word before, and the last of the OWN most frequent words before it (OWN: none yet)."""
+        one = np.empty_like(numbers)
+        one[1:] = numbers[:-1]
+        one[starts[:-1]] = FREQUENT + ENDINGS
+        at = np.where(one < OWN, np.arange(len(one)), 0)
+        at[starts[:-1]] = starts[:-1]
+        return one.astype(np.uint64), np.minimum(one[np.maximum.accumulate(at)], OWN).astype(np.uint64)
+
+    def steps(self, numbers: np.ndarray, before: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]]:
+        """Which tokens have steps within their class, and of each step their rows of its weight table, where it begins and which way it goes."""
+        inside = np.flatnonzero(self.classes[numbers] >= OWN)
+        e = self.endings[numbers[inside]]
+        found = []
+        for rows, width in zip(INNER, (BUCKETS, BUCKETS**2), strict=True):
+            start = e % width
+            key = start.astype(np.uint64) * np.uint64(2)
+            hashed = [(mix((b[inside] * np.uint64(2 * BUCKETS**2)) + key + np.uint64(k)) % np.uint64(rows)).astype(np.uint16) for k, b in enumerate(before)]
+            found.append((hashed, start, e // width % BUCKETS))
+        return inside, found
+
     def probabilities(self, features: list[np.ndarray]) -> np.ndarray:
         """Class probabilities of each token's place."""
-        s = self.weights[features[0]]
-        for f in features[1:]:
-            s += self.weights[f]
-        s += self.prior
-        s -= s.max(axis=1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=1, keepdims=True)
-        return s
-
-    def update(self, features: list[np.ndarray], classes: np.ndarray, squares: np.ndarray) -> None:
-        """One gradient step on some tokens; squares: sums of squared steps of each row so far."""
-        d = self.probabilities(features)
-        d[np.arange(len(d)), classes] -= 1
-        for f in features:
-            order = np.argsort(f, kind="stable")
-            rows = f[order]
-            first = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
-            g = np.add.reduceat(d[order], first, axis=0)
-            rows = rows[first]
-            squares[rows] += np.einsum("rk,rk->r", g, g) / CLASSES
-            self.weights[rows] -= (RATE / np.sqrt(squares[rows] + 1))[:, None] * g
+        return softmax(self.weights, features, self.prior)
+
+    def step_probabilities(self, k: int, features: list[np.ndarray], start: np.ndarray) -> np.ndarray:
+        """Probabilities of the ways of step k."""
+        return softmax(self.inner[k], features, np.take(self.shares[k], start, axis=0))
+
+    def update(self, features: list[np.ndarray], numbers: np.ndarray, before: list[np.ndarray], squares: list[np.ndarray]) -> None:
+        """One gradient step on some tokens; squares: sums of squared steps of each table's rows so far."""
+        descend(self.weights, squares[0], features, self.probabilities(features), self.classes[numbers])
+        for k, (rows, start, way) in enumerate(self.steps(numbers, before)[1]):
+            descend(self.inner[k], squares[1 + k], rows, self.step_probabilities(k, rows, start), way)
+
+
+def softmax(weights: np.ndarray, features: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    s = np.take(weights, features[0], axis=0)
+    for f in features[1:]:
+        s += np.take(weights, f, axis=0)
+    s += prior
+    s -= s.max(axis=1, keepdims=True)
+    np.exp(s, out=s)
+    s /= (s @ np.ones(s.shape[1], np.float32))[:, None]
+    return s
+
+
+def descend(weights: np.ndarray, squares: np.ndarray, features: list[np.ndarray], d: np.ndarray, target: np.ndarray) -> None:
+    """Move the features' rows against the gradient of the targets' log probabilities; d: the probabilities, written over."""
+    d[np.arange(len(d)), target] -= 1
+    for f in features:
+        order = np.argsort(f, kind="stable")
+        rows = f[order]
+        first = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
+        if not len(first):
+            continue
+        g = np.add.reduceat(np.take(d, order, axis=0), first, axis=0)
+        rows = rows[first]
+        squares[rows] += np.einsum("rk,rk->r", g, g) / d.shape[1]
+        weights[rows] -= (RATE / np.sqrt(squares[rows] + 1))[:, None] * g
 
 
 def most_frequent(counts: DataFrame) -> list:
@@ -178,9 +238,12 @@ def most_frequent(counts: DataFrame) -> list:
 
 def counted(docs: DataFrame) -> tuple[DataFrame, Model]:
     """The counts of all words (word, c), in the shared folder, and the model without trained weights."""
-    counts = settle(word_counts(training(docs).where(~F.col("held_out"))).groupBy("word").agg(F.min("bucket").alias("bucket"), F.min("name").alias("name"), F.sum("c").alias("c")), "counts")
+    counts = settle(word_counts(training(docs).where(~F.col("held_out"))).groupBy("word").agg(F.min("ending").alias("ending"), F.min("name").alias("name"), F.sum("c").alias("c")), "counts")
+    counts = counts.withColumn("bucket", F.col("ending") % BUCKETS)
     frequent = most_frequent(counts)
-    buckets = {r.bucket: r for r in counts.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()}
+    # A row for each ending at most, however many words there are.
+    endings = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    buckets = {b: Row(c=sum(r.c for r in found), v=sum(r.v for r in found), once=sum(r.once for r in found)) for b in range(BUCKETS) if (found := [r for r in endings if r.ending % BUCKETS == b])}
     n, v, once = (sum(r[k] for r in buckets.values()) for k in ("c", "v", "once"))
     z = n + 0.5 * (v + 1)
     mass, unknown = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -193,12 +256,26 @@ def counted(docs: DataFrame) -> tuple[DataFrame, Model]:
     mass = np.maximum(mass + unknown, 1e-12)
     mass /= mass.sum()
     names = [bytes(r["name"]) for r in frequent]
-    return counts.select("word", "c"), Model(names, np.array([r.c for r in frequent], np.int64), n, v, mass, unknown / mass, np.zeros((HASHED, CLASSES), np.float32))
+    doubled = np.zeros(ENDINGS, np.int64)  # twice the count of words of the last-byte classes, and one more for each word
+    for r in endings:
+        doubled[r.ending] = 2 * r.c + r.v
+    for r in frequent[:OWN]:
+        doubled[ending(bytes(r["name"]))] -= 2 * r.c + 1
+    by = doubled.reshape(BUCKETS, BUCKETS, BUCKETS)  # third last, second last, last byte
+    shares = [log_shares(by.sum(axis=0).T), log_shares(by.reshape(BUCKETS, -1).T)]
+    inner = [np.zeros((rows, BUCKETS), np.float32) for rows in INNER]
+    return counts.select("word", "c"), Model(names, np.array([r.c for r in frequent], np.int64), n, v, mass, unknown / mass, np.zeros((HASHED, CLASSES), np.float32), shares, inner)
+
+
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of each row's parts; a row without any has equal ones, as no known word takes that way."""
+    with np.errstate(divide="ignore"):
+        return np.log(np.where(counts.sum(axis=1, keepdims=True) > 0, counts, 1) / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
 def trained(docs: DataFrame, model: Model) -> Model:
     """Rounds over disjoint parts of the training documents: each task updates its own copy of the
-    weights on its documents, copies are averaged by their tokens in PARTS streams."""
+    weights on its documents, the copies' changes are averaged by their tokens in PARTS streams."""
     context = docs.sparkSession.sparkContext
     rows = training(docs).where(~F.col("held_out"))
     for r in range(ROUNDS):
@@ -206,33 +283,36 @@ def trained(docs: DataFrame, model: Model) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m: Model = shared.value
-            own = Model(m.names, m.counts, m.n, m.v, m.mass, m.unknown, m.weights.copy())
-            squares, n = np.zeros(HASHED, np.float32), 0
+            own = m.with_tables([t.copy() for t in m.tables()])
+            squares, n = [np.zeros(len(t), np.float32) for t in m.tables()], 0
             for batch in slices(batches, "text", 2000, 1 << 20):
                 numbers, starts = own.numbered([tokens(t) for t in utf8(batch, "text")])
-                features, classes = own.features(numbers, starts), own.classes[numbers]
+                features, before = own.features(numbers, starts), own.before(numbers, starts)
                 for a in range(0, len(numbers), UPDATE):
-                    own.update([f[a : a + UPDATE] for f in features], classes[a : a + UPDATE], squares)
+                    own.update([f[a : a + UPDATE] for f in features], numbers[a : a + UPDATE], [b[a : a + UPDATE] for b in before], squares)
                 n += len(numbers)
             if n:
                 from pyspark import TaskContext
 
-                values = [x.tobytes() for x in np.split((own.weights * np.float32(n)), PARTS)]
+                # What changed, in half floats: their rounding is far below the noise of training.
+                changed = np.concatenate([(a - b).ravel() for a, b in zip(own.tables(), m.tables(), strict=True)])
+                values = [x.tobytes() for x in np.array_split(changed.astype(np.float16), PARTS)]
                 group = [TaskContext.get().partitionId() % GROUPS] * PARTS
                 yield arrow_table({"part": list(range(PARTS)), "group": group, "tokens": [n] * PARTS, "values": values}, WEIGHTS)
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Means of the changes, weighted by tokens."""
             sums: dict[tuple[int, int], list] = {}
             for batch in batches:
                 for part, group, n, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    x = np.frombuffer(values, np.float32)
+                    x = np.frombuffer(values, np.float16).astype(np.float32) * np.float32(n)
                     if (part, group) in sums:
                         sums[part, group][0] += n
                         sums[part, group][1] += x
                     else:
-                        sums[part, group] = [n, x.astype(np.float64)]
+                        sums[part, group] = [n, x]
             for (part, group), (n, x) in sums.items():
-                yield arrow_table({"part": [part], "group": [group], "tokens": [n], "values": [x.astype(np.float32).tobytes()]}, WEIGHTS)
+                yield arrow_table({"part": [part], "group": [group], "tokens": [n], "values": [(x / np.float32(n)).astype(np.float16).tobytes()]}, WEIGHTS)
 
         kind = "part int, group int, tokens long, values binary"
         mine = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r).select("text")
@@ -240,9 +320,9 @@ def trained(docs: DataFrame, model: Model) -> Model:
         some = in_arrow(in_arrow(mine, run, kind).repartition("part", "group"), added, kind)
         got = in_arrow(some.withColumn("group", F.lit(0)).repartition("part"), added, kind).collect()
         if got:
-            n = got[0].tokens
-            weights = np.concatenate([np.frombuffer(x["values"], np.float32) for x in sorted(got, key=lambda x: x.part)]).reshape(HASHED, CLASSES) / np.float32(n)
-            model = Model(model.names, model.counts, model.n, model.v, model.mass, model.unknown, weights)
+            changed = np.concatenate([np.frombuffer(x["values"], np.float16) for x in sorted(got, key=lambda x: x.part)])
+            ends = np.cumsum([t.size for t in model.tables()])[:-1]
+            model = model.with_tables([t + c.reshape(t.shape).astype(np.float32) for t, c in zip(model.tables(), np.split(changed, ends), strict=True)])
         shared.unpersist()
     return model
 
@@ -269,7 +349,7 @@ def scores(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 1000, 1 << 20):
             texts = [tokens(t) for t in utf8(batch, "text")]
             numbers, starts = m.numbered(texts)
-            classes, features = m.classes[numbers], m.features(numbers, starts)
+            classes, features, before = m.classes[numbers], m.features(numbers, starts), m.before(numbers, starts)
             gain, unknown = np.empty(len(numbers)), np.empty(len(numbers))
             for a in range(0, len(numbers), UPDATE):
                 p = m.probabilities([f[a : a + UPDATE] for f in features])
@@ -277,6 +357,11 @@ def scores(docs: DataFrame) -> DataFrame:
                 gain[a : a + UPDATE] = np.log10(np.maximum(p[np.arange(len(p)), c], 1e-30)) - log_mass[c]
                 # The unknown word stands in all last-byte classes; 0.5 / z is its base probability.
                 unknown[a : a + UPDATE] = np.log10(np.maximum(p @ m.unknown.astype(np.float32), 1e-30)) - np.log10(0.5 / m.z)
+                inside, found = m.steps(numbers[a : a + UPDATE], [b[a : a + UPDATE] for b in before])
+                for k, (rows_of, start, way) in enumerate(found):
+                    p = m.step_probabilities(k, rows_of, start)
+                    # No known word goes where the share is none, and unknown ones do not ask for it.
+                    gain[a + inside] += np.log10(np.maximum(p[np.arange(len(p)), way], 1e-30)) - np.maximum(m.shares[k][start, way], -69) / np.log(10)
             common = numbers < FREQUENT
             k = len(texts)
             of = np.repeat(np.arange(k), np.diff(starts))

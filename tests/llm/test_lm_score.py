@@ -90,3 +90,32 @@ def test_frequent_words_come_by_whole_counts(spark, monkeypatch):
     for most, want in ((8, 8), (7, 7), (6, 4), (3, 2), (1, 1)):
         monkeypatch.setattr(S, "FREQUENT", most)
         assert len(S.most_frequent(counts)) == want
+
+
+def test_context_chooses_within_a_class(spark):
+    """Two words as frequent and with the same last byte are told apart by the word before them."""
+    filler = [f"f{chr(97 + k)}" for k in range(S.OWN)]
+    rows = [(i, " ".join(filler * 8 + ["left", "ka"] * 6 + filler * 8 + ["right", "la"] * 6)) for i in range(200)]
+    ask = [(1000, "left ka"), (1001, "left la"), (1002, "right la"), (1003, "right ka")]
+    got = {r.doc_id: r for r in S.scores(spark.createDataFrame(rows + ask, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[1000].base_score == pytest.approx(got[1001].base_score, abs=0.01)
+    assert got[1000].score > got[1001].score + 0.3 and got[1002].score > got[1003].score + 0.3
+
+
+def test_whole_probabilities_sum_to_one(spark):
+    words = [f"{a}{b}{c}" for a in "uvw" for b in "xyz" for c in "pq\u00e9"]
+    _, model = S.counted(spark.createDataFrame([(i, " ".join(words[i % 5 :] + ["s", "to", f"n{i}"])) for i in range(40)], "doc_id long, text string"))
+    rng = np.random.default_rng(2)
+    model = model.with_tables([rng.normal(size=t.shape).astype(np.float32) for t in model.tables()])
+    for context in ([b"to", words[0].encode()], [b"never", b"seen"]):
+        numbers, starts = model.numbered([[*context, w] for w in model.names])
+        p = model.probabilities(model.features(numbers, starts)).astype(float)
+        each = p[np.arange(len(numbers)), model.classes[numbers]]
+        each *= (np.append(model.counts, np.zeros(S.FREQUENT))[np.minimum(numbers, len(model.names))] + 0.5) / model.z / model.mass[model.classes[numbers]]
+        inside, found = model.steps(numbers, model.before(numbers, starts))
+        assert len(inside) and len(found) == 2
+        for k, (rows, start, way) in enumerate(found):
+            q = model.step_probabilities(k, rows, start)
+            each[inside] *= q[np.arange(len(q)), way] / np.maximum(np.exp(model.shares[k][start, way]), 1e-30)
+        last = starts[1:] - 1
+        assert each[last].sum() + p[last[0]] @ model.unknown == pytest.approx(1, rel=1e-4)

@@ -55,13 +55,33 @@ def bm25(questions: DataFrame, docs: DataFrame, query: str, key: str, k: int = T
     a row without a word carries its length to N and the mean. Keys are unique. `prune` is for short
     questions with rare words, see `best_sums`; scores and ranks are the same.
     """
+    return bm25_of(*indexed(questions, docs, query, key), query, key, k, prune)
+
+
+def indexed(questions: DataFrame, docs: DataFrame, query: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `bm25_of` takes: the questions' words, the documents' rows of these words, and their number and mean length."""
     asked = settled(asked_words(questions, query), "asked")
     terms = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("term")))
     words = docs.select(key, T.tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("word"))
     hit = words.join(terms, F.col("word").eqNullSafe(F.col("term")), "left_semi").groupBy(F.col("word").alias("term"), key, "dl").agg(F.count("*").alias("tf"))
     hit = settled(hit, "postings")
     totals = hit.where("term is null").agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("x"))
-    return bm25_of(asked, hit.where("term is not null"), totals, query, key, k, prune)
+    return asked, hit.where("term is not null"), totals
+
+
+def bm25_and_overlap(questions: DataFrame, docs: DataFrame, query: str, key: str, k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+    """((query, key, score, rank) by BM25, the same by how many of a question's distinct words a document holds).
+
+    Texts are tokenized once and the pairs of a question and a document summed once for both; what is stored
+    of them is 2 k rows for each question.
+    """
+    asked, hit, totals = indexed(questions, docs, query, key)
+    scored = pairs_of(asked, hit, totals, key).groupBy(query, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("words"), F.count("*").cast("double").alias("overlap"))
+    each = scored.select(query, key, F.explode(F.create_map(F.lit("words"), "words", F.lit("overlap"), "overlap")).alias("signal", "score"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy(query, "signal").orderBy(F.desc("score"), key)))
+    ranked = settled(ranked.where(F.col("rank") <= k), "ranked")
+    first, second = (ranked.where(F.col("signal") == s).select(query, key, "score", "rank") for s in ("words", "overlap"))
+    return first.where("score > 0"), second
 
 
 def asked_words(questions: DataFrame, query: str) -> DataFrame:
@@ -74,15 +94,25 @@ def bm25_of(asked: DataFrame, hit: DataFrame, totals: DataFrame, query: str, key
 
     hit is read more than once, so it is best a stored table.
     """
-    held = hit
+    if prune:
+        return best_sums(asked, weights(hit, totals, key), query, key, k)
+    return ranked_sums(pairs_of(asked, hit, totals, key), query, key, k)
+
+
+def weights(hit: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """(term, key, w): the BM25 weight of each word of a document."""
     hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("x", totals.scalar())
     idf = F.log(1 + (F.col("x.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("x.avgdl")))).alias("w"))
-    if prune:
-        return best_sums(asked, weight, query, key, k)
-    # A document's words come together first: its sums are then whole, and the best of its task known, before they are
-    # shuffled. There are as many tasks as the pairs ask for, since each holds sums of all its documents and questions.
-    return ranked_sums(asked.join(weight.repartition(pair_tasks(asked, held), key), "term"), query, key, k)
+    return hit.select("term", key, (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("x.avgdl")))).alias("w"))
+
+
+def pairs_of(asked: DataFrame, hit: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """asked with the weight of each document that has the word.
+
+    A document's words come together first: its sums are then whole, and the best of its task known, before they are
+    shuffled. There are as many tasks as the pairs ask for, since each holds sums of all its documents and questions.
+    """
+    return asked.join(weights(hit, totals, key).repartition(pair_tasks(asked, hit), key), "term")
 
 
 def pair_tasks(asked: DataFrame, hit: DataFrame) -> int:

@@ -153,3 +153,19 @@ def test_term_counts_by_key(spark):
     docs = spark.createDataFrame([(1, "a b a"), (1, "a c c d"), (2, "A"), (None, "a e"), (3, None), (4, "")], "doc_id long, text string")
     got = {tuple(r) for r in retrieval.term_counts(docs, "doc_id").collect()}
     assert got == {("a", 2, 5), ("b", 1, 1), ("c", 1, 2), ("d", 1, 1), ("e", 0, 1)}
+
+
+def test_bm25_and_overlap_in_one_pass(spark):
+    """BM25 as alone, and distinct words by plain counting; a document that stands twice holds each word once, as in the SQL."""
+    texts = [(i, " ".join(f"w{(i * j + j * j) % 23}" for j in range(1, 4 + i % 9))) for i in range(60)] + [(60, None), (61, ""), (62, "w1 w2 w2"), (62, "w1 w2 w2")]
+    asked = [(1, "w1 w2 w3 w3"), (2, "w5 w7 w11 none"), (3, "none"), (4, None)]
+    docs, questions = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")
+    words, overlap = retrieval.bm25_and_overlap(questions, docs, "item_id", "doc_id", 7)
+    of = lambda df: sorted(tuple(r) for r in df.select("item_id", "doc_id", "score", "rank").collect())
+    assert of(words) == of(retrieval.bm25(questions, docs, "item_id", "doc_id", 7)) and len(of(words)) == 14
+    want = []
+    for q, text in asked:
+        held = {i: len(set((text or "").split()) & set((t or "").split())) for i, t in texts}
+        best = sorted((-n, i) for i, n in held.items() if n)[:7]
+        want += [(q, i, float(-n), k + 1) for k, (n, i) in enumerate(best)]
+    assert of(overlap) == sorted(want)

@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ CLASSES = OWN + BUCKETS
 ENDINGS = BUCKETS**3
 #: Rows of the weight table, of those of the two steps within classes, rounds of training, tokens of an update, step of updates.
 HASHED, INNER, ROUNDS, UPDATE, RATE = 1 << 14, (1 << 14, 1 << 15), 2, 16_384, 0.3
+#: Rows of a block of probabilities, and how often a row is met to be summed alone.
+BLOCK, OFTEN = 1024, 32
 #: Parts in which a task's weights travel, groups of tasks that are summed first, and distinct words a batch of counting holds.
 PARTS, GROUPS, HELD = 64, 16, 300_000
 #: Stands for a text's end; no word can be it.
@@ -140,7 +143,7 @@ class Model:
         if self._lookup is None:
             self._lookup = Lookup(zip(self.names, range(len(self.names))))
         starts = np.cumsum([0, *map(len, texts)])
-        return np.fromiter((k for t in texts for k in map(self._lookup.__getitem__, t)), np.int64, int(starts[-1])), starts
+        return np.fromiter(map(self._lookup.__getitem__, chain.from_iterable(texts)), np.int64, int(starts[-1])), starts
 
     @staticmethod
     def features(numbers: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -184,7 +187,7 @@ class Model:
 
     def step_probabilities(self, k: int, features: list[np.ndarray], start: np.ndarray) -> np.ndarray:
         """Probabilities of the ways of step k."""
-        return softmax(self.inner[k], features, np.take(self.shares[k], start, axis=0))
+        return softmax(self.inner[k], features, self.shares[k], start)
 
     def update(self, features: list[np.ndarray], numbers: np.ndarray, before: list[np.ndarray], squares: list[np.ndarray]) -> None:
         """One gradient step on some tokens; squares: sums of squared steps of each table's rows so far."""
@@ -193,14 +196,21 @@ class Model:
             descend(self.inner[k], squares[1 + k], rows, self.step_probabilities(k, rows, start), way)
 
 
-def softmax(weights: np.ndarray, features: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
-    s = np.take(weights, features[0], axis=0)
-    for f in features[1:]:
-        s += np.take(weights, f, axis=0)
-    s += prior
-    s -= s.max(axis=1, keepdims=True)
-    np.exp(s, out=s)
-    s /= (s @ np.ones(s.shape[1], np.float32))[:, None]
+def softmax(weights: np.ndarray, features: list[np.ndarray], prior: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities by the sums of the features' rows and the prior, of which start (if given) tells the row.
+
+    Made in blocks that stay in the processor's cache. Sums are held within +-80, so that no exponential overflows.
+    """
+    s = np.empty((len(features[0]), weights.shape[1]), np.float32)
+    for a in range(0, len(s), BLOCK):
+        part = s[a : a + BLOCK]
+        np.take(weights, features[0][a : a + BLOCK], axis=0, out=part, mode="clip")
+        for f in features[1:]:
+            part += np.take(weights, f[a : a + BLOCK], axis=0, mode="clip")
+        part += prior if start is None else np.take(prior, start[a : a + BLOCK], axis=0, mode="clip")
+        np.clip(part, -80, 80, out=part)
+        np.exp(part, out=part)
+        part *= (1 / np.einsum("rk->r", part))[:, None]
     return s
 
 
@@ -208,15 +218,30 @@ def descend(weights: np.ndarray, squares: np.ndarray, features: list[np.ndarray]
     """Move the features' rows against the gradient of the targets' log probabilities; d: the probabilities, written over."""
     d[np.arange(len(d)), target] -= 1
     for f in features:
-        order = np.argsort(f, kind="stable")
-        rows = f[order]
-        first = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
-        if not len(first):
-            continue
-        g = np.add.reduceat(np.take(d, order, axis=0), first, axis=0)
-        rows = rows[first]
+        rows, g = row_sums(d, f)
         squares[rows] += np.einsum("rk,rk->r", g, g) / d.shape[1]
-        weights[rows] -= (RATE / np.sqrt(squares[rows] + 1))[:, None] * g
+        g *= (-RATE / np.sqrt(squares[rows] + 1))[:, None]
+        g += np.take(weights, rows, axis=0, mode="clip")
+        weights[rows] = g
+
+
+def row_sums(d: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different value of f, and the sum of d's rows where f has it; values that occur often are summed one by one, the others together."""
+    order = np.argsort(f, kind="stable")
+    first = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
+    lengths = np.diff(np.append(first, len(order)))
+    by = np.argsort(-lengths, kind="stable")
+    first, lengths = first[by], lengths[by]
+    g = np.empty((len(first), d.shape[1]), np.float32)
+    often = int((lengths > OFTEN).sum())
+    for k, (a, n) in enumerate(zip(first[:often].tolist(), lengths[:often].tolist())):
+        np.take(d, order[a : a + n], axis=0, mode="clip").sum(axis=0, out=g[k])
+    if often < len(g):
+        np.take(d, order[first[often:]], axis=0, out=g[often:], mode="clip")
+        for k in range(1, int(lengths[often])):
+            n = often + int((lengths[often:] > k).sum())
+            g[often:n] += np.take(d, order[first[often:n] + k], axis=0, mode="clip")
+    return f[order[first]], g
 
 
 def most_frequent(counts: DataFrame) -> list:
@@ -356,7 +381,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 c = classes[a : a + UPDATE]
                 gain[a : a + UPDATE] = np.log10(np.maximum(p[np.arange(len(p)), c], 1e-30)) - log_mass[c]
                 # The unknown word stands in all last-byte classes; 0.5 / z is its base probability.
-                unknown[a : a + UPDATE] = np.log10(np.maximum(p @ m.unknown.astype(np.float32), 1e-30)) - np.log10(0.5 / m.z)
+                unknown[a : a + UPDATE] = np.log10(np.maximum(np.einsum("rk,k->r", p, m.unknown.astype(np.float32)), 1e-30)) - np.log10(0.5 / m.z)
                 inside, found = m.steps(numbers[a : a + UPDATE], [b[a : a + UPDATE] for b in before])
                 for k, (rows_of, start, way) in enumerate(found):
                     p = m.step_probabilities(k, rows_of, start)

@@ -18,6 +18,10 @@ masses are those of the base model, so all weights at zero give the base score;
 half a count to one unknown word, which is shared out between the last-byte classes; a class's
 share of it does not depend on the steps.
 
+A batch's words are cut, hashed and numbered together; a word is known by its 64-bit hash, in the
+counts as in the scores. Weights are used as factors, exp(weight), whose products a softmax divides by
+their sum, so that exponentials are taken of rows that change, not of every token's classes.
+
 Counts come from all training documents: each batch adds up its words, Spark the batches. The
 weights are trained by gradient updates in every task on its own documents; the tasks' results
 are averaged (each round takes its part of the documents, all are used), so they depend, within
@@ -29,17 +33,18 @@ so that no more words than those reach the driver), those of rarer ones are join
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import arrow_table, crc32_remainder, in_arrow, mix, settle, slices, utf8, word_hashes
+from groundwork.llm.common import GOLD, arrow_table, crc32_remainder, in_arrow, mix, settle, slices
 
 #: Words whose counts are broadcast, words that are classes of their own, classes by last byte.
 FREQUENT, OWN, BUCKETS = 65_536, 16, 32
@@ -48,12 +53,16 @@ CLASSES = OWN + BUCKETS
 ENDINGS = BUCKETS**3
 #: Rows of the weight table, of those of the two steps within classes, rounds of training, tokens of an update, step of updates.
 HASHED, INNER, ROUNDS, UPDATE, RATE = 1 << 14, (1 << 14, 1 << 15), 2, 16_384, 0.3
-#: Rows of a block of probabilities, and how often a row is met to be summed alone.
-BLOCK, OFTEN = 1024, 32
-#: Parts in which a task's weights travel, groups of tasks that are summed first, and distinct words a batch of counting holds.
-PARTS, GROUPS, HELD = 64, 16, 300_000
+#: Rows of a block of probabilities, how often a row is met to be summed alone, and the bound of a weight.
+BLOCK, OFTEN, MOST = 1024, 64, 20
+#: Bounds of a factor, with a prior's share in it: of three, neither the product nor 1 / product overflows.
+LEAST_FACTOR, MOST_FACTOR = np.float32(np.exp(-29)), np.float32(np.exp(MOST))
+#: Parts in which a task's weights travel, groups of tasks that are summed first, and words, each once a slice of text, that a batch of counting holds.
+PARTS, GROUPS, HELD = 64, 16, 1_000_000
 #: Stands for a text's end; no word can be it.
 END = b"\n"
+#: Bytes from which a word is hashed by itself, and what is kept of eight bytes when so many of them belong to the word.
+LONG, KEEP = 64, np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 COUNTS = pa.schema([("word", pa.int64()), ("ending", pa.int32()), ("name", pa.binary()), ("c", pa.int64())])
 WEIGHTS = pa.schema([("part", pa.int32()), ("group", pa.int32()), ("tokens", pa.int64()), ("values", pa.binary())])
@@ -69,39 +78,130 @@ def ending(word: bytes) -> int:
     return word[-1] % BUCKETS + BUCKETS * (word[-2] % BUCKETS if len(word) > 1 else 0) + BUCKETS**2 * (word[-3] % BUCKETS if len(word) > 2 else 0)
 
 
+@dataclass
+class Words:
+    """Tokens in a row: their bytes are buffer[begin : begin + length] (lower-cased, END after all texts); starts: where each text begins."""
+
+    buffer: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def padded(data: np.ndarray) -> np.ndarray:
+        """data, END and zeros, so that eight bytes can be read from every place, in whole eights."""
+        out = np.zeros((len(data) + 31) // 8 * 8, np.uint8)
+        out[: len(data)] = data
+        out[len(data)] = END[0]
+        return out
+
+    @staticmethod
+    def of(texts: pa.Array) -> Words:
+        """The same tokens as of tokens(), for all texts at once."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        size = int(at[-1] - at[0])
+        data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(at[0])) if size else np.zeros(0, np.uint8)
+        at -= at[0]
+        buffer = Words.padded(data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5)))
+        # In one place more than there are bytes: is there a word here, does one begin, did one end just before?
+        here = np.zeros(size + 1, np.bool_)
+        here[:-1] = (data != 32) & ((data - np.uint8(9)) >= 5)
+        begins, ended = here.copy(), np.zeros(size + 1, np.bool_)
+        begins[1:] &= ~here[:-1]
+        ended[1:] = here[:-1] & ~here[1:]
+        begins[at] = here[at]
+        inner = at[at > 0]
+        ended[inner] = here[inner - 1]
+        begin, end = np.flatnonzero(begins), np.flatnonzero(ended)
+        starts = np.searchsorted(begin, at) + np.arange(len(at))
+        word = np.ones(len(begin) + len(texts), np.bool_)
+        word[starts[1:] - 1] = False
+        begin_all, length = np.full(len(word), size), np.ones(len(word), np.int64)
+        begin_all[word], length[word] = begin, end - begin
+        return Words(buffer, begin_all, length, starts)
+
+    @staticmethod
+    def listed(words: list[bytes], starts: np.ndarray | None = None) -> Words:
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        return Words(Words.padded(np.frombuffer(b"".join(words), np.uint8)), np.cumsum(length) - length, length, np.zeros(1, np.int64) if starts is None else starts)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each token: eight bytes at a time, those of LONG bytes and more by the library."""
+        eights = self.buffer.view(np.uint64)
+
+        def read(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+            k, shift = begin >> 3, ((begin & 7) << 3).astype(np.uint64)
+            x = np.take(eights, k) >> shift
+            x |= np.take(eights, k + 1) << np.uint64(1) << (np.uint64(63) - shift)
+            x &= np.take(KEEP, np.minimum(length, 8))
+            return x
+
+        h = mix(read(self.begin, self.length) + self.length.astype(np.uint64) * GOLD)
+        more = np.flatnonzero((self.length > 8) & (self.length < LONG))
+        done = 8
+        while len(more):
+            h[more] = mix(h[more] * GOLD ^ read(self.begin[more] + done, self.length[more] - done))
+            done += 8
+            more = more[self.length[more] > done]
+        for k in np.flatnonzero(self.length >= LONG).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(self.buffer[self.begin[k] : self.begin[k] + self.length[k]])
+        return h
+
+    def endings(self, of: np.ndarray) -> np.ndarray:
+        """ending() of these tokens."""
+        last, length = (self.begin + self.length)[of] - 1, self.length[of]
+        e = self.buffer[last].astype(np.int64) % BUCKETS
+        for k in (1, 2):
+            e += np.where(length > k, self.buffer[np.maximum(last - k, 0)] % BUCKETS, 0).astype(np.int64) * BUCKETS**k
+        return e
+
+    def bytes_of(self, of: np.ndarray) -> pa.Array:
+        """The bytes of these tokens."""
+        length = self.length[of]
+        offsets = np.concatenate(([0], np.cumsum(length)))
+        data = self.buffer[np.arange(offsets[-1]) + np.repeat(self.begin[of] - offsets[:-1], length)]
+        return pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 def training(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(crc32_remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"))
 
 
+def distinct(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's number among the different ones, and a place where each of these stands."""
+    found = values.dictionary_encode().indices.to_numpy()
+    at = np.empty(int(found.max(initial=-1)) + 1, np.int64)
+    at[found] = np.arange(len(found))
+    return found, at
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word: 64-bit hash, ending, name, c) of every word of the texts; batches are added up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.RecordBatch] = []
 
         def out() -> pa.RecordBatch:
-            names = list(seen)
-            return arrow_table({"word": word_hashes(names).view(np.int64), "ending": [ending(w) for w in names], "name": names, "c": list(seen.values())}, COUNTS)
+            all_held = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            found, at = distinct(all_held.column("word"))
+            c = np.bincount(found, all_held.column("c").to_numpy()).astype(np.int64)
+            return arrow_table({k: all_held.column(k).take(pa.array(at)) for k in ("word", "ending", "name")} | {"c": c}, COUNTS)
 
         for batch in slices(batches, "text", 2000, 4 << 20):
-            for text in utf8(batch, "text"):
-                seen.update(tokens(text))
-            if len(seen) >= HELD:
+            words = Words.of(batch.column("text"))
+            hashes = pa.array(words.hashes().view(np.int64))
+            found, at = distinct(hashes)
+            held.append(arrow_table({"word": hashes.take(pa.array(at)), "ending": words.endings(at).astype(np.int32), "name": words.bytes_of(at), "c": np.bincount(found)}, COUNTS))
+            if sum(x.num_rows for x in held) >= HELD:
                 yield out()
-                seen.clear()
-        if seen:
+                held.clear()
+        if held:
             yield out()
 
     return in_arrow(docs.select("text"), run, "word long, ending int, name binary, c long")
 
 
-class Lookup(dict):
-    """Word -> number of a frequent word, or FREQUENT + ending for any other."""
-
-    def __missing__(self, word: bytes) -> int:
-        return FREQUENT + ending(word)
-
-
 @dataclass
 class Model:
     """What is known of the training tokens, and the weights. mass: of each class under the base model;
@@ -127,10 +227,7 @@ class Model:
         self.classes[: min(OWN, len(self.names))] = np.arange(min(OWN, len(self.names)))
         with np.errstate(divide="ignore"):
             self.prior = np.log(self.mass).astype(np.float32)
-        self._lookup: Lookup | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_lookup": None}
+        self.hashes = Words.listed(self.names).hashes()
 
     def tables(self) -> list[np.ndarray]:
         return [self.weights, *self.inner]
@@ -140,10 +237,15 @@ class Model:
 
     def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens' numbers in a row, and where each text begins."""
-        if self._lookup is None:
-            self._lookup = Lookup(zip(self.names, range(len(self.names))))
-        starts = np.cumsum([0, *map(len, texts)])
-        return np.fromiter(map(self._lookup.__getitem__, chain.from_iterable(texts)), np.int64, int(starts[-1])), starts
+        words = Words.listed(list(chain.from_iterable(texts)), np.cumsum([0, *map(len, texts)]))
+        return self.numbers(words, words.hashes()), words.starts
+
+    def numbers(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """Each token's number: a frequent word's place, FREQUENT + ending for any other."""
+        found = pc.fill_null(pc.index_in(pa.array(hashes), value_set=pa.array(self.hashes)), -1).to_numpy().astype(np.int64)
+        rare = np.flatnonzero(found < 0)
+        found[rare] = FREQUENT + words.endings(rare)
+        return found
 
     @staticmethod
     def features(numbers: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -181,67 +283,116 @@ class Model:
             found.append((hashed, start, e // width % BUCKETS))
         return inside, found
 
+    def factors(self) -> list[np.ndarray]:
+        """exp(weights) of each table, in which the three features of a class share its prior: products of rows are what a softmax divides by their sum."""
+        return [np.clip(np.exp(np.clip(t, -MOST, MOST) + p), LEAST_FACTOR, MOST_FACTOR) for t, p in zip(self.tables(), self.within(), strict=True)]
+
+    def within(self) -> list[np.ndarray | np.float32]:
+        """What each table's factors hold besides the weights, as logarithms."""
+        return [self.prior / np.float32(3), *[np.float32(0)] * len(self.inner)]
+
     def probabilities(self, features: list[np.ndarray]) -> np.ndarray:
         """Class probabilities of each token's place."""
-        return softmax(self.weights, features, self.prior)
+        return softmax(self.factors()[0], features)
 
     def step_probabilities(self, k: int, features: list[np.ndarray], start: np.ndarray) -> np.ndarray:
         """Probabilities of the ways of step k."""
-        return softmax(self.inner[k], features, self.shares[k], start)
-
-    def update(self, features: list[np.ndarray], numbers: np.ndarray, before: list[np.ndarray], squares: list[np.ndarray]) -> None:
-        """One gradient step on some tokens; squares: sums of squared steps of each table's rows so far."""
-        descend(self.weights, squares[0], features, self.probabilities(features), self.classes[numbers])
-        for k, (rows, start, way) in enumerate(self.steps(numbers, before)[1]):
-            descend(self.inner[k], squares[1 + k], rows, self.step_probabilities(k, rows, start), way)
-
-
-def softmax(weights: np.ndarray, features: list[np.ndarray], prior: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Probabilities by the sums of the features' rows and the prior, of which start (if given) tells the row.
-
-    Made in blocks that stay in the processor's cache. Sums are held within +-80, so that no exponential overflows.
-    """
-    s = np.empty((len(features[0]), weights.shape[1]), np.float32)
+        return softmax(self.factors()[1 + k], features, np.exp(self.shares[k]), start)
+
+
+class Training:
+    """A task's own weights, as factors; squares: sums of squared steps of each table's rows so far."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.factors, self.shares = model, model.factors(), [np.exp(x) for x in model.shares]
+        # Kept from one update to the next, as fresh memory costs as much as the work in it.
+        self.room = [np.empty((k * UPDATE, CLASSES), np.float32) for k in (1, 3)]
+        self.squares = [np.zeros(len(t), np.float32) for t in self.factors]
+
+    def update(self, features: list[np.ndarray], numbers: np.ndarray, before: list[np.ndarray]) -> None:
+        """One gradient step on some tokens."""
+        self.descend(0, features, self.model.classes[numbers])
+        for k, (rows, start, way) in enumerate(self.model.steps(numbers, before)[1]):
+            self.descend(1 + k, rows, way, self.shares[k], start)
+
+    def space(self, k: int, rows: int, columns: int) -> np.ndarray:
+        return self.room[k].reshape(-1)[: rows * columns].reshape(rows, columns)
+
+    def descend(self, k: int, features: list[np.ndarray], target: np.ndarray, shares: np.ndarray | None = None, start: np.ndarray | None = None) -> None:
+        """Move the features' rows of table k against the gradient of the targets' log probabilities."""
+        squares, factors = self.squares[k], self.factors[k]
+        width = factors.shape[1]
+        d = softmax(factors, features, shares, start, self.space(0, len(target), width))
+        d[np.arange(len(d)), target] -= 1
+        rows, sums = row_sums(d, features, self.space(1, len(features) * len(d), width))
+        for a in range(0, len(rows), 2 * BLOCK):
+            r, g = rows[a : a + 2 * BLOCK], sums[a : a + 2 * BLOCK]
+            squares[r] += np.einsum("rk,rk->r", g, g) / width
+            g *= (-RATE / np.sqrt(squares[r] + 1))[:, None]
+            np.exp(g, out=g)
+            g *= np.take(factors, r, axis=0, mode="clip")
+            factors[r] = np.clip(g, LEAST_FACTOR, MOST_FACTOR, out=g)
+
+    def changed(self) -> list[np.ndarray]:
+        """By how much each table's weights differ from the model's."""
+        return [np.log(f) - p - t for f, p, t in zip(self.factors, self.model.within(), self.model.tables(), strict=True)]
+
+
+def products(factors: np.ndarray, features: list[np.ndarray], shares: np.ndarray | None, start: np.ndarray | None, out: np.ndarray) -> np.ndarray:
+    """The products of the features' rows and of the shares, of which start (if given) tells the row."""
+    np.take(factors, features[0], axis=0, out=out, mode="clip")
+    for f in features[1:]:
+        out *= np.take(factors, f, axis=0, mode="clip")
+    if start is not None:
+        out *= np.take(shares, start, axis=0, mode="clip")
+    return out
+
+
+def softmax(factors: np.ndarray, features: list[np.ndarray], shares: np.ndarray | None = None, start: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities by the products of the features' rows and the shares, made in blocks that stay in the processor's cache."""
+    s = np.empty((len(features[0]), factors.shape[1]), np.float32) if out is None else out
     for a in range(0, len(s), BLOCK):
-        part = s[a : a + BLOCK]
-        np.take(weights, features[0][a : a + BLOCK], axis=0, out=part, mode="clip")
-        for f in features[1:]:
-            part += np.take(weights, f[a : a + BLOCK], axis=0, mode="clip")
-        part += prior if start is None else np.take(prior, start[a : a + BLOCK], axis=0, mode="clip")
-        np.clip(part, -80, 80, out=part)
-        np.exp(part, out=part)
+        b = slice(a, a + BLOCK)
+        part = products(factors, [f[b] for f in features], shares, None if start is None else start[b], s[b])
         part *= (1 / np.einsum("rk->r", part))[:, None]
     return s
 
 
-def descend(weights: np.ndarray, squares: np.ndarray, features: list[np.ndarray], d: np.ndarray, target: np.ndarray) -> None:
-    """Move the features' rows against the gradient of the targets' log probabilities; d: the probabilities, written over."""
-    d[np.arange(len(d)), target] -= 1
-    for f in features:
-        rows, g = row_sums(d, f)
-        squares[rows] += np.einsum("rk,rk->r", g, g) / d.shape[1]
-        g *= (-RATE / np.sqrt(squares[rows] + 1))[:, None]
-        g += np.take(weights, rows, axis=0, mode="clip")
-        weights[rows] = g
+def chosen(factors: np.ndarray, features: list[np.ndarray], target: np.ndarray, shares: np.ndarray | None = None, start: np.ndarray | None = None, besides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the probabilities only the targets', and those summed with the weights `besides`, if given."""
+    p, other = np.empty(len(target), np.float32), np.zeros(len(target), np.float32)
+    out = np.empty((min(BLOCK, len(target)), factors.shape[1]), np.float32)
+    for a in range(0, len(target), BLOCK):
+        b = slice(a, a + BLOCK)
+        part = products(factors, [f[b] for f in features], shares, None if start is None else start[b], out[: len(p[b])])
+        total = np.einsum("rk->r", part)
+        np.divide(part[np.arange(len(part)), target[b]], total, out=p[b])
+        if besides is not None:
+            np.divide(part @ besides, total, out=other[b])
+    return p, other
 
 
-def row_sums(d: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each different value of f, and the sum of d's rows where f has it; values that occur often are summed one by one, the others together."""
+def row_sums(d: np.ndarray, features: list[np.ndarray], out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each different value of the features, and the sum of d's rows where they have it; values that occur often are summed one by one, the others together."""
+    f = np.concatenate(features)
     order = np.argsort(f, kind="stable")
-    first = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
+    f = f[order]
+    first = np.flatnonzero(np.diff(f.astype(np.int32), prepend=-1))
     lengths = np.diff(np.append(first, len(order)))
     by = np.argsort(-lengths, kind="stable")
     first, lengths = first[by], lengths[by]
-    g = np.empty((len(first), d.shape[1]), np.float32)
-    often = int((lengths > OFTEN).sum())
+    order = np.tile(np.arange(len(d)), len(features))[order]
+    g = np.empty((len(first), d.shape[1]), np.float32) if out is None else out[: len(first)]
+    longer = np.searchsorted(-lengths, -np.arange(OFTEN + 1)).tolist()  # how many values occur more than k times
+    often, ones = longer[OFTEN], np.ones(int(lengths.max(initial=0)), np.float32)
     for k, (a, n) in enumerate(zip(first[:often].tolist(), lengths[:often].tolist())):
-        np.take(d, order[a : a + n], axis=0, mode="clip").sum(axis=0, out=g[k])
+        np.dot(ones[:n], np.take(d, order[a : a + n], axis=0, mode="clip"), out=g[k])
     if often < len(g):
         np.take(d, order[first[often:]], axis=0, out=g[often:], mode="clip")
         for k in range(1, int(lengths[often])):
-            n = often + int((lengths[often:] > k).sum())
+            n = longer[k]
             g[often:n] += np.take(d, order[first[often:n] + k], axis=0, mode="clip")
-    return f[order[first]], g
+    return f[first], g
 
 
 def most_frequent(counts: DataFrame) -> list:
@@ -308,19 +459,19 @@ def trained(docs: DataFrame, model: Model) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m: Model = shared.value
-            own = m.with_tables([t.copy() for t in m.tables()])
-            squares, n = [np.zeros(len(t), np.float32) for t in m.tables()], 0
+            own, n = Training(m), 0
             for batch in slices(batches, "text", 2000, 1 << 20):
-                numbers, starts = own.numbered([tokens(t) for t in utf8(batch, "text")])
-                features, before = own.features(numbers, starts), own.before(numbers, starts)
+                words = Words.of(batch.column("text"))
+                numbers = m.numbers(words, words.hashes())
+                features, before = m.features(numbers, words.starts), m.before(numbers, words.starts)
                 for a in range(0, len(numbers), UPDATE):
-                    own.update([f[a : a + UPDATE] for f in features], numbers[a : a + UPDATE], [b[a : a + UPDATE] for b in before], squares)
+                    own.update([f[a : a + UPDATE] for f in features], numbers[a : a + UPDATE], [b[a : a + UPDATE] for b in before])
                 n += len(numbers)
             if n:
                 from pyspark import TaskContext
 
                 # What changed, in half floats: their rounding is far below the noise of training.
-                changed = np.concatenate([(a - b).ravel() for a, b in zip(own.tables(), m.tables(), strict=True)])
+                changed = np.concatenate([x.ravel() for x in own.changed()])
                 values = [x.tobytes() for x in np.array_split(changed.astype(np.float16), PARTS)]
                 group = [TaskContext.get().partitionId() % GROUPS] * PARTS
                 yield arrow_table({"part": list(range(PARTS)), "group": group, "tokens": [n] * PARTS, "values": values}, WEIGHTS)
@@ -370,25 +521,27 @@ def scores(docs: DataFrame) -> DataFrame:
         m: Model = shared.value
         base_of = np.log10((np.concatenate((m.counts, np.zeros(FREQUENT - len(m.counts)))) + 0.5) / m.z)
         log_mass = np.log10(m.mass)
+        factors, step_shares, unknown_of = m.factors(), [np.exp(x) for x in m.shares], m.unknown.astype(np.float32)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", 1000, 1 << 20):
-            texts = [tokens(t) for t in utf8(batch, "text")]
-            numbers, starts = m.numbered(texts)
+            words = Words.of(batch.column("text"))
+            hashes, starts = words.hashes(), words.starts
+            numbers = m.numbers(words, hashes)
             classes, features, before = m.classes[numbers], m.features(numbers, starts), m.before(numbers, starts)
             gain, unknown = np.empty(len(numbers)), np.empty(len(numbers))
             for a in range(0, len(numbers), UPDATE):
-                p = m.probabilities([f[a : a + UPDATE] for f in features])
                 c = classes[a : a + UPDATE]
-                gain[a : a + UPDATE] = np.log10(np.maximum(p[np.arange(len(p)), c], 1e-30)) - log_mass[c]
+                p, other = chosen(factors[0], [f[a : a + UPDATE] for f in features], c, besides=unknown_of)
+                gain[a : a + UPDATE] = np.log10(np.maximum(p, 1e-30)) - log_mass[c]
                 # The unknown word stands in all last-byte classes; 0.5 / z is its base probability.
-                unknown[a : a + UPDATE] = np.log10(np.maximum(np.einsum("rk,k->r", p, m.unknown.astype(np.float32)), 1e-30)) - np.log10(0.5 / m.z)
+                unknown[a : a + UPDATE] = np.log10(np.maximum(other, 1e-30)) - np.log10(0.5 / m.z)
                 inside, found = m.steps(numbers[a : a + UPDATE], [b[a : a + UPDATE] for b in before])
                 for k, (rows_of, start, way) in enumerate(found):
-                    p = m.step_probabilities(k, rows_of, start)
+                    p, _ = chosen(factors[1 + k], rows_of, way, step_shares[k], start)
                     # No known word goes where the share is none, and unknown ones do not ask for it.
-                    gain[a + inside] += np.log10(np.maximum(p[np.arange(len(p)), way], 1e-30)) - np.maximum(m.shares[k][start, way], -69) / np.log(10)
+                    gain[a + inside] += np.log10(np.maximum(p, 1e-30)) - np.maximum(m.shares[k][start, way], -69) / np.log(10)
             common = numbers < FREQUENT
-            k = len(texts)
+            k = batch.num_rows
             of = np.repeat(np.arange(k), np.diff(starts))
             base = np.bincount(of, np.where(common, base_of[np.minimum(numbers, FREQUENT - 1)], 0), k)
             rows = row + np.arange(k)
@@ -399,8 +552,7 @@ def scores(docs: DataFrame) -> DataFrame:
             }, ROWS)
             rare = np.flatnonzero(~common)
             if len(rare):
-                flat = [t for text in texts for t in text]
-                h = word_hashes([flat[x] for x in rare.tolist()])
+                h = hashes[rare]
                 order = np.lexsort((h, of[rare]))
                 rare, h = rare[order], h[order]
                 doc = of[rare]

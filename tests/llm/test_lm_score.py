@@ -1,8 +1,10 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from groundwork.llm import lm_score as S
@@ -119,3 +121,56 @@ def test_whole_probabilities_sum_to_one(spark):
             each[inside] *= q[np.arange(len(q)), way] / np.maximum(np.exp(model.shares[k][start, way]), 1e-30)
         last = starts[1:] - 1
         assert each[last].sum() + p[last[0]] @ model.unknown == pytest.approx(1, rel=1e-4)
+
+
+def test_words_of_a_batch_are_the_tokens_of_its_texts():
+    """All texts of a batch are cut and hashed together."""
+    rng = random.Random(3)
+    parts = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x00", "a", "B", "Z", "[", "@", "é", "É", "中", "z" * 70, "Q" * 9, "abcdefgh", "x"]
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.choice([0, 1, 2, 5, 30]))) for _ in range(rng.choice([0, 1, 2, 7]))]
+        words = S.Words.of(pa.array([" no part of it ", None, *texts], pa.string()).slice(2))
+        want = [S.tokens(None if t is None else t.encode()) for t in texts]
+        flat = [w for t in want for w in t]
+        assert words.bytes_of(np.arange(len(words.begin))).to_pylist() == flat
+        assert words.starts.tolist() == np.cumsum([0, *map(len, want)]).tolist()
+        assert words.endings(np.arange(len(flat))).tolist() == [S.ending(w) for w in flat]
+        hashes = words.hashes().tolist()
+        assert hashes == S.Words.listed(flat).hashes().tolist() and len(set(hashes)) == len(set(flat))
+
+
+def test_words_are_numbered_without_a_call_for_each(monkeypatch):
+    model = S.Model([b"the", b"a"], np.array([3, 2]), 5, 2, np.full(S.CLASSES, 1 / S.CLASSES), np.zeros(S.CLASSES), np.zeros((S.HASHED, S.CLASSES), np.float32), [], [])
+    want = [S.FREQUENT + S.ending(b"w%d" % k) for k in range(500)]
+    calls = []
+    monkeypatch.setattr(S, "ending", lambda word: calls.append(word) or 0)
+    numbers, _ = model.numbered([[b"a", *[b"w%d" % k for k in range(500)], b"the"]])
+    assert numbers.tolist() == [1, *want, 0] and not calls
+
+
+def test_update_against_a_plain_one():
+    """One step of a task's training, compared with the same in double precision and log weights."""
+    rng = np.random.default_rng(4)
+    mass = rng.dirichlet(np.ones(S.CLASSES))
+    shares = [S.log_shares(rng.integers(0, 3, (n, S.BUCKETS))) for n in (S.BUCKETS, S.BUCKETS**2)]
+    tables = [rng.normal(0, 0.5, (rows, k)).astype(np.float32) for rows, k in zip((S.HASHED, *S.INNER), (S.CLASSES, S.BUCKETS, S.BUCKETS))]
+    model = S.Model([b"w%d" % k for k in range(40)], np.arange(40, 0, -1), 820, 40, mass, np.zeros(S.CLASSES), tables[0], shares, tables[1:])
+    n = 600
+    features = [rng.integers(0, rows, n).astype(np.uint16) for rows in (3, 200, S.HASHED)]
+    target = rng.integers(0, S.CLASSES, n)
+    own = S.Training(model)
+    own.descend(0, features, target)
+    z = np.log(mass) + sum(tables[0][f].astype(float) for f in features)
+    d = np.exp(z - z.max(axis=1, keepdims=True))
+    d /= d.sum(axis=1, keepdims=True)
+    d[np.arange(n), target] -= 1
+    g = np.zeros(tables[0].shape)
+    for f in features:
+        np.add.at(g, f, d)
+    want = -S.RATE * g / np.sqrt((g**2).mean(axis=1, keepdims=True) + 1)
+    assert own.changed()[0] == pytest.approx(want, abs=1e-4) and np.abs(want).max() > 0.1
+    start, way = rng.integers(0, S.BUCKETS, n), rng.integers(0, S.BUCKETS, n)
+    z = shares[0][start] + sum(tables[1][f].astype(float) for f in features[:2])
+    q = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    p, other = S.chosen(model.factors()[1], features[:2], way, np.exp(shares[0]), start, np.ones(S.BUCKETS, np.float32))
+    assert p == pytest.approx(q[np.arange(n), way], rel=1e-4, abs=1e-12) and other == pytest.approx(1, rel=1e-5)
